@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("feed", "timeline")
+MODULES = ("feed", "timeline", "measure")
 
 
 def _collect(attribute: str) -> dict:

@@ -187,7 +187,7 @@ def _(spark, sf):
   UNION ALL SELECT DISTINCT k, {MONTH}, NULL, 1 FROM {_spans_sql("error", 14400.0)} e2),
 r AS (SELECT *, greatest(0, coalesce(max(reach) OVER (PARTITION BY k ORDER BY kind, x, reach ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS f FROM w),
 g AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY f, x) AS gap_no FROM r WHERE x > f + 0.45)
-SELECT k, gap_no, round_even(least(greatest(0, (f + x) / 2), {MONTH} - 0.05), 6) AS stamp_s FROM g WHERE gap_no <= 4""")
+SELECT k, gap_no, least(greatest(0, (f + x) / 2), {MONTH}::DOUBLE - 0.05::DOUBLE) AS stamp_s FROM g WHERE gap_no <= 4""")
 def _(spark, sf):
     windows = _spans_of(spark, sf, "error", 14400.0)
     durations = windows.select("k").distinct().withColumn("duration_s", F.lit(MONTH))

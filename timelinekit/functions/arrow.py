@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,40 +34,70 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Longest common subsequence of two token arrays, one numpy row per left token."""
+def _bit_rows(tokens) -> tuple[dict, int]:
+    """Per token a bit set of its places, and the mask of all places."""
+    places: dict = {}
+    for at, token in enumerate(tokens):
+        places[token] = places.get(token, 0) | (1 << at)
+    return places, (1 << len(tokens)) - 1
+
+
+def _lcs(a, b) -> int:
+    if len(a) == 0 or len(b) == 0:
+        return 0
+    places, mask = _bit_rows(b)
+    row = mask
+    for token in a:
+        hit = row & places.get(token, 0)
+        row = ((row + hit) | (row - hit)) & mask
+    return len(b) - bin(row).count("1")
+
+
+def _distance(a, b) -> int:
+    if len(a) == 0 or len(b) == 0:
+        return max(len(a), len(b))
+    places, mask = _bit_rows(b)
+    top = 1 << (len(b) - 1)
+    up, down, distance = mask, 0, len(b)
+    for token in a:
+        equal = places.get(token, 0)
+        diagonal = ((((equal & up) + up) ^ up) | equal) | down
+        rise, fall = down | (~(diagonal | up) & mask), up & diagonal
+        distance += 1 if rise & top else (-1 if fall & top else 0)
+        rise, fall = ((rise << 1) | 1) & mask, (fall << 1) & mask
+        up, down = fall | (~(diagonal | rise) & mask), rise & diagonal
+    return distance
 
-    def one(a, b) -> int:
-        if len(a) == 0 or len(b) == 0:
-            return 0
-        codes = {token: i for i, token in enumerate(dict.fromkeys([*a, *b]))}
-        ys = np.array([codes[t] for t in b])
-        row = np.zeros(len(b) + 1, dtype=np.int64)
-        for x in (codes[t] for t in a):
-            taken = np.where(ys == x, row[:-1] + 1, row[1:])
-            row[1:] = np.maximum.accumulate(taken)
-        return int(row[-1])
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int32")
+@F.pandas_udf(T.IntegerType())
+def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Longest common subsequence of two token arrays (bit-parallel rows)."""
+    return pd.Series([_lcs(a, b) for a, b in zip(left, right)], dtype="int32")
 
 
 @F.pandas_udf(T.IntegerType())
 def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Token edit distance of two arrays of any vocabulary."""
-
-    def one(a, b) -> int:
-        if len(a) == 0 or len(b) == 0:
-            return max(len(a), len(b))
-        codes = {token: i for i, token in enumerate(dict.fromkeys([*a, *b]))}
-        ys = np.array([codes[t] for t in b])
-        steps = np.arange(len(b) + 1)
-        row = steps.copy()
-        for i, x in enumerate((codes[t] for t in a), 1):
-            changed = np.minimum(row[:-1] + (ys != x), row[1:] + 1)
-            row = np.concatenate(([i], changed))
-            # insertions: each cell is at most its left neighbour plus one
-            row = np.minimum.accumulate(row - steps) + steps
-        return int(row[-1])
-
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int32")
+    """Token edit distance of two arrays of any vocabulary (bit-parallel rows)."""
+    return pd.Series([_distance(a, b) for a, b in zip(left, right)], dtype="int32")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def matched_drifts(
+    expected: pd.Series, expected_at: pd.Series, actual: pd.Series, actual_at: pd.Series
+) -> pd.Series:
+    """Start differences of words matched greedily forward by equal token."""
+
+    def one(words, times, heard, heard_at) -> list[float]:
+        where: dict = {}
+        for at, token in enumerate(heard):
+            where.setdefault(token, []).append(at)
+        drifts, pointer = [], 0
+        for token, time in zip(words, times):
+            places = where.get(token, [])
+            found = bisect_left(places, pointer)
+            if found < len(places):
+                pointer = places[found] + 1
+                drifts.append(abs(float(heard_at[places[found]]) - float(time)))
+        return drifts
+
+    return pd.Series([one(*row) for row in zip(expected, expected_at, actual, actual_at)])

@@ -72,7 +72,7 @@ def category_counts(df: DataFrame, keys: Sequence[str], category: str) -> DataFr
     return df.groupBy(*keys, category).agg(F.count(F.lit(1)).alias("n"))
 
 
-def speech_stats(words: DataFrame, layout: KeyLayout, order: Sequence[str]) -> DataFrame:
+def speech_stats(words: DataFrame, layout: KeyLayout, order: Sequence[str], digits: int = 3) -> DataFrame:
     """Words per minute, gap percentiles (overlaps left out), long pauses and speech share."""
     keys = list(layout.keys)
     gaps = ordered_scan(words, layout, order, prev={"_end": "end_s"}).withColumn(
@@ -92,7 +92,7 @@ def speech_stats(words: DataFrame, layout: KeyLayout, order: Sequence[str]) -> D
     return out.select(
         *keys, "words",
         F.bround(F.col("words") / F.col("duration_s") * 60, 3).alias("words_per_min"),
-        *[F.bround(p, 3).alias(p) for p in probs],
+        *[F.bround(p, digits).alias(p) for p in probs],
         F.coalesce("over_300ms", F.lit(0)).alias("over_300ms"), F.coalesce("over_500ms", F.lit(0)).alias("over_500ms"),
         F.bround(F.col("_speech") / F.col("duration_s"), 3).alias("speech_share"),
     )

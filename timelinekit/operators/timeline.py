@@ -56,7 +56,7 @@ def free_gaps(
     )
     mid = (F.col("_from") + F.col("x")) / 2
     out = numbered.join(durations.select(*keys, "duration_s"), keys)
-    return out.select(*keys, "gap_no", F.bround(clamp_timestamp(mid, F.col("duration_s")), 6).alias("stamp_s"))
+    return out.select(*keys, "gap_no", clamp_timestamp(mid, F.col("duration_s")).alias("stamp_s"))
 
 
 def interval_subtract(
