@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("feed", "timeline", "measure")
+MODULES = ("feed", "timeline", "measure", "editorial")
 
 
 def _collect(attribute: str) -> dict:

@@ -123,7 +123,8 @@ def merge_incomplete(
     runs = islands(utterances, layout, order, ~joins,
                    prev={"_end": "end_s", "_text": "text", "_decision": "decision"}, out="_run")
     keys = list(layout.keys)
-    row = F.struct(*order, "id", F.col("start_s").alias("s"), F.col("end_s").alias("e"), "text", "decision")
+    row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col("id").alias("id"), F.col("start_s").alias("s"),
+                   F.col("end_s").alias("e"), "text", "decision")
     listed = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
     def piece(r: Column, parts: Column) -> Column:
