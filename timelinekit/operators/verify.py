@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelinekit.functions.arrow import edit_distance, lcs_length, matched_drifts
+from timelinekit.functions.text import bound
 
 # ---- fixed values -------------------------------------------------------------------------
 WER_MAX, ORDER_MIN = 0.12, 0.9
@@ -37,30 +38,33 @@ def wer_metrics(pairs: DataFrame, expected: str = "expected", actual: str = "act
 
 def levenshtein_tokens(left: Column, right: Column) -> Column:
     """Token edit distance from built-ins: each token becomes one code point local to the pair."""
-    vocabulary = F.array_distinct(F.concat(left, right))
 
-    def spelled(side: Column) -> Column:
+    def spelled(side: Column, vocabulary: Column) -> Column:
         # From U+10000 on there are no surrogates; every code is one UTF-32 unit.
         codes = F.transform(side, lambda t: F.lpad(F.hex(F.array_position(vocabulary, t) + 65536), 8, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
-    return F.levenshtein(spelled(left), spelled(right))
+    vocabulary = F.array_distinct(F.concat(left, right))
+    return bound(vocabulary, lambda v: F.levenshtein(spelled(left, v), spelled(right, v)))
 
 
 def ngram_echoes(tokens: Column, n: int = ECHO_WORDS, min_chars: int = ECHO_MIN_CHARS) -> Column:
     """Places (from 0) where an n-gram is repeated at once; a hit moves on by ``n`` tokens."""
-    places = F.when(F.size(tokens) >= 2 * n, F.sequence(F.lit(1), F.size(tokens) - 2 * n + 1))
 
-    def repeats(at: Column) -> Column:
-        gram = F.slice(tokens, at, F.lit(n))
-        return (gram == F.slice(tokens, at + n, F.lit(n))) & (F.length(F.array_join(gram, " ")) >= min_chars)
+    def places(words: Column) -> Column:
+        starts = F.when(F.size(words) >= 2 * n, F.sequence(F.lit(1), F.size(words) - 2 * n + 1))
 
-    hits = F.filter(places, repeats)
-    chosen = F.aggregate(
-        hits, F.array().cast("array<int>"),
-        lambda acc, at: F.when((F.size(acc) == 0) | (at >= F.element_at(acc, -1) + n), F.array_append(acc, at)).otherwise(acc),
-    )
-    return F.coalesce(F.transform(chosen, lambda at: at - 1), F.array().cast("array<int>"))
+        def repeats(at: Column) -> Column:
+            gram = F.slice(words, at, F.lit(n))
+            return (gram == F.slice(words, at + n, F.lit(n))) & (F.length(F.array_join(gram, " ")) >= min_chars)
+
+        chosen = F.aggregate(
+            F.filter(starts, repeats), F.array().cast("array<int>"),
+            lambda acc, at: F.when((F.size(acc) == 0) | (at >= F.element_at(acc, -1) + n), F.array_append(acc, at)).otherwise(acc),
+        )
+        return F.coalesce(F.transform(chosen, lambda at: at - 1), F.array().cast("array<int>"))
+
+    return bound(tokens, places)
 
 
 def repeated_openers(
