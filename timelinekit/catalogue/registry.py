@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("feed", "timeline", "measure", "editorial", "verify", "search", "records", "picture")
+MODULES = ("feed", "timeline", "measure", "editorial", "verify", "search", "records", "picture", "ingest")
 
 
 def _collect(attribute: str) -> dict:

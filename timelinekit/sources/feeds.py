@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelinekit.functions.text import (
-    FULLTEXT_CHARS, FULLTEXT_MIN_CHARS, SUMMARY_CHARS, clean_html, parse_published, strip_aggregator_suffix,
+    FULLTEXT_CHARS, FULLTEXT_MIN_CHARS, SUMMARY_CHARS, clean_html, parse_published, squeeze, strip_aggregator_suffix,
+    strip_tags,
 )
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -46,25 +49,30 @@ def feed_items(raw: DataFrame, cutoff: Column | None = None) -> DataFrame:
     )
     sound = raw.withColumn("_x", checked).filter(F.col("_x._bad").isNull() & F.col("_x").isNotNull())
     fragments = F.regexp_extract_all("body", F.lit(r"(?s)<(?:[\w.-]+:)?(item|entry)(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?\1\s*>"), F.lit(2))
-    items = sound.select("category", "feed", F.posexplode(fragments).alias("item_no", "_item"))
+    items = sound.select("category", "feed", F.explode(fragments).alias("_item"))
     child = r"(?s)<(?:[\w.-]+:)?([\w-]+)((?:\s[^>]*?)?)(?:/>|>((?:\s*<!\[CDATA\[.*?\]\]>\s*)|.*?)</(?:[\w.-]+:)?\1\s*>)"
     parts = F.arrays_zip(*[F.regexp_extract_all("_item", F.lit(child), F.lit(i)).alias(n) for i, n in ((1, "tag"), (2, "attrs"), (3, "body"))])
-    nodes = items.select("category", "feed", "item_no", F.posexplode(parts).alias("node_no", "_n")).select(
-        "category", "feed", "item_no", "node_no", "_n.tag", "_n.attrs", _text(F.col("_n.body")).alias("_body")
-    )
-    nodes = nodes.withColumn("_clean", clean_html(F.col("_body"))).withColumn(
-        "_href", F.coalesce(F.nullif(F.regexp_extract("attrs", r"href\s*=\s*[\"']([^\"']*)", 1), F.lit("")), F.col("_body"))
-    )
+    nodes = items.withColumn("_nodes", F.transform(parts, lambda n: F.struct(
+        n["tag"].alias("tag"), _text(n["body"]).alias("body"), F.regexp_extract(n["attrs"], r"href\s*=\s*[\"']([^\"']*)", 1).alias("href")
+    )))
 
-    def first(tags: tuple[str, ...], value: Column) -> Column:
-        return F.min_by(value, F.when(F.col("tag").isin(*tags) & (F.trim(value) != ""), F.col("node_no")))
+    def first(tags: tuple[str, ...], value: Callable[[Column], Column]) -> Column:
+        usable = F.filter("_nodes", lambda n: n["tag"].isin(*tags) & (squeeze(strip_tags(value(n))) != ""))
+        return value(F.try_element_at(usable, F.lit(1)))
 
-    # One item is a handful of nodes of one document, so this grouping stays small.
-    long_text = F.max_by(F.col("_clean"), F.when(F.col("tag").isin(*FULLTEXT_TAGS), F.length("_body")))
-    flat = nodes.groupBy("category", "feed", "item_no").agg(
-        first(("title",), F.col("_clean")).alias("_title"), F.trim(first(("link",), F.col("_href"))).alias("url"),
-        first(SUMMARY_TAGS, F.col("_clean")).alias("_summary"), long_text.alias("_full"),
-        *[first((tag,), F.col("_body")).alias(f"_{tag}") for tag in DATE_TAGS],
+    def body(n: Column) -> Column:
+        return n["body"]
+
+    def link(n: Column) -> Column:
+        return F.when(n["href"] != "", n["href"]).otherwise(n["body"])
+
+    longest = F.array_sort(
+        F.filter("_nodes", lambda n: n["tag"].isin(*FULLTEXT_TAGS)), lambda a, b: F.length(b["body"]) - F.length(a["body"])
+    )
+    flat = nodes.select(
+        "category", "feed", clean_html(first(("title",), body)).alias("_title"), F.trim(first(("link",), link)).alias("url"),
+        clean_html(first(SUMMARY_TAGS, body)).alias("_summary"), clean_html(body(F.try_element_at(longest, F.lit(1)))).alias("_full"),
+        *[first((tag,), body).alias(f"_{tag}") for tag in DATE_TAGS],
     )
     published = parse_published(*[F.col(f"_{tag}") for tag in DATE_TAGS])
     out = flat.filter((F.coalesce("_title", F.lit("")) != "") & (F.coalesce("url", F.lit("")) != "")).select(

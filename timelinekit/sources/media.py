@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timelinekit.functions.text import bound
+
 # ---- fixed values -------------------------------------------------------------------------
 WORD_SLACK_S, REVERSED_SLACK_S, MIN_WORD_S = 0.75, 0.1, 0.0001
 SCREEN_NAMES = ("screen", "screencast", "desktop")
@@ -23,26 +25,34 @@ SERIES_SCHEMA = (
 # -------------------------------------------------------------------------------------------
 
 
-def explode_transcripts(payloads: DataFrame, key: str, body: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def explode_transcripts(payloads: DataFrame, key: str, body: str, digits: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(utterances, words, rejects) of recognition payloads, one JSON text per recording.
 
     Missing words are spread evenly over their segment; word times are clamped to it. A
     recording with any impossible segment or word is rejected as a whole, with its reason.
     """
     parsed = payloads.select(key, F.from_json(body, TRANSCRIPT_SCHEMA).alias("_p"))
-    segments = parsed.select(key, F.posexplode_outer("_p.segments").alias("seg_no", "_s"))
-    tokens = F.filter(F.split(F.trim("_s.text"), r"\s+"), lambda t: t != "")
-    step = (F.col("_s.end") - F.col("_s.start")) / F.greatest(F.size(tokens), F.lit(1))
-    spread = F.transform(tokens, lambda t, i: F.struct(
-        t.alias("word"), (F.col("_s.start") + i * step).alias("start"), (F.col("_s.start") + (i + 1) * step).alias("end"),
-        F.lit(1.0).alias("confidence"),
-    ))
-    listed = segments.withColumn("_words", F.when(F.coalesce(F.size("_s.words"), F.lit(0)) > 0, F.col("_s.words")).otherwise(spread))
+    segments = parsed.select(key, F.posexplode_outer("_p.segments").alias("seg_no", "_s")).select(
+        key, "seg_no", F.col("_s").isNull().alias("_none"), F.col("_s.start").alias("_ss"), F.col("_s.end").alias("_se"), F.trim("_s.text").alias("text"),
+        F.col("_s.words").alias("_given"), F.col("_s.id").alias("_id"), F.coalesce("_s.decision", F.lit("keep")).alias("decision"),
+        F.col("_s.reason").alias("reason"), F.col("_s.take_group").alias("take_group"),
+    )
+    tokens = F.filter(F.split("text", r"\s+"), lambda t: t != "")
+    start, end = F.col("_ss"), F.col("_se")
+
+    def evenly(ts: Column) -> Column:
+        step = (end - start) / F.greatest(F.size(ts), F.lit(1))
+        return F.transform(ts, lambda t, i: F.struct(
+            t.alias("word"), (start + i * step).alias("start"), (start + (i + 1) * step).alias("end"), F.lit(1.0).alias("confidence")
+        ))
+
+    listed = segments.withColumn(
+        "_words", F.when(F.coalesce(F.size("_given"), F.lit(0)) > 0, F.col("_given")).otherwise(bound(tokens, evenly))
+    )
     # One recording is one input row, so windows over it stay within what one task read.
     in_order = Window.partitionBy(key).orderBy("seg_no")
-    start, end = F.col("_s.start"), F.col("_s.end")
     bad_segment = (
-        F.col("_s").isNull() | start.isNull() | end.isNull() | (end <= start) | (F.trim("_s.text") == "")
+        F.col("_none") | start.isNull() | end.isNull() | (end <= start) | (F.col("text") == "")
         | (start < F.coalesce(F.col("_before"), F.lit(0.0)) - 1e-6)
     )
     bad_word = F.exists("_words", lambda w: (
@@ -56,59 +66,70 @@ def explode_transcripts(payloads: DataFrame, key: str, body: str) -> tuple[DataF
         F.min_by("_reason", "seg_no").alias("reason"), (F.min("seg_no") + 1).alias("segment_no")
     )
     sound = judged.join(faults.select(key), key, "left_anti")
-    flat = sound.select(key, "seg_no", start.alias("_ss"), end.alias("_se"), F.posexplode("_words").alias("_wno", "_w"))
+    flat = sound.select(key, "seg_no", "_ss", "_se", F.posexplode("_words").alias("_wno", "_w")).select(
+        key, "seg_no", "_ss", "_se", "_wno", F.col("_w.start").alias("_ws"), F.col("_w.end").alias("_we"), F.col("_w.word").alias("_word"),
+        F.coalesce("_w.confidence", F.lit(1.0)).alias("confidence"),
+    )
     number = F.row_number().over(Window.partitionBy(key).orderBy("seg_no", "_wno"))
-    clamped_start = F.greatest(F.col("_ss"), F.least(F.col("_w.start"), F.col("_se") - MIN_WORD_S))
-    clamped_end = F.least(F.col("_se"), F.greatest(F.col("_w.end"), clamped_start + MIN_WORD_S))
+    clamped_start = F.greatest(F.col("_ss"), F.least(F.col("_ws"), F.col("_se") - MIN_WORD_S))
+    clamped_end = F.least(F.col("_se"), F.greatest(F.col("_we"), clamped_start + MIN_WORD_S))
     words = flat.select(
-        key, "seg_no", F.format_string("w%06d", number).alias("word_id"), F.bround(clamped_start, 6).alias("start_s"),
-        F.bround(clamped_end, 6).alias("end_s"), F.trim("_w.word").alias("text"), F.coalesce("_w.confidence", F.lit(1.0)).alias("confidence"),
+        key, "seg_no", F.format_string("w%06d", number).alias("word_id"), F.bround(clamped_start, digits).alias("start_s"),
+        F.bround(clamped_end, digits).alias("end_s"), F.trim("_word").alias("text"), "confidence",
     )
     utterances = sound.select(
-        key, "seg_no", F.coalesce("_s.id", F.format_string("u%04d", F.col("seg_no") + 1)).alias("id"), start.alias("start_s"),
-        end.alias("end_s"), F.trim("_s.text").alias("text"), F.size("_words").alias("word_count"),
-        F.coalesce("_s.decision", F.lit("keep")).alias("decision"), F.col("_s.reason").alias("reason"), F.col("_s.take_group").alias("take_group"),
+        key, "seg_no", F.coalesce("_id", F.format_string("u%04d", F.col("seg_no") + 1)).alias("id"), start.alias("start_s"),
+        end.alias("end_s"), "text", F.size("_words").alias("word_count"), "decision", "reason", "take_group",
     )
     return utterances, words, faults
 
 
 def segment_words(elements: DataFrame, key: str, gap_s: float = 0.6, max_s: float = 15.0) -> DataFrame:
     """Utterances of a recogniser's element list: ``elements`` has key and an array of
-    (kind, value, start_s, end_s, monologue).
+    (kind, value, start_s, end_s, monologue); a recording is one row.
 
-    Punctuation sticks to the word before it; a new utterance starts after a long gap or when
-    the running one would last too long. The fold runs over the array of one recording.
+    Punctuation sticks to the word before it. A new utterance starts after a long gap inside a
+    monologue, or when the running one would last too long. Gaps cut the words into runs; the
+    length rule depends on where an utterance began and is a fold over the runs that need it.
     """
-    texts = F.filter("elements", lambda e: (e["kind"] == "punct") | ((e["kind"] == "text") & (F.trim(e["value"]) != "") & (e["end_s"] > e["start_s"])))
-    word_type = "struct<word: string, start_s: double, end_s: double, monologue: int, utterance: int>"
-    state = F.struct(
-        F.array().cast(f"array<{word_type}>").alias("words"), F.lit(0).alias("utterance"), F.lit(None).cast("double").alias("opened")
+    rows = elements.select(key, F.posexplode("elements").alias("_at", "_e")).select(
+        key, "_at", F.col("_e.kind").alias("kind"), F.trim("_e.value").alias("value"), F.col("_e.start_s").alias("start_s"),
+        F.col("_e.end_s").alias("end_s"), F.col("_e.monologue").alias("monologue"),
     )
-
-    def step(acc, e):
-        last = F.try_element_at(acc["words"], F.lit(-1))
-        size = F.size(acc["words"])
-        glued = F.struct(F.concat(last["word"], F.trim(e["value"])).alias("word"), last["start_s"].alias("start_s"), last["end_s"].alias("end_s"),
-                         last["monologue"].alias("monologue"), last["utterance"].alias("utterance"))
-        with_mark = F.struct(
-            F.when(size > 0, F.concat(F.slice(acc["words"], F.lit(1), F.greatest(size - 1, F.lit(0))), F.array(glued))).otherwise(acc["words"]).alias("words"),
-            acc["utterance"].alias("utterance"), acc["opened"].alias("opened"),
-        )
-        # The gap is measured inside a monologue only.
-        gap = F.when(last["monologue"] == e["monologue"], e["start_s"] - last["end_s"]).otherwise(F.lit(0.0))
-        opens = acc["opened"].isNull() | (F.coalesce(gap, F.lit(0.0)) >= gap_s) | (e["end_s"] - acc["opened"] > max_s)
-        number = acc["utterance"] + F.when(opens, F.lit(1)).otherwise(F.lit(0))
-        word = F.struct(F.trim(e["value"]).alias("word"), e["start_s"].alias("start_s"), e["end_s"].alias("end_s"),
-                        e["monologue"].alias("monologue"), number.alias("utterance"))
-        spoken = F.struct(F.array_append(acc["words"], word).alias("words"), number.alias("utterance"),
-                          F.when(opens, e["start_s"]).otherwise(acc["opened"]).alias("opened"))
-        return F.when(e["kind"] == "punct", with_mark).otherwise(spoken)
-
-    words = elements.select(key, F.explode(F.aggregate(texts, state, step, lambda acc: acc["words"])).alias("_w"))
-    return words.groupBy(key, F.col("_w.utterance").alias("utterance")).agg(
+    is_word = (F.col("kind") == "text") & (F.col("end_s") > F.col("start_s"))
+    rows = rows.filter((F.col("value") != "") & (is_word | (F.col("kind") == "punct")))
+    order = Window.partitionBy(key).orderBy("_at")
+    numbered = rows.withColumn("_word", F.sum(is_word.cast("int")).over(order)).filter("_word > 0")
+    words = numbered.groupBy(key, "_word").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda r: r["value"]), "").alias("word"),
+        F.max("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("monologue").alias("monologue"),
+    )
+    by_word = Window.partitionBy(key).orderBy("_word")
+    gap = F.when(F.lag("monologue").over(by_word) == F.col("monologue"), F.col("start_s") - F.lag("end_s").over(by_word))
+    opened = words.withColumn("_opens", (F.coalesce(gap, F.lit(0.0)) >= gap_s).cast("int"))
+    runs = opened.withColumn("_run", F.sum("_opens").over(by_word)).groupBy(key, "_run").agg(
+        F.array_sort(F.collect_list(F.struct("_word", "start_s", "end_s", "word"))).alias("_words")
+    )
+    first = F.struct(F.col("_words")[0]["start_s"].alias("opened"), F.array().cast("array<bigint>").alias("heads"))
+
+    def step(acc: Column, w: Column) -> Column:
+        late = w["end_s"] - acc["opened"] > max_s
+        return F.when(late, F.struct(w["start_s"].alias("opened"), F.array_append(acc["heads"], w["_word"]).alias("heads"))).otherwise(acc)
+
+    # Heads: numbers of the words that open a further utterance inside the run.
+    heads = F.when(
+        F.col("_words")[F.size("_words") - 1]["end_s"] - F.col("_words")[0]["start_s"] > max_s,
+        F.aggregate(F.slice("_words", 2, F.size("_words")), first, step, lambda acc: acc["heads"]),
+    ).otherwise(F.array().cast("array<bigint>"))
+    spread = runs.withColumn("_heads", heads).select(key, "_run", "_heads", F.explode("_words").alias("_w")).withColumn(
+        "_part", F.size(F.filter("_heads", lambda h: h <= F.col("_w._word")))
+    )
+    spoken = spread.groupBy(key, "_run", "_part").agg(
         F.min("_w.start_s").alias("start_s"), F.max("_w.end_s").alias("end_s"), F.count(F.lit(1)).alias("words"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_w.start_s", "_w.end_s", "_w.word"))), lambda w: w["word"]), " ").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("_w")), lambda w: w["word"]), " ").alias("text"),
     )
+    number = F.row_number().over(Window.partitionBy(key).orderBy("_run", "_part"))
+    return spoken.select(key, number.alias("utterance"), "start_s", "end_s", "words", "text")
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
