@@ -8,9 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timelinekit.session import widen
+
+
+TEXT_TABLES = ("documents", "pages")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return widen(df) if name in TEXT_TABLES else df
 
 
 # Candidates: documents as feed items, doc_id as recency, labels as scores.

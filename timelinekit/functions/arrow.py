@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from bisect import bisect_left
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -22,16 +23,27 @@ def nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda s: unicodedata.normalize("NFKC", s).casefold(), na_action="ignore")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """difflib ratio of two token arrays; the argument order is part of the rule."""
+def sequence_ratio(threshold: float = 0.0):
+    """UDF: difflib ratio of two token arrays; the argument order is part of the rule.
 
-    def one(a, b) -> float:
-        if len(a) == 0 or len(b) == 0:
-            return 0.0
-        return SequenceMatcher(None, list(a), list(b), autojunk=False).ratio()
+    The multiset overlap bounds the ratio from above. Where the bound is already below
+    ``threshold`` it is returned instead, so results at or above the threshold are exact.
+    """
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
+    @F.pandas_udf(T.DoubleType())
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(a, b) -> float:
+            if len(a) == 0 or len(b) == 0:
+                return 0.0
+            shared = sum((Counter(a) & Counter(b)).values())
+            bound = 2.0 * shared / (len(a) + len(b))
+            if bound < threshold:
+                return bound
+            return SequenceMatcher(None, list(a), list(b), autojunk=False).ratio()
+
+        return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
+
+    return ratio
 
 
 def _bit_rows(tokens) -> tuple[dict, int]:

@@ -46,3 +46,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's state in the reliable checkpoint folder."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores.
+
+    Small files give one task, which starves the text work behind them; a large table
+    already has more splits than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
