@@ -18,9 +18,7 @@ JUNK_RE2 = op.JUNK_TITLE.replace(r"\w", r"[\p{L}\p{N}_]")
 
 def _recent_rows(spark: SparkSession, sf: str) -> DataFrame:
     items = candidates(spark, sf)
-    newest = items.agg(F.max("published").alias("now"))
-    joined = items.crossJoin(F.broadcast(newest))  # one row: the largest time
-    return op.recent(joined, F.col("now")).drop("now")
+    return op.recent(items, items.agg(F.max("published")).scalar())
 
 
 def morning_list(spark: SparkSession, sf: str) -> DataFrame:

@@ -56,7 +56,7 @@ def groups_contract(members: DataFrame, bindings: DataFrame, by: Sequence[str],
     """
     by = list(by)
     known = bindings.groupBy("segment", "id").agg(F.count(F.lit(1)).alias("_bound"))
-    joined = members.join(known, ["segment", "id"], "left")
+    joined = lookup_join(members, known, ["segment", "id"], "left")
     # Distinct segments without a set per group: count per (group, segment), then sum.
     per_segment = joined.groupBy(*by, "segment").agg(
         F.count(F.lit(1)).alias("_in_segment"), F.count_if(F.col("_bound").isNull()).alias("_ghosts"),

@@ -67,10 +67,8 @@ def enrich_from_source(entries: DataFrame, source: DataFrame, keys: Sequence[str
     own = source.select(*keys, canonical_id(F.col("id")).alias("_own"), F.col("start_s").alias("_s"), F.col("end_s").alias("_e"),
                         F.col("word_count").alias("_w"))
     parent = own.select(*keys, F.col("_own").alias("_parent"), F.col("_w").alias("_pw"))
-    joined = (
-        entries.withColumn("_own", canonical_id(F.col("id"))).withColumn("_parent", parent_id(F.col("id")))
-        .join(own, [*keys, "_own"], "left").join(parent, [*keys, "_parent"], "left")
-    )
+    named = entries.withColumn("_own", canonical_id(F.col("id"))).withColumn("_parent", parent_id(F.col("id")))
+    joined = lookup_join(lookup_join(named, own, [*keys, "_own"], "left"), parent, [*keys, "_parent"], "left")
     found, split = F.col("_s").isNotNull(), F.col("_pw").isNotNull()
     reject = (
         F.when(~found & F.col("_parent").isNull(), F.lit("unknown id"))
@@ -126,7 +124,8 @@ def orphan_anchors(overlays: DataFrame, entries: DataFrame, keys: Sequence[str])
     keys = list(keys)
     counts = overlays.groupBy(*keys, "overlay_id").agg(F.count(F.lit(1)).alias("_n"))
     kinds = entries.select(*keys, F.col("id").alias("anchor"), F.col("kind").alias("_kind"))
-    joined = lookup_join(overlays, counts, [*keys, "overlay_id"], "inner").join(kinds, [*keys, "anchor"], "left")
+    counted = lookup_join(overlays, counts, [*keys, "overlay_id"], "inner")
+    joined = lookup_join(counted, kinds, [*keys, "anchor"], "left")
     fault = (
         F.when(F.col("_n") > 1, F.lit("duplicate overlay id"))
         .when(~F.col("type").isin(*VISUAL_TYPES), F.lit("unsupported type"))
@@ -181,10 +180,9 @@ def scene_contract(scenes: DataFrame, recipes: DataFrame, entries: DataFrame, ke
     keys = list(keys)
     counts = scenes.groupBy(*keys, "scene_id").agg(F.count(F.lit(1)).alias("_n"))
     kinds = entries.select(*keys, F.col("id").alias("anchor"), F.col("kind").alias("_kind"))
-    joined = (
-        lookup_join(scenes, counts, [*keys, "scene_id"], "inner")
-        .join(recipes.withColumn("_known", F.lit(True)), "recipe", "left").join(kinds, [*keys, "anchor"], "left")
-    )
+    counted = lookup_join(scenes, counts, [*keys, "scene_id"], "inner")
+    with_recipe = lookup_join(counted, recipes.withColumn("_known", F.lit(True)), ["recipe"], "left")
+    joined = lookup_join(with_recipe, kinds, [*keys, "anchor"], "left")
     filled = F.map_keys(F.map_filter("fields", lambda _, v: F.trim(F.coalesce(v, F.lit(""))) != ""))
     fault = (
         F.when(F.col("_known").isNull(), F.lit("unknown recipe"))
@@ -225,7 +223,7 @@ def revision_errors(entries: DataFrame, operations: DataFrame, layout: KeyLayout
     """
     *keys, _ = layout.keys
     known = entries.select(*keys, "id", F.col("kind").alias("_kind"), F.col("text").alias("_text"), F.col("visual").alias("_visual"))
-    joined = operations.join(known, [*keys, "id"], "left")
+    joined = lookup_join(operations, known, [*keys, "id"], "left")
     slot = (
         F.when(F.col("operation").isin("cut", "keep"), F.lit("kind")).when(F.col("operation") == "replace-text", F.lit("text"))
         .when(F.col("operation").isin(*VISUAL_OPERATIONS), F.lit("visual"))

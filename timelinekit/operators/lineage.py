@@ -89,7 +89,7 @@ def catalog_rejects(catalog: DataFrame, inventory: DataFrame) -> DataFrame:
     ``inventory``: path, sha256 (null when unreadable), is_file."""
     named = catalog.groupBy("id").agg(F.min("ordinal").alias("_first"))
     there = inventory.select("path", F.col("sha256").alias("_sha"), F.col("is_file").alias("_file"), F.lit(True).alias("_there"))
-    joined = lookup_join(catalog, named, ["id"], "inner").join(there, "path", "left")
+    joined = lookup_join(lookup_join(catalog, named, ["id"], "inner"), there, ["path"], "left")
     outside = F.col("path").startswith("/") | F.array_contains(F.split("path", "/"), "..")
     reject = (
         F.when(~F.col("id").rlike(ASSET_ID) | (F.col("ordinal") != F.col("_first")), F.lit("invalid-or-duplicate-id"))

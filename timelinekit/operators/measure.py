@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelinekit.plans.layout import KeyLayout
+from timelinekit.plans.layout import KeyLayout, lookup_join
 from timelinekit.plans.ordered import islands, ordered_scan
 from timelinekit.plans.quantiles import exact_percentiles
 from timelinekit.plans.thinning import thin
@@ -65,7 +65,7 @@ def corridor_check(measured: DataFrame, profile: DataFrame) -> DataFrame:
         .when((mine >= F.col("lo") - pad) & (mine <= F.col("hi") + pad), F.lit("inside"))
         .otherwise(F.lit("outside"))
     )
-    return measured.join(F.broadcast(profile), "metric", "left").withColumn("verdict", verdict)
+    return lookup_join(measured, profile, ["metric"], "left").withColumn("verdict", verdict)
 
 
 def category_counts(df: DataFrame, keys: Sequence[str], category: str) -> DataFrame:

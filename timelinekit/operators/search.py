@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelinekit.functions.text import casefold, squeeze, token_set, tokens
+from timelinekit.plans.layout import lookup_join
 
 TAG_WEIGHT = 3
 
@@ -96,7 +97,7 @@ def resolve_assets(scenes: DataFrame, assets: DataFrame, matches: DataFrame) ->
     """
     named = assets.select(F.col("asset_id").alias("asset"), F.lit(True).alias("_named"))
     first = matches.filter("place = 1").select(F.col("query_id").alias("scene_id"), F.col("asset_id").alias("_found"))
-    joined = scenes.join(named, "asset", "left").join(first, "scene_id", "left")
+    joined = lookup_join(scenes, named, ["asset"], "left").join(first, "scene_id", "left")
     library = F.col("type") == "library-broll"
     chosen = F.when(F.col("asset").isNotNull(), F.when(F.col("_named"), F.col("asset"))).otherwise(F.col("_found"))
     resolution = (

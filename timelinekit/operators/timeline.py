@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelinekit.plans.layout import KeyLayout
+from timelinekit.plans.layout import KeyLayout, lookup_join
 from timelinekit.plans.ordered import islands, ordered_scan
 from timelinekit.plans.ranges import merge_spans, overlap_join, point_join
 
@@ -42,7 +42,7 @@ def free_gaps(
     closing = durations.filter("duration_s > 0.1").select(
         *keys, F.col("duration_s").alias("x"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_reach")
     )
-    with_end = marks.join(closing.select(*keys), keys, "left_semi").unionByName(closing)
+    with_end = layout.join_per_key(marks, closing.select(*keys), "left_semi").unionByName(closing)
     # The closing mark is compared last even when windows start after the media ends.
     seen = ordered_scan(
         with_end.withColumn("_at", F.when(F.col("_kind") == 1, F.lit(float("inf"))).otherwise(F.col("x"))),
@@ -74,7 +74,7 @@ def interval_subtract(
                          prev={"_prev": "start_s"})
     reach = spans.groupBy(*keys).agg(F.min("start_s").alias("_lo"), F.max("end_s").alias("_hi"))
     free = (
-        after.join(reach, keys)
+        layout.join_per_key(after, reach)
         .select(*keys, F.col("end_s").alias("_fs"), F.coalesce("_next", F.greatest("_hi", "end_s")).alias("_fe"))
         .unionByName(after.filter("_prev IS NULL").join(reach, keys)
                      .select(*keys, F.least("_lo", "start_s").alias("_fs"), F.col("start_s").alias("_fe")))
@@ -224,10 +224,10 @@ def overlays_on_timeline(entries: DataFrame, overlays: DataFrame, layout: KeyLay
     based = rebase_timeline(entries.withColumn("duration_s", F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))),
                             layout, order)
     keys = list(layout.keys)
-    joined = overlays.join(
-        based.select(*keys, F.col("id").alias("anchor"), F.col("start_s").alias("_as"), F.col("end_s").alias("_ae"),
+    joined = lookup_join(
+        overlays, based.select(*keys, F.col("id").alias("anchor"), F.col("start_s").alias("_as"), F.col("end_s").alias("_ae"),
                      "duration_s", "offset_s"),
-        [*keys, "anchor"],
+        [*keys, "anchor"], "inner",
     )
     start, end = anchor_window(F.col("from_s"), F.col("_as"), F.col("_ae"))
     local_start = F.greatest(F.lit(0.0), start - F.col("_as"))
