@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +34,29 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_KEY, str(DEFAULT_HOT_ROWS)))
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_root(spark: SparkSession) -> str:
+    """The folder driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a plain local session (tests, benchmarks) may run without the setting and then gets a
+    local folder; on a cluster a machine-local folder would lose data, so that is an error.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    # Only a session without the shared folder (tests) falls back to a local one.
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="timelinekit-ckpt-"))
+    root = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if root:
+        return root.rstrip("/")
+    if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="timelinekit-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's state in the reliable checkpoint folder."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    root = shared_root(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return df.checkpoint(eager=True)
 
 
