@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelinekit.llm import simhash, token_output, toxicity, warc
+from timelinekit.llm import decontamination, mixing, simhash, token_output, toxicity, warc
 from timelinekit.llm.common import table
 
 END_ID = 2
@@ -22,6 +22,16 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return mixing.mix(docs, block_docs=16).select("doc_id", "source", "block", "round", "slot", "nth")
+
+
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", "covered", "coverage", "slots", "consistency")
+
+
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), distance=4, shingle=4, seed=42)
 
@@ -37,6 +47,8 @@ def op10_token_output(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
     "op7_simhash": op7_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
