@@ -13,10 +13,12 @@ from timelinekit.session import shared_root
 
 # Rows of one Arrow batch; texts may hold a megabyte, so batches stay small.
 BATCH_ROWS = 256
+BATCH_BYTES = "32m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelinekit.llm import decontamination, mixing, simhash, token_output, toxicity, warc
+from timelinekit.llm import decontamination, language, mixing, nearest, pii, simhash, token_counts, token_output, toxicity, warc
 from timelinekit.llm.common import table
 
 END_ID = 2
@@ -32,10 +32,27 @@ def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", "covered", "coverage", "slots", "consistency")
 
 
+def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    scores = token_counts.piece_scores(tokenizer_path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf, "documents"), scores)
+
+
+def op5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf, "embeddings"), every=20, k=20)
+
+
+def op6_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), distance=4, shingle=4, seed=42)
 
 
+def op8_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -49,7 +66,11 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
+    "op4_token_counts": op4_token_counts,
+    "op5_nearest": op5_nearest,
+    "op6_language": op6_language,
     "op7_simhash": op7_simhash,
+    "op8_personal_data": op8_personal_data,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
 }
