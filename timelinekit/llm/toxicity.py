@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelinekit.llm.common import hold_out, map_batches
+from timelinekit.llm.common import hold_out, map_batches, saved
 
 # fixed values: common English insults
 INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "trash", "garbage", "worthless", "pathetic", "disgusting", "clown", "clowns", "dumb", "imbecile", "retard", "bastard", "bitch", "asshole", "fuck", "fucking", "shit", "cunt", "whore", "slut", "faggot", "vermin", "filth")
@@ -39,6 +39,7 @@ PATTERNS = (
 WORD = re.compile(r"\w+")
 SAMPLE_ROWS = 20_000
 MIN_DOCS = 5
+MIN_Z = 6.0
 LEXICON = 48
 VOCABULARY = 2_048
 
@@ -61,51 +62,60 @@ def features(text: str | None, words: dict[str, int]) -> list[int]:
     return found + [len(words) + i for i, (_, p) in enumerate(PATTERNS) if re.search(p, low)]
 
 
-def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared_weight(residuals: np.ndarray) -> np.ndarray:
+    """One over the sum of a voter's positive correlations, its own included."""
+    left = residuals - residuals.mean(axis=0)
+    spread = left.std(axis=0) + 1e-9
+    return 1 / np.clip(left.T @ left / max(1, len(left)) / np.outer(spread, spread), 0, 1).sum(axis=0).clip(1)
+
+
+def label_model(votes: np.ndarray, start: np.ndarray | None = None, hints: int | None = None, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of toxic, accuracy by voter, weight by voter) of votes in {1, -1, 0}.
 
-    Two classes; a voter has its own chance of each vote in each class. The residuals of votes
-    against their class means give the correlations; a voter's weight is one over the sum of its
-    positive correlations, its own included.
+    Two classes; a voter has its own chance of each vote in each class, estimated by expectation
+    maximisation from ``start`` (else the weighted majority), whose class balance is kept. A vote
+    may only speak for its own class, which keeps the classes from changing places; a missing vote
+    says nothing. Weights come from the correlations that the class means leave unexplained, taken
+    among the first ``hints`` voters (all, if not given); the others keep weight one.
     """
-    n, m = votes.shape
-    share = votes.mean(axis=1) if m else np.zeros(n)
-    post = np.clip(0.5 + share, 0.02, 0.98)
-    weight, chance, prior = np.ones(m), np.full((2, 3, m), 1 / 3), 0.5
-    kinds = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
+    hints = votes.shape[1] if hints is None else hints
+    rest = np.ones(votes.shape[1] - hints)
+    weight = np.concatenate([_shared_weight(votes[:, :hints]), rest])
+    if start is None:
+        lean = votes @ weight
+        start = 1 / (1 + np.exp(-4 * lean / max(1e-9, np.abs(lean).max())))
+    post = np.clip(start, 0.02, 0.98)
+    prior = float(np.clip(post.mean(), 0.01, 0.99))
+    kinds = {v: (votes == v).astype(np.float64) for v in (1, -1)}
     for turn in range(rounds):
-        prior = float(np.clip(post.mean(), 0.01, 0.99))
-        for c, p in enumerate((1 - post, post)):
-            chance[c] = np.array([(p @ k + 0.5) / (p.sum() + 1.5) for k in kinds])
-        if turn % 10 == 5 and m > 1:
+        if turn in (0, rounds // 2):
             means = [np.average(votes, axis=0, weights=p + 1e-9) for p in (1 - post, post)]
             left = votes - np.outer(1 - post, means[0]) - np.outer(post, means[1])
-            spread = left.std(axis=0) + 1e-9
-            correlation = (left.T @ left) / n / np.outer(spread, spread)
-            weight = 1 / np.clip(correlation, 0, 1).sum(axis=0).clip(1)
-        log = np.log(chance)
-        lean = sum(k @ (weight * (log[1, i] - log[0, i])) for i, k in enumerate(kinds))
-        post = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + lean)))
-    right = (chance[1, 2] * prior + chance[0, 0] * (1 - prior)) / ((chance[1, 2] + chance[1, 0]) * prior + (chance[0, 0] + chance[0, 2]) * (1 - prior))
-    return post, right, weight
-
-
-def linear_fit(rows: list[list[int]], target: np.ndarray, size: int, penalty: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression with an absolute penalty on sparse 0/1 rows, by accelerated proximal steps."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.fromiter((c for r in rows for c in r), dtype=np.int64, count=len(at))
-    w, before, b, b_before, n = np.zeros(size), np.zeros(size), 0.0, 0.0, max(1, len(rows))
-    widest = max((len(r) for r in rows), default=0) + 1
-    rate = 4.0 / min(widest, 24)
-    for turn in range(1, steps + 1):
-        pull = (turn - 1) / (turn + 2)
-        y, yb = w + pull * (w - before), b + pull * (b - b_before)
-        gap = 1 / (1 + np.exp(-(np.bincount(at, y[cols], len(rows)) + yb))) - target
-        slope = np.bincount(cols, gap[at], size) / n
-        before, b_before = w, b
-        w = y - rate * slope
+            weight = np.concatenate([_shared_weight(left[:, :hints]), rest])
+        chance = {v: np.array([(p @ k + 0.1) / (p.sum() + 0.3) for p in (1 - post, post)]) for v, k in kinds.items()}
+        speak = {v: v * np.maximum(0, v * np.log(c[1] / c[0])) for v, c in chance.items()}
+        lean = sum(k @ (weight * speak[v]) for v, k in kinds.items())
+        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + lean, -30, 30)))
+    good = chance[1][1] * prior + chance[-1][0] * (1 - prior)
+    return post, good / (good + chance[-1][1] * prior + chance[1][0] * (1 - prior)), weight
+
+
+def linear_fit(at: np.ndarray, cols: np.ndarray, target: np.ndarray, size: int, penalty: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
+    """Logistic regression with an absolute penalty on sparse 0/1 rows given as (row, column) pairs.
+
+    Steps adapt to each feature, so that rare words are learned as fast as frequent ones.
+    """
+    w, b, n = np.zeros(size), 0.0, max(1, len(target))
+    seen, seen_b = np.full(size, 1e-12), 1e-12
+    for _ in range(steps):
+        gap = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[cols], n)[:n] + b, -30, 30))) - target
+        slope, slope_b = np.bincount(cols, gap[at], size) / n, gap.sum() / n
+        seen += slope**2
+        seen_b += slope_b**2
+        rate = 0.5 / np.sqrt(seen)
+        w = w - rate * slope
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
-        b = yb - rate * gap.sum() / n
+        b -= 0.5 / np.sqrt(seen_b) * slope_b
     return w, float(b)
 
 
@@ -124,8 +134,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             held = [(w, t) for x, t in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()) for w in set(WORD.findall((x or "").lower()))]
             yield {"word": [w for w, _ in held], "toxic": [t for _, t in held]}
 
-    from timelinekit.llm.common import saved
-
     drawn = saved(drawn.withColumn("toxic", F.col("toxic").cast("int")), "toxicity-sample")
     drawn = drawn.repartition(max(8, drawn.sparkSession.sparkContext.defaultParallelism))
     sizes = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
@@ -133,11 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     per_word = map_batches(drawn, spread, "word string, toxic int").groupBy("word").agg(
         F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") != 1).alias("good")
     )
-    tilt = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
-    noise = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    ranked = per_word.filter(F.col("bad") + F.col("good") >= MIN_DOCS).withColumn("z", tilt / noise)
-    top = ranked.orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).collect() if bad and good else []
-    leading = [r["word"] for r in sorted(top, key=lambda r: (-r["z"], r["word"])) if r["z"] > 4][:LEXICON]
+    share = bad / max(1, bad + good)
+    n = F.col("bad") + F.col("good")
+    z = (F.col("bad") - n * share) / F.sqrt(n * F.lit(share * (1 - share)))
+    ranked = per_word.filter(n >= MIN_DOCS).withColumn("z", z).filter(F.abs("z") >= MIN_Z) if bad and good else None
+    top = ranked.orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).collect() if ranked is not None else []
+    leading = [r["word"] for r in sorted(top, key=lambda r: (-r["z"], r["word"])) if r["z"] > 0][:LEXICON]
     words = {w: i for i, w in enumerate(dict.fromkeys([*INSULTS, *leading, *(r["word"] for r in top)]))}
     voters = [*dict.fromkeys([*INSULTS, *leading])]
 
@@ -145,22 +154,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         for batch in batches:
             yield {"found": [features(t, words) for t in batch["text"].to_pylist()], "toxic": batch["toxic"]}
 
-    rows = map_batches(drawn, index, "found array<int>, toxic int").collect() if words else []
-    held = [list(r["found"]) for r in rows]
-    # beside the sample stand two rows for each public insult and none, so that the list decides without labels
-    held += [[words[w]] for w in INSULTS] + [[] for _ in INSULTS]
-    given = np.array([1 if r["toxic"] == 1 else -1 for r in rows] + [0] * (2 * len(INSULTS)), dtype=np.float64)
-    marks = [words[w] for w in voters] + [len(words) + i for i in range(len(PATTERNS))]
-    place = {c: j for j, c in enumerate(marks)}
-    votes = np.zeros((len(held), len(marks) + 2))
-    for i, row in enumerate(held):
-        for c in row:
-            if c in place:
-                votes[i, place[c]] = 1
+    indexed = map_batches(drawn, index, "found array<int>, toxic int").toArrow().combine_chunks() if words else None
+    found = indexed.column("found").combine_chunks() if indexed is not None and len(indexed) else None
+    sizes_of = np.diff(found.offsets.to_numpy()) if found is not None else np.zeros(0, np.int64)
+    own = found.flatten().to_numpy() if found is not None else np.zeros(0, np.int64)
+    toxic = indexed.column("toxic").to_numpy() if found is not None else np.zeros(0)
+    # beside the sample stand a row for each public insult and as many without any word, so that the list decides without labels
+    n = len(sizes_of) + 2 * len(INSULTS)
+    at = np.concatenate([np.repeat(np.arange(len(sizes_of)), sizes_of), np.arange(len(sizes_of), len(sizes_of) + len(INSULTS))])
+    cols = np.concatenate([own, [words[w] for w in INSULTS]]).astype(np.int64)
+    marks = np.array([words[w] for w in voters] + [len(words) + i for i in range(len(PATTERNS))])
+    place = np.full(len(words) + len(PATTERNS), -1)
+    place[marks] = np.arange(len(marks))
+    votes = np.zeros((n, len(marks) + 2))
+    telling = place[cols] >= 0
+    votes[at[telling], place[cols[telling]]] = 1
     votes[:, -2] = np.where((votes[:, : len(voters)] > 0).any(axis=1), 1, -1)
-    votes[:, -1] = given
-    post, _, _ = label_model(votes)
-    weights, intercept = linear_fit(held, post, len(words) + len(PATTERNS))
+    votes[: len(toxic), -1] = np.where(toxic == 1, 1, -1)
+    # the model starts from the given labels and, beside the sample, from the list
+    anchor = np.where(votes[:, -1] == 0, votes[:, -2], votes[:, -1])
+    post, _, _ = label_model(votes, np.where(anchor > 0, 0.98, 0.02), hints=len(marks))
+    weights, intercept = linear_fit(at, cols, post, len(words) + len(PATTERNS))
     return Model(words, weights, intercept)
 
 
