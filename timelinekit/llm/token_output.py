@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,8 @@ MAGIC = b"DACIDS01"
 HEADER = struct.Struct("<8sIIIQBQ")  # magic, part, segment, documents, ids, levels, bytes that follow
 RANK_BITS = 512
 SEGMENT_IDS = 4_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+JOINED_WORDS = 64
 END = "\n"
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -152,28 +154,87 @@ class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
     No pre-token of the vocabulary spans a blank, tab or line end, so a text's ids are those of
-    its parts between them one after the other; parts seen before come from a bounded table.
+    its parts between them one after the other; parts seen before come from a bounded table that
+    a worker keeps from task to task. A part of letters only is one pre-token, whose last id ends
+    a word; such parts are encoded many at a time and taken apart at those ids.
     """
 
+    _made: dict[str, "WordEncoder"] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.reset()
+
+    @classmethod
+    def of(cls, path: str) -> "WordEncoder":
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def reset(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
+        self._add_each([",", "."])
+
+    def _add_each(self, words: list[str]) -> None:
+        for word, found in zip(words, self.model.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[word] = array("I", found.ids).tobytes()
+
+    def _add_letters(self, words: list[str]) -> None:
+        """Parts of letters only: ASCII ones go lowered to the vocabulary's model, which gets what the
+        normaliser would give it; the rest is joined by blanks and cut after each id that ends a word."""
+        plain = [w for w in words if w.isascii()]
+        words = [w for w in words if not w.isascii()]
+        known, merge = self.known, self.model.model.tokenize
+        for w in plain:
+            low = w.lower()
+            found = known.get(low)
+            if found is None:
+                found = known[low] = array("I", [t.id for t in merge(low)]).tobytes()
+            known[w] = found
+        lists = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        for some, found in zip(lists, self.model.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                self._add_each(some)  # a letter that lowers to a letter and a mark makes two pre-tokens
+                continue
+            data, at = ids.tobytes(), 0
+            for word, cut in zip(some, (cuts * 4).tolist()):
+                self.known[word] = data[at:cut]
+                at = cut
+
+    def _learn(self, missing: set[str]) -> None:
+        known, letters, others, marked = self.known, set(), [], []
+        for w in missing:
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1] in ".," and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in known:
+                    letters.add(w[:-1])
+            else:
+                others.append(w)
+        self._add_letters(list(letters))
+        self._add_each(others)
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        for start in range(0, len(new), 4096):
-            some = new[start : start + 4096]
-            for word, found in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                known[word] = np.array(found.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            self.reset()
+        get, out = self.known.get, []
+        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        first = [list(map(get, p)) for p in parts]
+        self._learn({w for p, f in zip(parts, first) if None in f for w, b in zip(p, f) if b is None})
+        for p, f in zip(parts, first):
+            out.append(b"".join(map(self.known.__getitem__, p) if None in f else f))
+        return out
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, order: list[str] | None = None, segment_ids: int = SEGMENT_IDS) -> str:
@@ -192,7 +253,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, order: list[str] | None
     def work(batches):
         from pyspark import TaskContext
 
-        encoder, part, number = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = WordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, pieces, held = [], [], 0
 
         def flush():
