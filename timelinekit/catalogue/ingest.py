@@ -31,11 +31,11 @@ def _clean(sql: str) -> str:
     return f"trim(regexp_replace({_ENT.format(f'''regexp_replace({sql}, '<[^>]+>', ' ', 'g')''')}, '{_WS}+', ' ', 'g'))"
 
 
-_FIRST_LINE = "left(split_part(text, chr(10), 1), 120)"
+_FIRST_LINE = "split_part(text, chr(10), 1)"
 
 
 @_q("feed_items", f"""SELECT feed, url, title, summary, published, length(fulltext) AS full_chars FROM (
-  SELECT source AS feed, 'https://' || source || '.example.com/' || doc_id AS url, {_clean(_FIRST_LINE)} AS title, left({_clean('left(text, 700)')}, 600) AS summary,
+  SELECT source AS feed, 'https://' || source || '.example.com/' || doc_id AS url, {_clean(_FIRST_LINE)} AS title, left({_clean('text')}, 600) AS summary,
     CASE WHEN doc_id % 3 <> 0 THEN TIMESTAMP '2024-01-01 06:30:00' + to_minutes(CAST(doc_id AS BIGINT)) END AS published,
     CASE WHEN doc_id % 2 = 0 AND length({_clean('text')}) > 400 THEN left({_clean('text')}, 5000) END AS fulltext FROM documents WHERE doc_id % 11 <> 0)
 WHERE title <> '' AND (published IS NULL OR published >= TIMESTAMP '2024-01-01 08:00:00')""")
@@ -43,8 +43,8 @@ def _(spark, sf):
     docs = table(spark, sf, "documents")
     stamp = F.expr("timestampadd(MINUTE, doc_id, TIMESTAMP_NTZ'2024-01-01 06:30:00')")
     item = F.concat(
-        F.lit("<item><title>"), _xml(F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(120))), F.lit("</title><link>https://"), "source",
-        F.lit(".example.com/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), _xml(F.left("text", F.lit(700))), F.lit("</description>"),
+        F.lit("<item><title>"), _xml(F.split_part("text", F.lit("\n"), F.lit(1))), F.lit("</title><link>https://"), "source",
+        F.lit(".example.com/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), _xml(F.col("text")), F.lit("</description>"),
         F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<pubDate>Mon, "), F.date_format(stamp, "dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate>")))
         .when(F.col("doc_id") % 3 == 2, F.concat(F.lit("<dc:date>"), F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</dc:date>"))).otherwise(F.lit("")),
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<content:encoded>"), _xml(F.col("text")), F.lit("</content:encoded>"))).otherwise(F.lit("")), F.lit("</item>"),

@@ -62,14 +62,14 @@ def _(spark, sf):
 
 
 def _cards(spark, sf):
-    return table(spark, sf, "part").filter("p_size <= 10").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("card_id")).agg(
+    return table(spark, sf, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("card_id")).agg(
         F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("blob"),
         F.array_sort(F.collect_set(F.concat(F.lit("#"), F.split_part("p_name", F.lit(" "), F.lit(2))))).alias("tags"),
     )
 
 
 _CARDS = """(SELECT p_brand || '/' || p_type AS card_id, array_to_string(list_sort(list(DISTINCT p_name)), ' ') AS blob,
-  list_sort(list(DISTINCT '#' || split_part(p_name, ' ', 2))) AS tags FROM part WHERE p_size <= 10 GROUP BY 1)"""
+  list_sort(list(DISTINCT '#' || split_part(p_name, ' ', 2))) AS tags FROM part GROUP BY 1)"""
 _CARD_HITS = f"""(SELECT query_id, card_id, overlap, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, card_id) AS place FROM (
   SELECT query_id, card_id, count(*) AS overlap FROM (SELECT card_id, unnest({_TOKH.format('blob')}) AS term FROM {_CARDS} c) x
   JOIN (SELECT query_id, unnest({_TOKH.format('query')}) AS term FROM {_NAMES} n) q ON x.term = q.term GROUP BY ALL)) WHERE place <= 3)"""

@@ -8,15 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelinekit.session import widen
 
 
-TEXT_TABLES = ("documents", "pages")
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
-    return widen(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 # Candidates: documents as feed items, doc_id as recency, labels as scores.
@@ -28,8 +24,8 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("item_id"),
         F.col("lang").alias("category"),
         F.col("source").alias("feed"),
-        F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(120)).alias("title"),
-        F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.md5(F.right("text", F.lit(60)))).alias("url"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.concat(F.lit("https://"), "source", F.lit(".example.com/"), F.md5("text")).alias("url"),
         F.expr(
             "CASE WHEN doc_id % 17 <> 0 THEN "
             "timestampadd(MINUTE, doc_id * 5, TIMESTAMP_NTZ'2024-01-01 00:00:00') END"
@@ -41,8 +37,8 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 CANDIDATES = """(
   SELECT d.doc_id AS item_id, lang AS category, source AS feed,
-    left(split_part(text, chr(10), 1), 120) AS title,
-    'https://' || source || '.example.com/' || md5(right(text, 60)) AS url,
+    split_part(text, chr(10), 1) AS title,
+    'https://' || source || '.example.com/' || md5(text) AS url,
     CASE WHEN d.doc_id % 17 <> 0
       THEN TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(d.doc_id * 5 AS BIGINT)) END AS published,
     CAST(coalesce(quality * 2 + (1 - toxic), 0) AS INTEGER) AS score,
@@ -116,20 +112,27 @@ UTTERANCES = """(
   WHERE trim(text) <> '')"""
 
 
+# Lines of an order may share number, part and supplier; the price tells them apart.
+SHOT_PLACE = (
+    "l_linenumber * 100000000000000000 + l_partkey * 100000000000 + l_suppkey * 1000000"
+    " + CAST(round(l_extendedprice * 100) AS BIGINT) % 1000000"
+)
+
+
 # Shots and entries: order lines in line order, quantity as duration in seconds.
 def shots(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("k"),
         F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
-        F.expr("l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey").alias("pos"),
+        F.expr(SHOT_PLACE).alias("pos"),
         F.col("l_quantity").alias("duration_s"),
         F.when(F.col("l_returnflag") == "R", F.lit("cut")).otherwise(F.lit("keep")).alias("kind"),
         F.col("l_extendedprice").alias("price"),
     )
 
 
-SHOTS = """(
+SHOTS = f"""(
   SELECT l_orderkey AS k, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
-    l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS pos,
+    {SHOT_PLACE} AS pos,
     l_quantity AS duration_s, CASE WHEN l_returnflag = 'R' THEN 'cut' ELSE 'keep' END AS kind,
     l_extendedprice AS price FROM lineitem)"""

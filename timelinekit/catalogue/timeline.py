@@ -127,7 +127,7 @@ def _(spark, sf):
     return _silences(spark, sf)
 
 
-@_q("silence_cuts", f"""SELECT k, 'silence-' || lpad(CAST(n AS VARCHAR), 4, '0') AS cut_id, round(end_s - start_s, 6) AS gap_s,
+@_q("silence_cuts", f"""SELECT k, printf('silence-%04d', CAST(n AS BIGINT)) AS cut_id, round(end_s - start_s, 6) AS gap_s,
   round(start_s + 0.06, 6) AS start_s, round(end_s - 0.06, 6) AS end_s, round(end_s - 0.06 - (start_s + 0.06), 6) AS removed_s
 FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY start_s) AS n FROM {_RUNS} r)""")
 def _(spark, sf):

@@ -69,8 +69,8 @@ def _(spark, sf):
     return hits.withColumn("at_token", F.col("at_token").cast("long"))
 
 
-@_q("repeated_openers", f"""WITH t AS (SELECT *, lead(token) OVER (PARTITION BY k, id ORDER BY i) AS nt FROM {_TOKEN_ROWS} r),
-o AS (SELECT k, id, i, CASE WHEN token = 'of' AND nt = 'the' THEN 'of the' WHEN token IN ('the', 'le', 'de') THEN token END AS opener FROM t)
+@_q("repeated_openers", f"""WITH t AS (SELECT *, lead(token) OVER (PARTITION BY k, id ORDER BY i) AS nt, lag(token) OVER (PARTITION BY k, id ORDER BY i) AS pt FROM {_TOKEN_ROWS} r),
+o AS (SELECT k, id, i, CASE WHEN pt = 'of' AND token = 'the' THEN NULL WHEN token = 'of' AND nt = 'the' THEN 'of the' WHEN token IN ('the', 'le', 'de') THEN token END AS opener FROM t)
 SELECT k, id, opener, p AS at_token, i AS again_at, i - p AS gap_tokens FROM (
   SELECT *, lag(i) OVER (PARTITION BY k, id, opener ORDER BY i) AS p FROM o WHERE opener IS NOT NULL) WHERE i - p <= 6""")
 def _(spark, sf):

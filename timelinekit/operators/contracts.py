@@ -134,9 +134,12 @@ def style_defaults(wanted: DataFrame, styles: DataFrame, fields: Sequence[str],
     """Own setting, else the style's, else the default style's; an unknown style is the default."""
     base = styles.filter(F.col(style) == default).select(*[F.col(f).alias(f"_d_{f}") for f in fields])
     named = styles.select(style, *[F.col(f).alias(f"_s_{f}") for f in fields], F.lit(True).alias("_known"))
-    # ``base`` is the one row of the default style.
+    # One row; a second default style is an error, not a choice.
+    count = F.count(F.lit(1))
+    only = F.when(count > 1, F.raise_error(F.lit("more than one default style"))).otherwise(F.lit(1)).cast("int")
+    base = base.agg(*[F.max(c).alias(c) for c in base.columns], only.alias("_one"))
     joined = lookup_join(wanted, named, [style], "left").withColumn("_one", F.lit(1)).join(
-        F.broadcast(base.limit(1).withColumn("_one", F.lit(1))), "_one", "left"
+        F.broadcast(base), "_one", "left"
     )
     kept = [c for c in wanted.columns if c not in (*fields, style)]
     return joined.select(

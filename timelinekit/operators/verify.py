@@ -71,7 +71,7 @@ def repeated_openers(
     words: DataFrame, keys: Sequence[str], index: str, token: str, openers: Sequence[str] = OPENERS,
     pairs: Sequence[tuple[str, str]] = OPENER_PAIRS, max_gap: int = OPENER_GAP,
 ) -> DataFrame:
-    """The same opener again within ``max_gap`` tokens; pairs count as one opener.
+    """The same opener again within ``max_gap`` tokens; a pair counts as one opener of two tokens.
 
     ``keys`` identify one transcript, whose words come from one row of the source.
     """
@@ -80,7 +80,14 @@ def repeated_openers(
     key = F.when(F.col(token).isin(*openers), F.col(token))
     for first, second in pairs:
         key = F.when((F.col(token) == first) & (F.col("_next") == second), F.lit(f"{first} {second}")).otherwise(key)
-    found = words.withColumn("_next", following).withColumn("opener", key).filter(F.col("opener").isNotNull())
+    if {a for a, _ in pairs} & {b for _, b in pairs}:
+        raise ValueError("the second word of a pair must not begin a pair")
+    # the second word of a pair belongs to the pair and opens nothing itself
+    inside = F.lit(False)
+    for first, second in pairs:
+        inside = inside | ((F.col("_last") == first) & (F.col(token) == second))
+    key = F.when(~F.coalesce(inside, F.lit(False)), key)
+    found = words.withColumn("_next", following).withColumn("_last", F.lag(token).over(ordered)).withColumn("opener", key).filter(F.col("opener").isNotNull())
     before = F.lag(index).over(Window.partitionBy(*keys, "opener").orderBy(index))
     hits = found.withColumn("at_token", before).withColumn("gap_tokens", F.col(index) - F.col("at_token"))
     return hits.filter(F.col("gap_tokens") <= max_gap).select(

@@ -28,17 +28,16 @@ def first_wins(df: DataFrame, row_id: str, tokens: Sequence[str], order: Sequenc
         df.groupBy(*tokens).agg(F.min(rank).alias("_rank"))
         .select("_rank", F.array_distinct(F.array(*[F.col(t) for t in tokens])).alias("_tokens"))
     )
-    rows = pending.count() * len(tokens)
     kept = None
     while True:
         pairs = pending.select("_rank", F.explode("_tokens").alias("_token"))
         firsts = pairs.groupBy("_token").agg(F.min("_rank").alias("_first"))
-        compared = lookup_join(pairs, firsts, ["_token"], "inner", rows)
+        compared = lookup_join(pairs, firsts, ["_token"], "inner")
         verdict = compared.groupBy("_rank").agg(F.bool_and(F.col("_rank") == F.col("_first")).alias("_wins"))
         decided = cut_lineage(verdict.filter("_wins").select("_rank"))
         kept = decided if kept is None else kept.unionByName(decided)
         taken = pairs.join(decided, "_rank", "left_semi").select("_token", F.lit(True).alias("_taken")).distinct()
-        marked = lookup_join(pairs, taken, ["_token"], "left", rows)
+        marked = lookup_join(pairs, taken, ["_token"], "left")
         open_rows = marked.groupBy("_rank").agg(
             F.collect_set("_token").alias("_tokens"), F.count("_taken").alias("_hits")
         )

@@ -87,24 +87,10 @@ class KeyLayout:
         return big.unionByName(rest)
 
 
-def lookup_join(
-    df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left", rows: int | None = None
-) -> DataFrame:
-    """Join against a table that is unique on ``keys``, splitting keys that are hot in ``df``.
-
-    Rows of hot keys meet a broadcast of their (few) partner rows; all others use an
-    ordinary equi-join. ``rows`` is the size of ``df`` when known: a table below the limit
-    cannot hold a hot key and is not measured.
+def lookup_join(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join against a table that is unique on ``keys``.
+
+    A plain equi-join: no job runs while the plan is built, and where a key is hot adaptive
+    execution splits its partition, since the other side has one row per key.
     """
-    spark = df.sparkSession
-    limit = hot_rows(spark)
-    keys = list(keys)
-    if rows is not None and rows <= limit:
-        return df.join(per_key, keys, how)
-    large = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).drop("_rows").collect()
-    )
-    if not large:
-        return df.join(per_key, keys, how)
-    hot = spark.createDataFrame([tuple(r) for r in large], df.select(*keys).schema)
-    return KeyLayout(tuple(keys), keys[0], hot).join_per_key(df, per_key, how)
+    return df.join(per_key, list(keys), how)

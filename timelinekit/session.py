@@ -19,6 +19,7 @@ def build_session(app: str = "timelinekit", cores: str = "*", shuffle: int = 8)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
@@ -58,13 +59,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return df.checkpoint(eager=True)
-
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the session has cores.
-
-    Small files give one task, which starves the text work behind them; a large table
-    already has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -73,23 +73,26 @@ def stream_edits(records: DataFrame, drafts_path: str, submits_path: str, checkp
     return clean_edits(records).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def transitions() -> dict[tuple[str, str | None, str], str]:
+    """(event kind, its name, state) to the next state; what is not listed is not allowed."""
+    table = {("begin", n, s): RUNNING[n] for n, states in BEGINS_FROM.items() for s in states}
+    table |= {("gate", n, s): GATE_STATE[n] for n, states in GATE_FROM.items() for s in states}
+    table |= {("approve", n, GATE_STATE[n]): to for n, to in APPROVED.items()}
+    return table | {("fail", None, s): FAILED for s in ACTIVE}
+
+
 def next_state(state: str, phase: str | None, attempt: int, kind: str, name: str | None) -> tuple[str, str | None, int, str | None]:
-    """(state, phase, attempt, error) after one event; an event that is not allowed changes nothing."""
-    if kind == "begin" and name in BEGINS_FROM:
-        if state in BEGINS_FROM[name]:
-            return RUNNING[name], name, 1, None
-        return state, phase, attempt, f"cannot begin {name} from {state}"
-    if kind == "fail":
-        return (FAILED, phase, attempt, None) if state in ACTIVE else (state, phase, attempt, f"cannot fail {state}")
+    """(state, phase, attempt, reason code) after one event; an event that is not allowed changes nothing."""
     if kind == "resume":
-        if state == FAILED and phase is not None:
-            return RUNNING.get(phase, "REVISIONS_RUNNING"), phase, attempt + 1, None
-        return state, phase, attempt, f"cannot resume from {state}"
-    if kind == "gate" and name in GATE_FROM:
-        return (GATE_STATE[name], None, attempt, None) if state in GATE_FROM[name] else (state, phase, attempt, f"cannot prepare {name} from {state}")
-    if kind == "approve" and name in APPROVED:
-        return (APPROVED[name], None, attempt, None) if state == GATE_STATE[name] else (state, phase, attempt, f"cannot approve {name} from {state}")
-    return state, phase, attempt, f"unknown event {kind}"
+        if state != FAILED or phase is None:
+            return state, phase, attempt, "RESUME_NOT_ALLOWED"
+        return RUNNING.get(phase, "REVISIONS_RUNNING"), phase, attempt + 1, None
+    after = transitions().get((kind, None if kind == "fail" else name, state))
+    if after is None:
+        return state, phase, attempt, f"{kind.upper()}_NOT_ALLOWED" if kind in ("begin", "gate", "approve", "fail") else "EVENT_UNKNOWN"
+    if kind == "begin":
+        return after, name, 1, None
+    return after, phase if kind == "fail" else None, attempt, None
 
 
 LEDGER_OUTPUT = "project string, revision int, kind string, state string, attempt int, error string"
