@@ -18,6 +18,7 @@ other; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -32,7 +33,6 @@ SAMPLE_ROWS = 4_000
 SEQUENCE = 24
 SEQUENCES_PER_ROW = 6
 BUCKETS = 1 << 16
-LEXICON_WORDS = 4_000
 BLOCK = 64
 CACHED_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,7 +44,8 @@ def word_features(word: str) -> list[int]:
     found = [f"w:{word}"] if len(word) <= 24 else []
     for n in (1, 2, 3):
         found += [f"p{n}:{word[:n]}", f"s{n}:{word[-n:]}"]
-        found += [f"g:{marked[i : i + n]}" for i in range(len(marked) - n + 1)][:64]
+    for n in (2, 3):
+        found += [f"g:{marked[i : i + n]}" for i in range(min(64, len(marked) - n + 1))]
     if any(ord(c) > 127 for c in word):
         found += [f"c:{c}" for c in set(word) if ord(c) > 127]
         found += [f"b:{ord(c) >> 7}" for c in set(word) if ord(c) > 127]
@@ -86,7 +87,7 @@ def expectations(scores: np.ndarray, live: np.ndarray, move: np.ndarray, start:
     return post, pairs, post[:, 0].sum(axis=0), total
 
 
-def train(sequences: list[tuple[list[str], int]], langs: list[str], passes: int = 12, seed: int = 5) -> Chain:
+def train(sequences: list[tuple[list[str], int]], langs: list[str], passes: int = 6, seed: int = 5) -> Chain:
     """Stochastic gradient (adaptive steps) on the conditional log likelihood with a quadratic penalty."""
     k = len(langs)
     # a small start for staying in a language; both are learned on
@@ -171,7 +172,16 @@ def posteriors(scores: np.ndarray, first: np.ndarray, move: np.ndarray, start: n
 
 
 class Labeller:
-    """Predicts with a trained chain; emissions of words seen before come from a bounded table."""
+    """Predicts with a trained chain; emissions of words seen before come from a bounded table,
+    which a worker keeps from task to task."""
+
+    _made: dict[str, "Labeller"] = {}
+
+    @classmethod
+    def of(cls, key: str, chain: Chain) -> "Labeller":
+        if key not in cls._made:
+            cls._made = {key: cls(chain)}
+        return cls._made[key]
 
     def __init__(self, chain: Chain):
         self.chain = chain
@@ -251,10 +261,10 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if chain is None:
         return rows.select("doc_id", hold_out(1, 3).alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    sent, key = docs.sparkSession.sparkContext.broadcast(chain), uuid.uuid4().hex
 
     def work(batches):
-        labeller = Labeller(sent.value)
+        labeller = Labeller.of(key, sent.value)
         for batch in batches:
             langs, scores = labeller.predict(batch["text"].to_pylist())
             yield {"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores}
