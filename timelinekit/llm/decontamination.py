@@ -20,7 +20,9 @@ null doc_id or item_id keeps its rows; empty tables give no rows; other columns
 from __future__ import annotations
 
 import re
-from functools import partial
+from dataclasses import dataclass
+from functools import cache, partial
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,56 +43,129 @@ MIN_ITEM_TOKENS = 5
 # windows of the benchmark up to which their hashes are sent to every task (8 bytes each)
 FILTER_WINDOWS = 4_000_000
 
-PIECE = re.compile(r"[+-]?[0-9]+(?:[.,][0-9]+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[%°$€£]|[.!?\n]")
+PIECE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[+-]?[0-9]+(?:[.,][0-9]+)*|[%°$€£]|[.!?\n]")
 NUMBER, NAME, UNIT = "\x00number", "\x00name", "\x00unit"
+# classes of pieces: word, stop, number, currency sign, word that may be a unit, sign of a unit
+PLAIN, STOP, DIGITS, MONEY, MEASURE, SIGN = range(6)
 
 
-def canonical(text: str | None) -> tuple[list[str], list[str | None]]:
-    """Canonical tokens and, at the same places, the value of a placeholder (else None)."""
-    tokens: list[str] = []
-    values: list[str | None] = []
-    opening, after_number = True, False
-    for piece in PIECE.findall(text or ""):
-        first = piece[0]
+class Pieces:
+    """What is known of pieces, each judged once: spelling, class, capital, number.
+
+    ``chunks`` maps a stretch without blanks to the places of its pieces. Long stretches are read
+    anew each time, and all is forgotten between texts once it has grown past ``bound``.
+    """
+
+    def __init__(self, bound: int = 800_000):
+        import xxhash
+
+        self.bound = bound
+        self.digest = xxhash.xxh64_intdigest
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks = Chunks(self)
+        self.places: dict[str, int] = {}
+        self.spelled: list[str] = []
+        self.classes = np.zeros(4_096, dtype=np.uint8)
+        self.capitals = np.zeros(4_096, dtype=bool)
+        self.numbers = np.zeros(4_096, dtype=np.uint64)
+
+    def place(self, piece: str) -> int:
+        at = self.places.get(piece)
+        if at is not None:
+            return at
+        at = self.places[piece] = len(self.spelled)
+        self.spelled.append(piece)
+        if at == len(self.classes):
+            self.classes, self.capitals, self.numbers = (np.concatenate([a, np.zeros_like(a)]) for a in (self.classes, self.capitals, self.numbers))
+        first, low = piece[0], piece.lower()
+        self.numbers[at] = self.digest(low)
+        if low == piece and first.isalpha():
+            if low in UNITS:
+                self.classes[at] = MEASURE
+            return at
+        if first != low[0]:
+            self.capitals[at] = True
         if first in ".!?\n":
-            opening, after_number = True, False
-            continue
-        low = piece.lower()
-        if first.isdigit() or first in "+-":
-            tokens.append(NUMBER), values.append(piece)
-            opening, after_number = False, True
-            continue
-        if first in "$€£":
-            tokens.append(UNIT), values.append(piece)
-        elif after_number and (low in UNITS or first in "%°"):
-            tokens.append(UNIT), values.append(low)
+            self.classes[at] = STOP
+        elif first.isdigit() or first in "+-":
+            self.classes[at] = DIGITS
+        elif first in "$€£":
+            self.classes[at] = MONEY
         elif first in "%°":
-            continue
-        elif first != low[0] and not opening:
-            tokens.append(NAME), values.append(piece)
-        else:
-            tokens.append(low), values.append(None)
-        opening, after_number = False, False
-    return tokens, values
+            self.classes[at] = SIGN
+        elif low in UNITS:
+            self.classes[at] = MEASURE
+        return at
 
+    def read(self, text: str) -> np.ndarray:
+        """Places of the pieces of a text, in order; no piece holds a blank."""
+        if len(self.chunks) > self.bound or len(self.spelled) > self.bound:
+            self.forget()
+        chunks = text.replace("\n", " \n ").split(" ")
+        return np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, chunks)), dtype=np.int64)
 
-class Numbers:
-    """64-bit numbers of tokens, each computed once per task up to a bound."""
 
-    def __init__(self, bound: int = 500_000):
-        self.known: dict[str, int] = {}
-        self.bound = bound
+@cache
+def known_pieces() -> Pieces:
+    """One per worker process, so that tasks go on with what earlier ones have seen."""
+    return Pieces()
 
-    def of(self, tokens: list[str]) -> np.ndarray:
-        import xxhash
 
-        if len(self.known) > self.bound:
-            self.known = {}
-        known = self.known
-        for t in set(tokens):
-            if t not in known:
-                known[t] = xxhash.xxh64_intdigest(t.encode())
-        return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+class Chunks(dict):
+    def __init__(self, pieces: Pieces, longest: int = 64):
+        super().__init__()
+        self.pieces, self.longest = pieces, longest
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        found = tuple(map(self.pieces.place, PIECE.findall(chunk)))
+        if len(chunk) <= self.longest:
+            self[chunk] = found
+        return found
+
+
+@dataclass
+class Canonical:
+    """A text's tokens as numbers, whether each is literal, and the values of the others."""
+
+    numbers: np.ndarray
+    literal: np.ndarray
+    classes: np.ndarray
+    places: np.ndarray
+    spelled: list[str]
+
+    def value(self, i: int) -> str:
+        piece = self.spelled[self.places[i]]
+        return piece.lower() if self.classes[i] == MEASURE else piece
+
+    def slots(self, at: int, width: int) -> str:
+        """The slot values of a window as one string: place, unit separator, value."""
+        return "\x1e".join(f"{i}\x1f{self.value(at + i)}" for i in np.flatnonzero(~self.literal[at : at + width]).tolist())
+
+
+def canonical(text: str | None, known: Pieces) -> Canonical:
+    """What a piece becomes depends on itself and on the piece before it.
+
+    A unit needs a number right before it; a sign without one is passed over. A capitalised word
+    is a name unless it opens a sentence.
+    """
+    places = known.read(text or "")
+    classes = known.classes[places]
+    after_number = np.append(False, classes == DIGITS)[:-1]
+    there = (classes != SIGN) | after_number
+    places, classes, after_number = places[there], classes[there], after_number[there]
+    opening = np.append(True, classes == STOP)[:-1]
+    unit = (classes == MONEY) | (classes == SIGN) | ((classes == MEASURE) & after_number)
+    name = known.capitals[places] & ~opening & ~unit
+    number = classes == DIGITS
+    numbers = known.numbers[places]
+    for chosen, token in ((number, NUMBER), (unit, UNIT), (name, NAME)):
+        numbers[chosen] = known.digest(token)
+    # a name that could be a unit elsewhere keeps its spelling
+    classes[name] = PLAIN
+    real = classes != STOP
+    return Canonical(numbers[real], ~(number | unit | name)[real], classes[real], places[real], known.spelled)
 
 
 def window_hashes(numbers: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,24 +182,20 @@ def window_hashes(numbers: np.ndarray, literal: np.ndarray, width: int) -> tuple
     return telling, total[telling]
 
 
-def _slots(values: list[str | None], at: int, width: int) -> str:
-    """The slot values of a window as one string: place, unit separator, value."""
-    return "\x1e".join(f"{i}\x1f{values[at + i]}" for i in range(width) if values[at + i] is not None)
-
-
 def _items(batches, width: int):
-    numbers = Numbers()
+    known = known_pieces()
     for batch in batches:
         out = {c: [] for c in ("item_id", "form", "tokens", "width", "place", "hash", "item_slots")}
         for item_id, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist()):
-            tokens, values = canonical(text)
-            if len(tokens) < MIN_ITEM_TOKENS:
+            item = canonical(text, known)
+            size = len(item.numbers)
+            if size < MIN_ITEM_TOKENS:
                 continue
-            own = min(width, len(tokens))
-            places, hashes = window_hashes(numbers.of(tokens), np.array([v is None for v in values]), own)
-            form = "\x1f".join(t if v is None else t + v for t, v in zip(tokens, values))
+            own = min(width, size)
+            places, hashes = window_hashes(item.numbers, item.literal, own)
+            form = item.numbers.tobytes().hex() + item.slots(0, size)
             for p, h in zip(places.tolist(), hashes.view(np.int64).tolist()):
-                for c, x in zip(out, (item_id, form, len(tokens), own, p, h, _slots(values, p, own))):
+                for c, x in zip(out, (item_id, form, size, own, p, h, item.slots(p, own))):
                     out[c].append(x)
         yield out
 
@@ -138,14 +209,13 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _documents(batches, widths: list[int], wanted):
-    numbers, keep = Numbers(), None if wanted is None else wanted.value
+    known, keep = known_pieces(), None if wanted is None else wanted.value
     for batch in batches:
         out = {c: [] for c in ("doc_id", "doc_key", "width", "hash", "doc_slots")}
         for doc_id, key, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc_key", "text"))):
-            tokens, values = canonical(text)
-            ids, literal = numbers.of(tokens), np.array([v is None for v in values], dtype=bool)
+            doc = canonical(text, known)
             for width in widths:
-                places, hashes = window_hashes(ids, literal, width)
+                places, hashes = window_hashes(doc.numbers, doc.literal, width)
                 signed = hashes.view(np.int64)
                 if keep is not None and len(keep):
                     at = np.minimum(np.searchsorted(keep, signed), len(keep) - 1)
@@ -154,7 +224,7 @@ def _documents(batches, widths: list[int], wanted):
                 elif keep is not None:
                     places = places[:0]
                 # a window repeated in the text with the same values counts once
-                seen = {(h, _slots(values, p, width)) for p, h in zip(places.tolist(), signed.tolist())}
+                seen = {(h, doc.slots(p, width)) for p, h in zip(places.tolist(), signed.tolist())}
                 for h, slots in seen:
                     for c, x in zip(out, (doc_id, key, width, h, slots)):
                         out[c].append(x)
