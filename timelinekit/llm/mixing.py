@@ -130,18 +130,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block_docs: int = 16)
     sources = saved(sources, "mix-sources")
     patterns = saved(round_patterns(sources), "mix-patterns")
 
-    blocks = sources.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    blocks = blocks.withColumn("round", F.floor(F.col("block") / F.col("weight"))).select(
-        F.col("source").alias("_source2"), F.col("block").alias("_block"), "index", "round",
-        (F.col("block") % F.col("weight")).alias("in_round"),
-        F.array_max(F.filter("starts", lambda s: s <= F.col("round"))).alias("kind_from"),
-    )
-    slot = F.col("kind_slot") + (F.col("round") - F.col("kind_from")) * F.col("total") + F.col("offset")
-    placed = blocks.join(patterns, ["kind_from", "index", "in_round"]).select("_source2", "_block", "round", slot.alias("slot"))
-
     inside = Window.partitionBy("source", "_bucket").orderBy("_hash")
     ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1)
     based = ranked.join(base, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_of")))
     numbered = based.withColumn("_n", F.col("_base") + F.col("_rank")).withColumn("block", F.floor(F.col("_n") / block_docs))
-    joined = numbered.join(placed, F.col("source").eqNullSafe(F.col("_source2")) & (F.col("block") == F.col("_block")))
+    # both tables depend on the number of sources and on the weights only, so every document looks its place up
+    quotas = sources.select(F.col("source").alias("_source2"), F.col("weight").alias("_weight"), F.col("index").alias("_index"), F.col("starts").alias("_starts"))
+    rounds = numbered.join(quotas, F.col("source").eqNullSafe(F.col("_source2"))).withColumn("round", F.floor(F.col("block") / F.col("_weight")))
+    rounds = rounds.withColumn("_in_round", F.col("block") % F.col("_weight"))
+    rounds = rounds.withColumn("_kind_from", F.array_max(F.filter("_starts", lambda s: s <= F.col("round"))))
+    solved = patterns.select(*[F.col(c).alias(f"_{c}") for c in ("kind_from", "index", "in_round", "kind_slot", "total", "offset")])
+    slot = F.col("_kind_slot") + (F.col("round") - F.col("_kind_from")) * F.col("_total") + F.col("_offset")
+    joined = rounds.join(solved, ["_kind_from", "_index", "_in_round"]).withColumn("slot", slot)
     return joined.select(*[F.col(c) for c in columns], "block", "round", "slot", (F.col("_n") % block_docs).cast("int").alias("nth"))
