@@ -12,7 +12,8 @@
 Scoring maps every whole text to the classifier's features; labels, language, source and id are
 never inputs. Defined cases: null and blank texts are scored by the intercept; without labelled
 rows only the public list and the patterns decide; a null or repeated doc_id keeps its row; a
-label of a repeated or null id is not learned from when it is null; other columns are ignored.
+label of a repeated or null id is not learned from when it is null, and of rows with the same id
+the greatest text is learned from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,16 +126,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     Words are counted by Spark; the driver receives the standing-out words and, for each sampled
     row, the indexes of those it holds, never a text.
     """
-    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = docs.filter(F.col("doc_id").isNotNull() & ~hold_out(0, 5)).select("doc_id", "text").join(known, "doc_id")
-    drawn = drawn.withColumn("_draw", F.xxhash64("doc_id")).orderBy("_draw", "doc_id").limit(sample_rows).select("text", "toxic")
+    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known.filter(F.col("doc_id").isNotNull() & ~hold_out(0, 5)).join(docs.select("doc_id"), "doc_id", "left_semi")
+    # ids are drawn first, so that no task gathers texts; at most sample_rows of them are sent to every task
+    chosen = known.withColumn("_draw", F.xxhash64("doc_id")).orderBy("_draw", "doc_id").limit(sample_rows).select("doc_id", "toxic")
+    chosen = saved(chosen, "toxicity-ids")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
 
     def spread(batches):
         for batch in batches:
             held = [(w, t) for x, t in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()) for w in set(WORD.findall((x or "").lower()))]
             yield {"word": [w for w, _ in held], "toxic": [t for _, t in held]}
 
-    drawn = saved(drawn.withColumn("toxic", F.col("toxic").cast("int")), "toxicity-sample")
+    drawn = saved(drawn.select("text", "toxic"), "toxicity-sample")
     drawn = drawn.repartition(max(8, drawn.sparkSession.sparkContext.defaultParallelism))
     sizes = {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sum(n for t, n in sizes.items() if t != 1)
