@@ -73,6 +73,27 @@ def test_scan_hot(spark, tiny_limit):
     assert check_scan(spark).split
 
 
+def test_scan_hot_orders_of_any_type(spark, tiny_limit):
+    data = rows()
+    df = frame(spark, data).withColumn("s", F.format_string("t%09.3f", "t")).withColumn("at", F.timestamp_millis(F.round(F.col("t") * 1000).cast("long")))
+    want = {r[1]: i + 1 for group in by_key(data).values() for i, r in enumerate(group)}
+    for order in ("s", "at"):
+        layout = KeyLayout.measure(df, ["k"], order)
+        assert layout.split
+        got = {r["id"]: r["no"] for r in ordered_scan(df, layout, [order, "id"], number="no").collect()}
+        assert got == want
+
+
+def test_cuts_follow_each_key(spark):
+    df = spark.range(3000).selectExpr("0 as k", "id as t").union(spark.range(1000).selectExpr("cast(1 + id % 10 as int)", "id"))
+    layout = KeyLayout.measure(df, ["k"], "t", limit=50)
+    chunks = {}
+    for r in layout.tag(df).groupBy("k", "_chunk").count().collect():
+        chunks.setdefault(r["k"], []).append(r["count"])
+    assert 30 <= len(chunks[0]) <= 61 and max(chunks[0]) <= 250
+    assert all(len(c) <= 3 for k, c in chunks.items() if k)
+
+
 def check_islands(spark):
     data = rows(2)
     df = frame(spark, data)

@@ -53,6 +53,30 @@ def test_coverage_case(spark):
     assert got == {"x": (0.0, False), "y": (0.625, True)}
 
 
+def test_coverage_of_overlapping_windows(spark):
+    cuts = spark.createDataFrame([("m", "x", 0.0, 5.0), ("m", "z", 8.0, 9.0)], "k string, id string, start_s double, end_s double")
+    windows = spark.createDataFrame([("m", 0.0, 6.0), ("m", 2.0, 8.0), ("m", 4.0, 4.0)], "k string, start_s double, end_s double")
+    got = {r["id"]: (r["share"], r["confirmed"]) for r in pz.interval_coverage(cuts, windows, LAYOUT, "id").collect()}
+    assert got == {"x": (1.6, True), "z": (0.0, False)}
+
+
+def test_split_deals_words(spark):
+    entries = spark.createDataFrame(
+        [("m", "u1", 0.0, 6.0, "keep", ["w1", "w2", "w3", "w4", "w9"], "one two three four"), ("m", "u2", 7.0, 12.0, "keep", ["w5"], "five"),
+         ("m", "u3", 13.0, 14.0, "keep", ["w6"], "six"), ("m", "u4", 15.0, 20.0, "keep", None, "seven")],
+        "k string, id string, start_s double, end_s double, kind string, word_ids array<string>, text string")
+    cuts = spark.createDataFrame([("m", 1.5, 3.9), ("m", 8.5, 10.0), ("m", 16.0, 17.0)], "k string, start_s double, end_s double")
+    said = spark.createDataFrame(
+        [("m", "w1", 0.1, 0.6, "one"), ("m", "w2", 0.7, 1.2, "two"), ("m", "w3", 4.1, 4.6, "three"), ("m", "w4", 4.7, 5.4, "four"),
+         ("m", "w5", 7.1, 7.5, "five"), ("m", "w6", 13.1, 13.5, "six"), ("n", "w9", 0.1, 0.6, "other")],
+        "k string, word_id string, start_s double, end_s double, text string")
+    got = {r["id"]: (r["text"], r["word_ids"]) for r in pz.split_by_cuts(entries, cuts, ["k"], 4.0, words=said).collect()}
+    assert got == {
+        "u1p1": ("one two", ["w1", "w2"]), "u1p2": ("three four", ["w3", "w4"]), "u2p1": ("five", ["w5"]), "u2p2": ("five", ["w5"]),
+        "u3": ("six", ["w6"]), "u4p1": ("seven", None), "u4p2": ("seven", None),
+    }
+
+
 def test_balance_case(spark):
     df = spark.createDataFrame([("d", i + 1, f) for i, f in enumerate([True, True, False, True, False])], "d string, i int, flag boolean")
     out = {r["i"]: (r["slot"], r["main"]) for r in op.balance(df, ["d"], "i", "flag", 3, 1).collect()}

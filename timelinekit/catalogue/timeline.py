@@ -144,6 +144,16 @@ def _(spark, sf):
     return pz.interval_coverage(cuts, _windows(spark, sf), _series_layout(spark, sf), "id")
 
 
+@_q("interval_coverage_overlapping", f"""SELECT k, id, share, share >= 0.5 AS confirmed FROM (
+  SELECT c.k, c.id, round(coalesce(sum(least(c.end_s, w.end_s) - greatest(c.start_s, w.start_s)) FILTER (w.k IS NOT NULL), 0) / (c.end_s - c.start_s), 4) AS share
+  FROM (SELECT k, CAST(id AS VARCHAR) AS id, start_s, end_s FROM {_spans_sql("error", 7200.0)} e) c
+  LEFT JOIN {_spans_sql("view", 36000.0)} w ON c.k = w.k AND c.start_s < w.end_s AND w.start_s < c.end_s
+  GROUP BY c.k, c.id, c.start_s, c.end_s)""")
+def _(spark, sf):
+    cuts = _spans_of(spark, sf, "error", 7200.0)
+    return pz.interval_coverage(cuts, _spans_of(spark, sf, "view", 36000.0), _series_layout(spark, sf), "id")
+
+
 @_q("shift_after_cuts", f"""SELECT w.k, CAST(w.id AS VARCHAR) AS id, round(w.start_s - coalesce(sum(c.end_s - c.start_s), 0), 6) AS start_s,
   round(w.end_s - coalesce(sum(c.end_s - c.start_s), 0), 6) AS end_s
 FROM {_spans_sql("click", 60.0)} w LEFT JOIN {_spans_sql("error", 1800.0)} c ON w.k = c.k AND c.end_s <= w.start_s + 1e-9
@@ -170,17 +180,36 @@ c AS (SELECT e.k, e.id, list([{{'s': c.start_s, 'e': c.end_s}}] ORDER BY c.start
 p AS (SELECT e.*, CASE WHEN cuts IS NULL THEN [{{'s': start_s, 'e': end_s}}]
     ELSE list_reduce([[{{'s': start_s, 'e': end_s}}]] || cuts, lambda acc, c: {_PIECE}) END AS pieces
   FROM e LEFT JOIN c ON e.k = c.k AND e.id = c.id),
-x AS (SELECT *, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM p)
+w AS (SELECT e.k, e.id, list({{'id': CAST(w.id AS VARCHAR), 'mid': (w.start_s + w.end_s) / 2}} ORDER BY w.start_s, w.id) AS ws
+  FROM e JOIN {_spans_sql("click", 60.0)} w ON e.k = w.k AND (w.start_s + w.end_s) / 2 BETWEEN e.start_s - 0.05 AND e.end_s + 0.05
+  GROUP BY e.k, e.id),
+x AS (SELECT p.*, ws, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM p LEFT JOIN w ON p.k = w.k AND p.id = w.id),
+y AS (SELECT *, CASE WHEN len(pieces) = 1 AND abs(piece.s - start_s) < 1e-6 AND abs(piece.e - end_s) < 1e-6 THEN ws
+  ELSE list_filter(ws, lambda z: z.mid BETWEEN piece.s - 1e-6 AND piece.e + 1e-6) END AS own FROM x),
+z AS (SELECT *, CASE WHEN len(own) > 0 THEN own ELSE ws END AS mine FROM y)
 SELECT k, id AS entry_id, CASE WHEN len(pieces) > 1 THEN id || 'p' || i ELSE id END AS id, round(piece.s, 6) AS start_s,
-  round(piece.e, 6) AS end_s, kind FROM x""")
+  round(piece.e, 6) AS end_s, kind, coalesce(array_to_string(list_transform(mine, lambda v: v.id), ','), '') AS word_ids,
+  coalesce(array_to_string(list_transform(mine, lambda v: 'w' || v.id), ' '), '') AS text FROM z""")
 def _(spark, sf):
     entries = _spans_of(spark, sf, "signup", 36000.0).select(
         "k", F.col("id").cast("string").alias("id"), "start_s", "end_s",
         F.when(F.col("value") >= 5, F.lit("keep")).otherwise(F.lit("cut")).alias("kind"),
     )
+    clicks = _spans_of(spark, sf, "click", 60.0).withColumn("text", F.concat(F.lit("w"), F.col("id").cast("string")))
+    said = (
+        tl.assign_by_midpoint(clicks, entries, ["k"], 12 * HOUR)
+        .groupBy("k", F.col("entry_id").alias("id"))
+        .agg(F.sort_array(F.collect_list(F.struct("start_s", F.col("id").alias("w"), "text"))).alias("_said"))
+        .select("k", "id", F.transform("_said", lambda w: w["w"].cast("string")).alias("word_ids"),
+                F.array_join(F.transform("_said", lambda w: w["text"]), " ").alias("text"))
+    )
+    spoken = entries.join(said, ["k", "id"], "left")
     cuts = _spans_of(spark, sf, "error", 7200.0)
-    out = pz.split_by_cuts(entries, cuts, ["k"], 12 * HOUR, 1800.0)
-    return out.withColumn("start_s", pz.r6(F.col("start_s"))).withColumn("end_s", pz.r6(F.col("end_s")))
+    out = pz.split_by_cuts(spoken, cuts, ["k"], 12 * HOUR, 1800.0, clicks.withColumnRenamed("id", "word_id"))
+    return out.select(
+        "k", "entry_id", "id", pz.r6(F.col("start_s")).alias("start_s"), pz.r6(F.col("end_s")).alias("end_s"), "kind",
+        F.coalesce(F.array_join("word_ids", ","), F.lit("")).alias("word_ids"), F.coalesce("text", F.lit("")).alias("text"),
+    )
 
 
 @_q("free_gaps", f"""WITH w AS (SELECT k, start_s AS x, end_s AS reach, 0 AS kind FROM {_spans_sql("error", 14400.0)} e

@@ -4,8 +4,9 @@ A window over ``partitionBy(key)`` puts every row of a key into one task, which
 working once a single media item, user or source holds a large share of the table.
 ``KeyLayout`` measures the keys once (a partial aggregate over the key column only). When
 no key is larger than the limit, ordered work uses ordinary windows. Otherwise the large
-keys, and only they, are cut along the order column at approximate quantiles, so that no
-task receives more than about ``limit`` rows.
+keys, and only they, are cut along the order column at values of a random sample, each key
+into as many chunks as its own row count asks for, so that a task receives about ``limit``
+rows. Rows of a key that are equal in the order column stay together.
 """
 
 from __future__ import annotations
@@ -13,15 +14,28 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelinekit.session import hot_rows
 
 CHUNK = "_chunk"
 _BOUNDS = "_chunk_bounds"
-# A sketch entry per chunk boundary; far above what a key of 10^11 rows needs.
-MAX_CHUNKS_PER_KEY = 20_000
+# Rows drawn per chunk: a chunk holds its share to within about a fifth.
+SAMPLE_PER_CHUNK = 20
+
+
+def _blocks(cuts: Column, width: Column) -> Column:
+    """Sorted cuts in blocks of about the square root of their number."""
+    starts = F.sequence(F.lit(0), F.size(cuts) - 1, width)
+    return F.transform(starts, lambda i: F.slice(cuts, i + 1, width))
+
+
+def _cuts_upto(blocks: Column, at: Column) -> Column:
+    """How many cuts are not above ``at``: the block first, then the place in it."""
+    full = F.size(F.filter(blocks, lambda b: b[0] <= at))
+    inside = F.size(F.filter(F.element_at(blocks, full), lambda b: b <= at))
+    return F.when(full == 0, F.lit(0)).otherwise((full - 1) * F.size(blocks[0]) + inside)
 
 
 @dataclass(frozen=True)
@@ -32,9 +46,9 @@ class KeyLayout:
 
     @staticmethod
     def measure(df: DataFrame, keys: Sequence[str], order: str, limit: int | None = None) -> "KeyLayout":
-        """Find keys above ``limit`` rows and the boundaries that cut them.
+        """Find keys above ``limit`` rows and the values that cut them, of the column's own type.
 
-        The driver only receives the hot keys; there are fewer than rows / limit of them.
+        The driver only receives hot keys and their cuts; both are fewer than rows / limit.
         """
         spark = df.sparkSession
         limit = hot_rows(spark) if limit is None else limit
@@ -42,19 +56,25 @@ class KeyLayout:
         large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).collect()
         if not large:
             return KeyLayout(keys, order)
-        schema = df.select(*keys).schema
-        hot_list = spark.createDataFrame([tuple(r[k] for k in keys) for r in large], schema)
-        chunks = min(MAX_CHUNKS_PER_KEY, max(2, -(-max(r["_rows"] for r in large) // limit)))
-        cuts = [i / chunks for i in range(1, chunks)]
-        sketched = (
-            df.select(*keys, F.col(order).cast("double").alias("_o"))
-            .join(F.broadcast(hot_list), list(keys), "left_semi")
-            .groupBy(*keys)
-            .agg(F.percentile_approx("_o", cuts, min(200_000, 20 * chunks)).alias(_BOUNDS))
-            .withColumn(_BOUNDS, F.array_distinct(_BOUNDS))
+        sizes = spark.createDataFrame(
+            [(*(r[k] for k in keys), -(-r["_rows"] // limit)) for r in large],
+            df.select(*keys, F.lit(0).cast("long").alias("_chunks")).schema,
+        )
+        drawn = (
+            df.select(*keys, F.col(order).alias("_o"), F.rand(7).alias("_r"))
+            .filter(F.col("_o").isNotNull())
+            .join(F.broadcast(sizes), list(keys))
+            .groupBy(*keys, "_chunks", F.floor(F.col("_r") * F.col("_chunks") * SAMPLE_PER_CHUNK).alias("_draw"))
+            .agg(F.max_by("_o", "_r").alias("_o"))
+        )
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("_o"))
+        cuts = (
+            drawn.withColumn("_place", place - 1)
+            .filter((F.col("_place") > 0) & (F.col("_place") % SAMPLE_PER_CHUNK == 0))
+            .groupBy(*keys).agg(F.array_sort(F.collect_set("_o")).alias("_cuts"), F.ceil(F.sqrt(F.count_distinct("_o"))).cast("int").alias("_w"))
+            .select(*keys, _blocks(F.col("_cuts"), F.col("_w")).alias(_BOUNDS))
         )
-        rows = sketched.collect()
-        bounds = spark.createDataFrame(rows, sketched.schema)
+        bounds = spark.createDataFrame(cuts.collect(), cuts.schema)
         return KeyLayout(keys, order, bounds)
 
     @property
@@ -67,8 +87,7 @@ class KeyLayout:
             return df
         if self.hot is None:
             return df.withColumn(CHUNK, F.lit(0))
-        at = F.col(self.order).cast("double")
-        number = F.size(F.filter(F.col(_BOUNDS), lambda b: b <= at))
+        number = _cuts_upto(F.col(_BOUNDS), F.col(self.order))
         return (
             df.join(F.broadcast(self.hot), list(self.keys), "left")
             .withColumn(CHUNK, F.when(F.col(_BOUNDS).isNull(), F.lit(0)).otherwise(number))

@@ -15,7 +15,10 @@ def _ranked(df: DataFrame, layout: KeyLayout, value: str) -> DataFrame:
     """(keys, value, first index, index after the last) of each distinct value, plus the total."""
     keys = list(layout.keys)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    # Cuts of another column say nothing about the values; they are taken from the distinct ones.
     value_layout = KeyLayout(layout.keys, value, layout.hot)
+    if layout.split and value != layout.order:
+        value_layout = KeyLayout.measure(counted, keys, value)
     ranked = ordered_scan(counted, value_layout, [value], upto={"_upto": "_n"})
     totals = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     return value_layout.join_per_key(ranked, totals).withColumn("_from", F.col("_upto") - F.col("_n"))
