@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,8 +52,38 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` on column lists: ``work`` receives and yields dicts of columns."""
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task under ``name``, made at the first call."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def make_room(name: str | None) -> None:
+    """Let go of all that is kept under other names: workers go on from one operator to the next,
+    and a pipeline's stages would otherwise add up their tables."""
+    if _kept.keys() - {name}:
+        for other in _kept.keys() - {name}:
+            del _kept[other]
+        gc.collect()
+
+
+def give_back() -> None:
+    """Return unused memory of Arrow and of the C library to the machine, which counts it as the executor's."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def map_batches(
+    df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str, keeps: str | None = None
+) -> DataFrame:
+    """``mapInArrow`` on column lists: ``work`` receives and yields dicts of columns.
+
+    ``keeps`` names what ``work`` keeps in its worker (see ``kept``); the rest goes.
+    """
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -63,8 +94,10 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]],
             for b in batches:
                 yield {n: b.column(i) for i, n in enumerate(b.schema.names)}
 
+        make_room(keeps)
         for out in work(columns()):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

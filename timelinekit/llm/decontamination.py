@@ -21,14 +21,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cache, partial
+from functools import partial
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelinekit.llm.common import map_batches, saved
+from timelinekit.llm.common import kept, map_batches, saved
+
+# The name under which workers keep known pieces.
+KEPT = "decontamination-pieces"
 
 # fixed values: units that may follow a number
 UNITS = frozenset(
@@ -107,10 +110,9 @@ class Pieces:
         return np.fromiter(chain.from_iterable(map(self.chunks.__getitem__, chunks)), dtype=np.int64)
 
 
-@cache
 def known_pieces() -> Pieces:
     """One per worker process, so that tasks go on with what earlier ones have seen."""
-    return Pieces()
+    return kept(KEPT, Pieces)
 
 
 class Chunks(dict):
@@ -203,7 +205,7 @@ def _items(batches, width: int):
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id, tokens, width, place, hash, item_slots) of every telling window of distinct items."""
     schema = "item_id long, form string, tokens int, width int, place int, hash long, item_slots string"
-    rows = map_batches(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), partial(_items, width=width), schema)
+    rows = map_batches(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), partial(_items, width=width), schema, KEPT)
     rows = rows.withColumn("form", F.sha2("form", 256))
     return rows.groupBy("form", "tokens", "width", "place", "hash", "item_slots").agg(F.min("item_id").alias("item_id")).drop("form")
 
@@ -246,7 +248,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: flo
     if few.count() <= FILTER_WINDOWS:
         wanted = spark.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in few.toLocalIterator()], dtype=np.int64)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
-    found = map_batches(rows, partial(_documents, widths=widths, wanted=wanted), "doc_id long, doc_key long, width int, hash long, doc_slots string")
+    found = map_batches(rows, partial(_documents, widths=widths, wanted=wanted), "doc_id long, doc_key long, width int, hash long, doc_slots string", KEPT)
     joined = saved(found.join(asked, ["width", "hash"]), "template-matches")
 
     # a window covers the tokens from its place on; places of all windows together

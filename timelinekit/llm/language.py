@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelinekit.llm.common import hold_out, learned_from, map_batches, saved
+from timelinekit.llm.common import hold_out, kept, learned_from, map_batches, saved
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 4_000
@@ -175,13 +175,9 @@ class Labeller:
     """Predicts with a trained chain; emissions of words seen before come from a bounded table,
     which a worker keeps from task to task."""
 
-    _made: dict[str, "Labeller"] = {}
-
     @classmethod
     def of(cls, key: str, chain: Chain) -> "Labeller":
-        if key not in cls._made:
-            cls._made = {key: cls(chain)}
-        return cls._made[key]
+        return kept(key, lambda: cls(chain))
 
     def __init__(self, chain: Chain):
         self.chain = chain
@@ -261,7 +257,7 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if chain is None:
         return rows.select("doc_id", hold_out(1, 3).alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent, key = docs.sparkSession.sparkContext.broadcast(chain), uuid.uuid4().hex
+    sent, key = docs.sparkSession.sparkContext.broadcast(chain), f"language-{uuid.uuid4().hex}"
 
     def work(batches):
         labeller = Labeller.of(key, sent.value)
@@ -269,5 +265,5 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
             langs, scores = labeller.predict(batch["text"].to_pylist())
             yield {"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores}
 
-    found = map_batches(rows, work, "doc_id long, lang_pred string, score double")
+    found = map_batches(rows, work, "doc_id long, lang_pred string, score double", key)
     return found.select("doc_id", hold_out(1, 3).alias("held_out"), "lang_pred", "score")

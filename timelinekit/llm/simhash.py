@@ -32,24 +32,25 @@ from timelinekit.llm.common import components, map_batches, saved
 LOW_BITS = 0x5555555555555555
 GROUPS = 8
 SALTS = 16
+# Shingles of one text that are hashed and counted at a time.
+BLOCK = 16_384
 
 
 def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> bytes:
     """Eight bytes, most significant bit first; zero for a text without words."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
+    joined = b" ".join((text or "").encode().lower().split())
+    if not joined:
         return bytes(8)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = np.append(0, blanks + 1), np.append(blanks, len(joined))
+    n = max(1, len(starts) - shingle + 1)
+    last = ends[shingle - 1 :] if len(ends) >= shingle else ends[-1:]
     digest, totals = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
-    spans = list(zip(starts[:n].tolist(), last.tolist()))
-    for at in range(0, n, 65_536):
-        hashed = b"".join([digest(joined[a:b], seed) for a, b in spans[at : at + 65_536]])
+    for at in range(0, n, BLOCK):
+        spans = zip(starts[at : min(at + BLOCK, n)].tolist(), last[at : at + BLOCK].tolist())
+        hashed = b"".join([digest(joined[a:b], seed) for a, b in spans])
         totals += np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(totals * 2 > n).tobytes()
 

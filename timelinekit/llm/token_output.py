@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timelinekit.llm.common import map_batches, read_raw, saved, shared_path, write_raw
+from timelinekit.llm.common import kept, map_batches, read_raw, saved, shared_path, write_raw
 
 MAGIC = b"DACIDS01"
 HEADER = struct.Struct("<8sIIIQBQ")  # magic, part, segment, documents, ids, levels, bytes that follow
@@ -159,8 +159,6 @@ class WordEncoder:
     a word; such parts are encoded many at a time and taken apart at those ids.
     """
 
-    _made: dict[str, "WordEncoder"] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -173,9 +171,7 @@ class WordEncoder:
 
     @classmethod
     def of(cls, path: str) -> "WordEncoder":
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return kept(f"tokens-{path}", lambda: cls(path))
 
     def reset(self) -> None:
         self.known: dict[str, bytes] = {"": b""}
@@ -272,7 +268,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, order: list[str] | None
             yield flush()
 
     folder = shared_path(docs.sparkSession, "tokens")
-    write_raw(map_batches(ranged, work, "segment binary"), "segment", folder, END)
+    write_raw(map_batches(ranged, work, "segment binary", f"tokens-{tokenizer}"), "segment", folder, END)
     return folder
 
 
