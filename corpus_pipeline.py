@@ -4,19 +4,20 @@ Every stage takes (spark, docs, sf_dir); its rows are written as Parquet and rea
 next one's input. All but the last return the columns of ``documents``.
 
 1. toxicity: documents scored 0.5 or more go.
-2. near-duplicates: of each SimHash component the row with the smallest doc_id stays; of rows
-   with that id one stays.
+2. near-duplicates: of each SimHash component exactly one row stays, the one with the smallest
+   doc_id; ids may repeat or be null, and rows of other components stay whatever their id.
 3. decontamination: documents contaminated by a benchmark item go.
 4. mixing: nothing goes; rows are put in the order of the mix, which the file order carries.
 5. token output: token files in the order of the mix; a row per document with its place in them.
 
-Nulls: a null text is kept unless it is a near-duplicate; a null doc_id counts as the largest.
+Nulls: a null text is kept unless it is a near-duplicate; a null doc_id counts as the largest and
+is no reason to drop a row.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelinekit.llm import decontamination, mixing, simhash, token_output, toxicity
@@ -31,16 +32,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, COLUMNS).filter("score < 0.5").select(*COLUMNS)
 
 
+def row_key(columns: list[str]) -> Column:
+    """A hash of the whole row; nulls count, so values in different columns are told apart."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    # a row stays when it is the smallest of its component; equal ids are told apart by their texts
-    leaders = saved(groups.filter("doc_id is null and component_id is null or doc_id = component_id"), "pipeline-leaders")
-    known = docs.join(leaders.select("doc_id").distinct(), "doc_id", "left_semi").filter("doc_id is not null")
-    without = docs.filter("doc_id is null")
-    if leaders.filter("doc_id is null").isEmpty():
-        without = without.limit(0)
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang", "source", "n_chars")
-    return known.unionByName(without).withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*COLUMNS)
+    kept = saved(simhash.representatives(docs, row_key(COLUMNS)).select(F.col("key").alias("_key")), "pipeline-kept")
+    found = docs.withColumn("_key", row_key(COLUMNS)).join(kept, "_key", "left_semi")
+    # rows equal in all columns share a key, and one of them stays
+    return found.select(*COLUMNS).dropDuplicates(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -549,3 +549,15 @@ def test_pipeline_stages_take_awkward_and_empty_rows(spark, awkward, empty):
         # the toxic row goes; of blank texts, of the three equal short ones and of the two equal long ones one stays
         want = [] if table is empty else [2, 5, 6, 7, 8, 9, 11]
         assert sorted(r.doc_id for r in docs.collect()) == want
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_component(spark):
+    rng = np.random.default_rng(7)
+    text = lambda: " ".join(f"w{n}" for n in rng.integers(0, 10**6, 60))
+    alone, pair, shared = [text() for _ in range(20)], [text(), text()], text()
+    rows = [(None, t, "en", "s", 1) for t in alone] + [(7, t, "en", "s", 1) for t in pair]
+    # copies: of a row with an id, of a row without one, and with nulls in other columns
+    rows += [(9, shared, "en", "s", 1), (None, shared, "en", "s", 1), (9, shared, "en", "s", 1), (None, alone[0], "en", "s", 1), (None, alone[1], None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, t) for t in alone] + [(7, t) for t in pair] + [(9, shared)])

@@ -55,15 +55,18 @@ def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> byte
     return np.packbits(totals * 2 > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long, and the long ``key`` of the row if one is given."""
+    carried = {"doc_id": F.col("doc_id").cast("long")} | ({} if key is None else {"key": key})
 
     def work(batches):
         for batch in batches:
             found = [int.from_bytes(text_fingerprint(t, shingle, seed), "big", signed=True) for t in batch["text"].to_pylist()]
-            yield {"doc_id": batch["doc_id"], "fp": found}
+            yield {c: batch[c] for c in names} | {"fp": found}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, fp long")
+    names = list(carried)
+    schema = "".join(f"{c} long, " for c in names) + "fp long"
+    return map_batches(docs.select(*[x.alias(c) for c, x in carried.items()], "text"), work, schema)
 
 
 def embedding(fp: Column) -> Column:
@@ -133,6 +136,25 @@ def link_components(prints: DataFrame, distance: int = 4) -> DataFrame:
     return components(joined, "simhash-last").withColumnRenamed("node", "fp")
 
 
+def tagged_nodes(rows: DataFrame, least: Column, distance: int) -> DataFrame:
+    """(fp, least, component): each fingerprint with ``least`` over its rows and the least fingerprint of its component."""
+    nodes = saved(rows.groupBy("fp").agg(least.alias("least")), "simhash-nodes")
+    label = link_components(nodes.select("fp"), distance)
+    return nodes.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def representatives(docs: DataFrame, key: Column, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, key) of one row per component: the smallest doc_id, null last, then the smallest ``key``.
+
+    ``key`` is a long that tells rows apart. Minima are taken per fingerprint first, so neither a
+    null doc_id nor a large group meets in one task.
+    """
+    rows = saved(fingerprints(docs, shingle, seed, key), "simhash-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
+    best = tagged_nodes(rows, least, distance).groupBy("component").agg(F.min("least").alias("least"))
+    return best.select("least.doc_id", "least.key")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the smallest doc_id reachable.
 
@@ -140,9 +162,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     beyond their own row.
     """
     rows = saved(fingerprints(docs, shingle, seed), "simhash-rows")
-    nodes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    label = link_components(nodes.select("fp"), distance)
-    tagged = nodes.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    tagged = tagged_nodes(rows, F.min("doc_id"), distance)
     least = tagged.groupBy("component").agg(F.min("least").alias("component_id"))
     # nodes are distinct fingerprints; the rows of one may be many, so the join key is salted
     named = saved(tagged.join(least, "component").select("fp", "component_id"), "simhash-named")
