@@ -534,6 +534,17 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, SF).toPandas().sort_values("start")
     assert sorted(got.doc_id) == sorted(r.doc_id for r in kept)
     mixed = mixing.mix(docs.filter(F.col("doc_id").isin([r.doc_id for r in kept]))).toPandas().sort_values(["slot", "nth"])
+def test_words_before_marks_are_encoded_as_a_whole():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encoder = Tokenizer.from_file(path), token_output.WordEncoder(path)
+    words = ["BELEDİYESİ", "ÜNİVERSİTESİ", "İ", "istanbul", "Éa", "ΣΑΣ", "ﬁ", "ŉ", "ﷺ", "word"]
+    for text in [w + mark for w in words for mark in ".,"] + [" ".join(w + "." for w in words)]:
+        got = np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
+        assert got == model.encode(text, add_special_tokens=False).ids, text
+
+
     assert got.doc_id.tolist() == mixed.doc_id.tolist()
     assert got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1]]
 

@@ -156,7 +156,9 @@ class WordEncoder:
     No pre-token of the vocabulary spans a blank, tab or line end, so a text's ids are those of
     its parts between them one after the other; parts seen before come from a bounded table that
     a worker keeps from task to task. A part of letters only is one pre-token, whose last id ends
-    a word; such parts are encoded many at a time and taken apart at those ids.
+    a word; such parts are encoded many at a time and taken apart at those ids. ASCII letters before
+    a full stop or comma are a pre-token of their own; other letters may lower to a letter and a
+    combining mark, which goes with the stop, so such parts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -210,7 +212,7 @@ class WordEncoder:
         for w in missing:
             if w.isalpha():
                 letters.add(w)
-            elif w[-1] in ".," and w[:-1].isalpha():
+            elif w[-1] in ".," and w[:-1].isascii() and w[:-1].isalpha():
                 marked.append(w)
                 if w[:-1] not in known:
                     letters.add(w[:-1])
