@@ -442,6 +442,20 @@ def test_personal_data(spark, awkward, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_account_numbers_end_by_their_country(spark):
+    texts = {
+        "GB82 WEST 1234 5698 7654 32 BIC WESTGB2L": "iban:0:27", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": "iban:0:27",
+        "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 10 PCS": "iban:0:27,iban:28:55",
+        # what only looks like the start of a number hides none
+        "REF NO12 DE89 3704 0044 0532 0130 00": "iban:9:36", "XX12 DE89 3704 0044 0532 0130 00 END": "iban:5:32",
+        "DE89370400440532013000": "iban:0:22", "DE8937040044053201300": "", "DE89 3704 0044 0532 0130 001": "",
+        "x NO9386011117947, NO93 8601 1117 947 AND MORE": "iban:2:17,iban:19:37",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ",".join(s for s in r.spans.split(",") if s.startswith("iban")) for r in pii.personal_data(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 # 9 toxicity
 def test_toxicity(spark, awkward, empty):
     labels = given(spark, "labels")
@@ -520,6 +534,17 @@ def test_token_output(spark, awkward, empty, segment_ids):
     assert token_output.decode(spark, token_output.encode(empty, path, 2)).count() == 0
 
 
+def test_words_before_marks_are_encoded_as_a_whole():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, encoder = Tokenizer.from_file(path), token_output.WordEncoder(path)
+    words = ["BELEDİYESİ", "ÜNİVERSİTESİ", "İ", "istanbul", "Éa", "ΣΑΣ", "ﬁ", "ŉ", "ﷺ", "word"]
+    for text in [w + mark for w in words for mark in ".,"] + [" ".join(w + "." for w in words)]:
+        got = np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
+        assert got == model.encode(text, add_special_tokens=False).ids, text
+
+
 # the pipeline
 def test_pipeline(spark, tmp_path):
     docs = given(spark, "documents")
@@ -534,17 +559,6 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, SF).toPandas().sort_values("start")
     assert sorted(got.doc_id) == sorted(r.doc_id for r in kept)
     mixed = mixing.mix(docs.filter(F.col("doc_id").isin([r.doc_id for r in kept]))).toPandas().sort_values(["slot", "nth"])
-def test_words_before_marks_are_encoded_as_a_whole():
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    model, encoder = Tokenizer.from_file(path), token_output.WordEncoder(path)
-    words = ["BELEDİYESİ", "ÜNİVERSİTESİ", "İ", "istanbul", "Éa", "ΣΑΣ", "ﬁ", "ŉ", "ﷺ", "word"]
-    for text in [w + mark for w in words for mark in ".,"] + [" ".join(w + "." for w in words)]:
-        got = np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
-        assert got == model.encode(text, add_special_tokens=False).ids, text
-
-
     assert got.doc_id.tolist() == mixed.doc_id.tolist()
     assert got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1]]
 

@@ -28,6 +28,8 @@ ADDED_KINDS = ("iban", "ssn", "local_phone")
 
 CONTEXT = 40
 THRESHOLD = 0.5
+# more than the characters and blanks of any account number
+LONGEST = 80
 
 
 @dataclass(frozen=True)
@@ -37,19 +39,43 @@ class Kind:
     score: float
     near: str = ""
     raise_by: float = 0.0
+    # where ``pattern`` is the start of a span only: the whole span from there, tried at every start
+    whole: str = ""
 
 
 def _from_run(first: str) -> str:
     return rf"(?:(?<!{first})|\G)"
 
 
+# fixed values: characters of a whole account number, by country
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+IBAN_START = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+
+
+def _iban() -> str:
+    """A number as long as its country's; of codes without a known length, as long as it goes."""
+    rest = lambda n: rf"[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}"
+    of = lambda length: "|".join(c for c, n in IBAN_LENGTHS.items() if n == length)
+    known = "|".join(f"(?:{of(n)}){rest(n - 4)}" for n in sorted(set(IBAN_LENGTHS.values())))
+    return f"^(?:{known}|(?!{'|'.join(IBAN_LENGTHS)})[A-Z]{{2}}{rest('11,30')})(?![A-Za-z0-9])"
+
+
 # fixed values: shapes, first scores and telling words of each kind
 KINDS = (
     Kind("email", _from_run("[A-Za-z0-9._%+-]") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9),
     Kind("ip", _from_run("[0-9]") + r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", 0.8),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", 0.9),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.9),
+    Kind("iban", IBAN_START, 0.9, whole=_iban()),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"(?i)\b(?:ssn|social security|tax id|id number)\b", 0.4),
     Kind("local_phone", r"(?<![0-9+)-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])", 0.3, r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax)\b", 0.4),
 )
@@ -106,6 +132,19 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
+def _completed(kind: Kind, start: Column, text: Column) -> Column:
+    """The span of ``kind.whole`` at a start, with an empty match where there is none."""
+    match = F.regexp_extract(F.substring(text, start + 1, F.lit(LONGEST)), kind.whole, 0)
+    return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"))
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order without those that begin inside an earlier one."""
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    clear = lambda kept, s: (F.size(kept) == 0) | (F.element_at(kept, -1)["end"] <= s["start"])
+    return F.aggregate(spans, none, lambda kept, s: F.when(clear(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+
+
 def spans_of(kind: Kind, order: int, text: Column) -> Column:
     """Array of (start, kind_order, end, kind, score): the confirmed spans of one kind."""
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -120,7 +159,11 @@ def spans_of(kind: Kind, order: int, text: Column) -> Column:
     pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
     found = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), begin, place)["found"]
+    if kind.whole:
+        found = F.transform(found, lambda s: _completed(kind, s["start"], text))
     confirmed = F.filter(found, lambda s: valid(kind.name, s["match"]))
+    if kind.whole:
+        confirmed = _apart(confirmed)
 
     def scored(s: Column) -> Column:
         score = F.lit(kind.score)
