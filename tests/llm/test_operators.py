@@ -172,6 +172,25 @@ def test_decontamination(spark):
         decontamination.FILTER_WINDOWS = before
 
 
+def test_decontamination_judges_each_occurrence_and_finds_verbatim_copies(spark):
+    train = "A train leaves Berlin at 60 km per hour and reaches Paris after 12 hours, how far apart are the two towns on the map?"
+    variant = train.replace("Berlin", "Oslo").replace("60", "75").replace("Paris", "Rome").replace("12", "9")
+    mixed = variant.replace("Rome", "Oslo").replace(" 9 ", " 75 ")
+    heavy = "Maria Jose Lopez, 12 34 56 78 90 11, Anna Berta Clara Dora 13 14 15 16"
+    items = [(1, train), (2, heavy), (3, "Blue Whale Song"), (4, "Berlin grew faster than all of its neighbours"), (5, "?!")]
+    texts = [
+        "Here. " + train + " And now. " + variant, train + " " + variant.replace("Oslo", "Bonn") + " " + variant.replace("75", "80"),
+        "see " + heavy.lower() + " there", "they heard the blue whale song today", "we know that Berlin grew faster than all of its neighbours did",
+        "Here. " + mixed + " And now. " + mixed, "see Maria Jose 12 34 there", "blue song of a whale",
+        # an inserted word, beside another variant
+        train.replace("how far", "so how far") + " x" * 60 + ". " + variant,
+    ]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontamination.matches(docs, benchmark).collect())
+    assert found == [(0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (8, 1)]
+
+
 def test_decontamination_query_finds_embedded_items(spark):
     docs, items = given(spark, "documents").toPandas(), given(spark, "benchmark").toPandas()
     got = {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, SF).collect()}

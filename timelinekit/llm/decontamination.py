@@ -5,15 +5,19 @@ sentence) and units (after a number) turn into typed placeholders, all other wor
 Windows of ``width`` canonical tokens are hashed and joined between benchmark and documents, so a
 question whose numbers or names were exchanged still meets its template. The values in the slots
 of the joined windows then have to agree: one value of the item may stand for one value in the
-document only, and the other way round.
+document only, and the other way round. Every window is also joined by its lowered words as they
+stand, so a verbatim copy is found whatever its tokens became. Windows that are placeholders for
+more than half say nothing as a template and are joined by their words only.
 
 A document is contaminated by an item when windows cover at least ``coverage`` of the item's
-tokens and at least ``consistency`` of the slot values agree. Windows that are placeholders for
-more than half say nothing and are left out. Items shorter than ``width`` are one window of their
-own length; items with fewer than five tokens carry too little and are left out.
-
-Defined cases: null and empty texts match nothing; items with the same canonical tokens and slot
-values count as the one with the smallest id; rows with equal texts get equal results, and a
+tokens and at least ``consistency`` of the slot values agree, in the whole document or in one
+occurrence: the windows that lie equally far from their places in the item, or, with insertions,
+in a stretch of the item's length. Other variants in the document don't hide an occurrence. Items
+shorter than ``width`` are one window of their own length; with fewer than five tokens they are
+found verbatim only.
+
+Defined cases: null, empty and wordless texts match nothing; items with the same canonical tokens
+and slot values count as the one with the smallest id; rows with equal texts get equal results, and a
 null doc_id or item_id keeps its rows; empty tables give no rows; other columns are ignored.
 """
 
@@ -25,7 +29,7 @@ from functools import partial
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelinekit.llm.common import kept, map_batches, saved
@@ -42,7 +46,9 @@ UNITS = frozenset(
 WIDTH = 8
 COVERAGE = 0.5
 CONSISTENCY = 0.8
-MIN_ITEM_TOKENS = 5
+MIN_TEMPLATE_TOKENS = 5
+# keeps hashes of words apart from hashes of templates
+VERBATIM = 0x5851F42D4C957F2D
 # windows of the benchmark up to which their hashes are sent to every task (8 bytes each)
 FILTER_WINDOWS = 4_000_000
 
@@ -129,9 +135,10 @@ class Chunks(dict):
 
 @dataclass
 class Canonical:
-    """A text's tokens as numbers, whether each is literal, and the values of the others."""
+    """A text's tokens as numbers, whether each is literal, the values of the others, and the numbers of all words."""
 
     numbers: np.ndarray
+    words: np.ndarray
     literal: np.ndarray
     classes: np.ndarray
     places: np.ndarray
@@ -167,21 +174,30 @@ def canonical(text: str | None, known: Pieces) -> Canonical:
     # a name that could be a unit elsewhere keeps its spelling
     classes[name] = PLAIN
     real = classes != STOP
-    return Canonical(numbers[real], ~(number | unit | name)[real], classes[real], places[real], known.spelled)
+    return Canonical(numbers[real], known.numbers[places[real]], ~(number | unit | name)[real], classes[real], places[real], known.spelled)
 
 
-def window_hashes(numbers: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the windows that are literal for at least half."""
+def window_hashes(numbers: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of the windows at every place."""
     n = len(numbers) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(width), dtype=np.uint64)
+        return np.zeros(0, np.uint64)
+    total = np.full(n, np.uint64(width ^ seed), dtype=np.uint64)
     for i in range(width):
         total = (total ^ numbers[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
-    sums = np.concatenate([[0], np.cumsum(literal)])
-    telling = np.flatnonzero((sums[width:] - sums[:-width]) * 2 >= width)
-    return telling, total[telling]
+    return total
+
+
+def windows(text: Canonical, width: int) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+    """(is a template, places, signed hashes): windows by their words, and those literal for at least half as templates."""
+    hashes = window_hashes(text.words, width, VERBATIM).view(np.int64)
+    found = [(False, np.arange(len(hashes)), hashes)]
+    if width >= MIN_TEMPLATE_TOKENS and len(hashes):
+        sums = np.concatenate([[0], np.cumsum(text.literal)])
+        telling = np.flatnonzero((sums[width:] - sums[:-width]) * 2 >= width)
+        found.append((True, telling, window_hashes(text.numbers, width).view(np.int64)[telling]))
+    return found
 
 
 def _items(batches, width: int):
@@ -191,19 +207,19 @@ def _items(batches, width: int):
         for item_id, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist()):
             item = canonical(text, known)
             size = len(item.numbers)
-            if size < MIN_ITEM_TOKENS:
+            if not size:
                 continue
             own = min(width, size)
-            places, hashes = window_hashes(item.numbers, item.literal, own)
             form = item.numbers.tobytes().hex() + item.slots(0, size)
-            for p, h in zip(places.tolist(), hashes.view(np.int64).tolist()):
-                for c, x in zip(out, (item_id, form, size, own, p, h, item.slots(p, own))):
-                    out[c].append(x)
+            for template, places, hashes in windows(item, own):
+                for p, h in zip(places.tolist(), hashes.tolist()):
+                    for c, x in zip(out, (item_id, form, size, own, p, h, item.slots(p, own) if template else "")):
+                        out[c].append(x)
         yield out
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, tokens, width, place, hash, item_slots) of every telling window of distinct items."""
+    """(item_id, tokens, width, place, hash, item_slots) of every window of distinct items; no slots where it goes by its words."""
     schema = "item_id long, form string, tokens int, width int, place int, hash long, item_slots string"
     rows = map_batches(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), partial(_items, width=width), schema, KEPT)
     rows = rows.withColumn("form", F.sha2("form", 256))
@@ -213,26 +229,31 @@ def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
 def _documents(batches, widths: list[int], wanted):
     known, keep = known_pieces(), None if wanted is None else wanted.value
     for batch in batches:
-        out = {c: [] for c in ("doc_id", "doc_key", "width", "hash", "doc_slots")}
+        out = {c: [] for c in ("doc_id", "doc_key", "width", "hash", "doc_place", "doc_slots")}
         for doc_id, key, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc_key", "text"))):
             doc = canonical(text, known)
             for width in widths:
-                places, hashes = window_hashes(doc.numbers, doc.literal, width)
-                signed = hashes.view(np.int64)
-                if keep is not None and len(keep):
-                    at = np.minimum(np.searchsorted(keep, signed), len(keep) - 1)
-                    hit = keep[at] == signed
-                    places, signed = places[hit], signed[hit]
-                elif keep is not None:
-                    places = places[:0]
-                # a window repeated in the text with the same values counts once
-                seen = {(h, doc.slots(p, width)) for p, h in zip(places.tolist(), signed.tolist())}
-                for h, slots in seen:
-                    for c, x in zip(out, (doc_id, key, width, h, slots)):
-                        out[c].append(x)
+                for template, places, hashes in windows(doc, width):
+                    if keep is not None and len(keep):
+                        at = np.minimum(np.searchsorted(keep, hashes), len(keep) - 1)
+                        hit = keep[at] == hashes
+                        places, hashes = places[hit], hashes[hit]
+                    elif keep is not None:
+                        places = places[:0]
+                    for p, h in zip(places.tolist(), hashes.tolist()):
+                        for c, x in zip(out, (doc_id, key, width, h, p, doc.slots(p, width) if template else "")):
+                            out[c].append(x)
         yield out
 
 
+def occurrences(shift: Column, tokens: Column) -> Column:
+    """What a window is judged in, as (kind, at): the whole document, one alignment, and stretches of
+    the item's length, dealt twice so that one close to a border lies inside another."""
+    part = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+    near = [F.floor((shift + half) / tokens) for half in (F.lit(0), tokens / 2)]
+    return F.array(part(0, F.lit(0)), part(1, shift), part(2, near[0]), part(3, near[1]))
+
+
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """(doc_id, doc_key, item_id, covered, coverage, slots, consistency): a row for each contaminated pair.
 
@@ -248,28 +269,34 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, coverage: flo
     if few.count() <= FILTER_WINDOWS:
         wanted = spark.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in few.toLocalIterator()], dtype=np.int64)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("doc_key"), "text")
-    found = map_batches(rows, partial(_documents, widths=widths, wanted=wanted), "doc_id long, doc_key long, width int, hash long, doc_slots string", KEPT)
+    found = map_batches(rows, partial(_documents, widths=widths, wanted=wanted), "doc_id long, doc_key long, width int, hash long, doc_place int, doc_slots string", KEPT)
     joined = saved(found.join(asked, ["width", "hash"]), "template-matches")
 
-    # a window covers the tokens from its place on; places of all windows together
-    pair = ["doc_id", "doc_key", "item_id"]
-    places = joined.select(*pair, "tokens", F.explode(F.sequence("place", F.expr("place + width - 1"))).alias("token")).distinct()
-    covered = places.groupBy(*pair, "tokens").agg(F.count(F.lit(1)).alias("covered"))
+    # a window covers the tokens from its place on; places are at most as many as the item has tokens
+    pair, judged = ["doc_id", "doc_key", "item_id"], ["doc_id", "doc_key", "item_id", "within"]
+    placed = joined.withColumn("within", F.explode(occurrences(F.col("doc_place") - F.col("place"), F.col("tokens"))))
+    places = placed.groupBy(*judged, "tokens", "width").agg(F.collect_set("place").alias("places"))
+    inside = F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("width") - 1)))
+    covered = places.select(*judged, "tokens", F.size(F.array_distinct(inside)).cast("long").alias("covered")).filter(F.col("covered") / F.col("tokens") >= coverage)
     part = lambda c, i: F.split_part(c, F.lit("\x1f"), F.lit(i))
-    both = joined.filter("item_slots <> ''").select(
-        *pair, F.explode(F.arrays_zip(F.split("item_slots", "\x1e").alias("i"), F.split("doc_slots", "\x1e").alias("d"))).alias("s")
+    both = placed.filter("item_slots <> ''").select(
+        *judged, F.explode(F.arrays_zip(F.split("item_slots", "\x1e").alias("i"), F.split("doc_slots", "\x1e").alias("d"))).alias("s")
     )
-    values = both.select(*pair, part(F.col("s.i"), 2).alias("own"), part(F.col("s.d"), 2).alias("seen")).distinct()
-    agreed = values.groupBy(*pair).agg(
+    values = both.select(*judged, part(F.col("s.i"), 2).alias("own"), part(F.col("s.d"), 2).alias("seen")).distinct()
+    agreed = values.groupBy(*judged).agg(
         F.count(F.lit(1)).alias("slots"), F.count_distinct("own").alias("owns"), F.count_distinct("seen").alias("seens")
     )
-    same = [covered[c].eqNullSafe(agreed[c]) for c in pair]
+    same = [covered[c].eqNullSafe(agreed[c]) for c in judged]
     ratio = F.coalesce(F.least("owns", "seens") / F.col("slots"), F.lit(1.0))
     scored = covered.join(agreed, same, "left").select(
-        *[covered[c] for c in pair],
+        *[covered[c] for c in judged],
         "covered",
         (F.col("covered") / F.col("tokens")).alias("coverage"),
         F.coalesce("slots", F.lit(0)).alias("slots"),
         ratio.alias("consistency"),
     )
-    return scored.filter((F.col("coverage") >= coverage) & (F.col("consistency") >= consistency))
+    # one row per pair: of the whole document if that is enough, else of the best covered occurrence
+    figures = ["covered", "coverage", "slots", "consistency"]
+    order = F.struct("within.kind", -F.col("covered"), -F.col("consistency"), "within.at")
+    best = scored.filter(F.col("consistency") >= consistency).groupBy(*pair).agg(F.min_by(F.struct(*figures), order).alias("best"))
+    return best.select(*pair, *[F.col(f"best.{c}").alias(c) for c in figures])
