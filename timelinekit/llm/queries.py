@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelinekit.llm import decontamination, language, mixing, nearest, pii, simhash, token_counts, token_output, toxicity, warc
+from timelinekit.llm import (
+    decontamination, language, mixing, nearest, negatives, pii, quality, resampling, simhash, sql, token_counts, token_output, toxicity, warc,
+)
 from timelinekit.llm.common import table
 
 END_ID = 2
@@ -62,6 +64,18 @@ def op10_token_output(spark: SparkSession, sf: str) -> DataFrame:
     return token_output.decode(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -73,5 +87,12 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
+    "op11_quality": op11_quality,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_resampling": op13_resampling,
+}
+SQL: dict[str, str] = {
+    "op11_quality": sql.quality(quality.BUCKETS, quality.PAIR_FACTOR, quality.LOST),
+    "op12_hard_negatives": sql.NEGATIVES,
+    "op13_resampling": sql.resampling(),
 }
-SQL: dict[str, str] = {}
