@@ -9,6 +9,7 @@ from timelinekit.operators import measure as ms
 from timelinekit.operators import signal as sg
 from timelinekit.plans.layout import KeyLayout
 from timelinekit.plans.ordered import ordered_scan
+from timelinekit.session import cut_lineage
 
 QUERIES, SQL = {}, {}
 HOUR = 3600.0
@@ -270,17 +271,19 @@ def _envelope(spark, sf, event_type: str):
     return rows.groupBy((F.col("k") % 10).alias("k"), F.floor(F.col("t") / 3600).alias("i")).agg(F.round(F.sum("value"), 2).alias("v"))
 
 
-def _lags_sql(where: str = "true") -> str:
+# The first and the last third of a group's own span of hours.
+_SPAN = f"(SELECT k, min(i) AS lo, max(i) AS hi, (max(i) - min(i) + 1) // 3 AS third FROM {_envelopes_sql('view')} v GROUP BY k)"
+_PARTS = {"whole": "true", "early": "a.i < lo + third", "late": "a.i > hi - third"}
+
+
+def _lags_sql(part: str = "whole") -> str:
     return f"""(SELECT k, lag, overlap, CASE WHEN r IS NULL OR isnan(r) THEN -1 ELSE r END AS correlation FROM (
-      SELECT a.k, CAST(b.i - a.i AS INT) AS lag, corr(a.v, b.v) AS r, count(*) AS overlap FROM {_envelopes_sql("view")} a JOIN {_envelopes_sql("click")} b
-        ON a.k = b.k AND b.i - a.i BETWEEN -12 AND 12 WHERE {where} GROUP BY a.k, b.i - a.i) WHERE overlap >= 5)"""
+      SELECT a.k, CAST(b.i - a.i AS INT) AS lag, corr(a.v, b.v) AS r, count(*) AS overlap FROM {_envelopes_sql("view")} a JOIN {_SPAN} p ON a.k = p.k
+        JOIN {_envelopes_sql("click")} b ON a.k = b.k AND b.i - a.i BETWEEN -12 AND 12 WHERE {_PARTS[part]} GROUP BY a.k, b.i - a.i) WHERE overlap >= 5)"""
 
 
-def _lags(spark, sf, low=None, high=None):
-    left = _envelope(spark, sf, "view")
-    if low is not None:
-        left = left.filter(F.col("i").between(low, high))
-    return sg.lag_correlation(left, _envelope(spark, sf, "click"), ["k"], "i", "v", 12, 5)
+def _lags(spark, sf):
+    return sg.lag_correlation(_envelope(spark, sf, "view"), _envelope(spark, sf, "click"), ["k"], "i", "v", 12, 5)
 
 
 @_q("lag_correlation", f"SELECT k, lag, overlap, round_even(correlation, 6) AS correlation FROM {_lags_sql()} l")
@@ -288,10 +291,10 @@ def _(spark, sf):
     return _lags(spark, sf).withColumn("correlation", F.bround("correlation", 6))
 
 
-def _best_sql(where: str = "true") -> str:
+def _best_sql(part: str = "whole") -> str:
     return f"""(SELECT k, lag / 1.0 AS offset_s, round_even(b, 6) AS correlation, round_even(b - coalesce(s, -1), 6) AS prominence FROM (
-      SELECT x.k, y.lag, y.b, max(CASE WHEN abs(x.lag - y.lag) > 2 THEN x.correlation END) AS s FROM {_lags_sql(where)} x JOIN (
-        SELECT k, arg_max(lag, (correlation, -lag)) AS lag, max(correlation) AS b FROM {_lags_sql(where)} z GROUP BY k) y ON x.k = y.k GROUP BY x.k, y.lag, y.b))"""
+      SELECT x.k, y.lag, y.b, max(CASE WHEN abs(x.lag - y.lag) > 2 THEN x.correlation END) AS s FROM {_lags_sql(part)} x JOIN (
+        SELECT k, arg_max(lag, (correlation, -lag)) AS lag, max(correlation) AS b FROM {_lags_sql(part)} z GROUP BY k) y ON x.k = y.k GROUP BY x.k, y.lag, y.b))"""
 
 
 @_q("best_lag", f"SELECT * FROM {_best_sql()} b")
@@ -300,15 +303,23 @@ def _(spark, sf):
 
 
 @_q("drift_verdict", f"""SELECT *, CASE WHEN reasons = '' THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
-  SELECT w.k, w.offset_s, w.correlation, round_even((l.offset_s - e.offset_s) / 480.0 * 1e6, 3) AS drift_ppm,
+  SELECT w.k, w.offset_s, w.correlation, CASE WHEN hours >= 40 THEN round_even(ppm, 3) ELSE 0.0 END AS drift_ppm,
     concat_ws('; ', CASE WHEN w.correlation < 0.55 THEN 'correlation below threshold' END,
-      CASE WHEN abs((l.offset_s - e.offset_s) / 480.0 * 1e6) > 1500 THEN 'drift exceeds threshold' END) AS reasons
-  FROM {_best_sql()} w JOIN {_best_sql("a.i BETWEEN 0 AND 239")} e ON w.k = e.k JOIN {_best_sql("a.i BETWEEN 480 AND 719")} l ON w.k = l.k)""")
+      CASE WHEN hours >= 40 AND abs(ppm) > 1500 THEN 'drift exceeds threshold' END) AS reasons
+  FROM (SELECT w.*, hi - lo + 1 AS hours, (l.offset_s - e.offset_s) / greatest((hi - lo + 1 - third)::DOUBLE, 1.0::DOUBLE) * 1e6::DOUBLE AS ppm
+    FROM {_best_sql()} w JOIN {_SPAN} p ON w.k = p.k LEFT JOIN {_best_sql("early")} e ON w.k = e.k LEFT JOIN {_best_sql("late")} l ON w.k = l.k) w)""")
 def _(spark, sf):
-    whole, early, late = (
-        sg.best_lag(lags, ["k"], 1, 2) for lags in (_lags(spark, sf), _lags(spark, sf, 0, 239), _lags(spark, sf, 480, 719))
-    )
-    return sg.drift_verdict(whole, early, late, ["k"], F.lit(720.0), F.lit(240.0))
+    views = _envelope(spark, sf, "view")
+    span = views.groupBy("k").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).withColumn("third", F.floor((F.col("hi") - F.col("lo") + 1) / 3))
+    parts = F.array_compact(F.array(
+        F.lit("whole"), F.when(F.col("i") < F.col("lo") + F.col("third"), F.lit("early")), F.when(F.col("i") > F.col("hi") - F.col("third"), F.lit("late"))
+    ))
+    marked = views.join(span, "k").withColumn("parts", parts)
+    scores = sg.lag_correlation(marked, _envelope(spark, sf, "click"), ["k"], "i", "v", 12, 5, "parts")
+    best = cut_lineage(sg.best_lag(scores, ["k", "window"], 1, 2))
+    whole, early, late = (best.filter(F.col("window") == part).drop("window") for part in _PARTS)
+    hours = F.col("hi") - F.col("lo") + 1
+    return sg.drift_verdict(whole.join(span, "k"), early, late, ["k"], hours, F.col("third"))
 
 
 @_q("freeze_share", f"""WITH r AS (SELECT k, sum(value) AS f, max(value) AS longest FROM {SERIES} s WHERE event_type = 'error' GROUP BY k),

@@ -64,7 +64,8 @@ SERIES = """(
 
 # Words: documents split at blanks; word i starts at 0.4 i, its length varies by a rule.
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "documents").select(
+    # dealt by the key that windows over words ask for, before a row becomes many
+    parts = table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select(
         F.col("doc_id").alias("k"), F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("pos", "text")
     )
     return parts.filter(F.col("text") != "").select(
@@ -88,7 +89,7 @@ WORDS = r"""(
 
 # Utterances: document lines; line i starts at 5 i and lasts 1.0 to 4.9 seconds.
 def utterances(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "documents").select(
+    lines = table(spark, sf, "documents").select("doc_id", "lang", "source", "text").repartition("doc_id").select(
         F.col("doc_id").alias("k"), "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text")
     )
     return lines.filter(F.trim("text") != "").select(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timelinekit.catalogue.editorial import TOKENS_SQL
 from timelinekit.catalogue.standins import SERIES, SHOTS, UTTERANCES, WORDS, series, shots, utterances, words
 from timelinekit.operators import pauses as pz
 from timelinekit.operators import timeline as tl
@@ -197,7 +198,7 @@ def _(spark, sf):
     )
     clicks = _spans_of(spark, sf, "click", 60.0).withColumn("text", F.concat(F.lit("w"), F.col("id").cast("string")))
     said = (
-        tl.assign_by_midpoint(clicks, entries, ["k"], 12 * HOUR)
+        tl.assign_by_midpoint(clicks, entries, ["k"])
         .groupBy("k", F.col("entry_id").alias("id"))
         .agg(F.sort_array(F.collect_list(F.struct("start_s", F.col("id").alias("w"), "text"))).alias("_said"))
         .select("k", "id", F.transform("_said", lambda w: w["w"].cast("string")).alias("word_ids"),
@@ -205,7 +206,7 @@ def _(spark, sf):
     )
     spoken = entries.join(said, ["k", "id"], "left")
     cuts = _spans_of(spark, sf, "error", 7200.0)
-    out = pz.split_by_cuts(spoken, cuts, ["k"], 12 * HOUR, 1800.0, clicks.withColumnRenamed("id", "word_id"))
+    out = pz.split_by_cuts(spoken, cuts, ["k"], minimum=1800.0, words=clicks.withColumnRenamed("id", "word_id"))
     return out.select(
         "k", "entry_id", "id", pz.r6(F.col("start_s")).alias("start_s"), pz.r6(F.col("end_s")).alias("end_s"), "kind",
         F.coalesce(F.array_join("word_ids", ","), F.lit("")).alias("word_ids"), F.coalesce("text", F.lit("")).alias("text"),
@@ -235,14 +236,14 @@ FROM {_spans_sql("click", 3600.0)} c JOIN f ON c.k = f.k AND c.start_s < f.e AND
 WHERE least(c.end_s, f.e) - greatest(c.start_s, f.s) >= 0.12""")
 def _(spark, sf):
     spans = _spans_of(spark, sf, "click", 3600.0)
-    return tl.interval_subtract(spans, _spans_of(spark, sf, "error", 7200.0), _series_layout(spark, sf), "id", 24 * HOUR)
+    return tl.interval_subtract(spans, _spans_of(spark, sf, "error", 7200.0), _series_layout(spark, sf), "id")
 
 
 @_q("assign_by_midpoint", f"""SELECT w.k, w.id, e.id AS entry_id FROM {_spans_sql("click", 60.0)} w JOIN {_spans_sql("view", 36000.0)} e ON w.k = e.k
   AND (w.start_s + w.end_s) / 2 BETWEEN e.start_s - 0.05 AND e.end_s + 0.05""")
 def _(spark, sf):
     spoken = _spans_of(spark, sf, "click", 60.0)
-    return tl.assign_by_midpoint(spoken, _spans_of(spark, sf, "view", 36000.0), ["k"], 12 * HOUR).select("k", "id", "entry_id")
+    return tl.assign_by_midpoint(spoken, _spans_of(spark, sf, "view", 36000.0), ["k"]).select("k", "id", "entry_id")
 
 
 @_q("assign_by_majority", f"""SELECT w.k, w.id, e.id AS entry_id, greatest(0, w.start_s - e.start_s) AS local_start_s,
@@ -250,7 +251,7 @@ def _(spark, sf):
 FROM {_spans_sql("error", 7200.0)} w JOIN {_WINDOWS} e ON w.k = e.k AND w.start_s < e.end_s AND e.start_s < w.end_s
 WHERE least(w.end_s, e.end_s) - greatest(w.start_s, e.start_s) >= 0.5 * greatest(w.end_s - w.start_s, 1e-6)""")
 def _(spark, sf):
-    out = tl.assign_by_majority(_spans_of(spark, sf, "error", 7200.0), _windows(spark, sf), ["k"], 12 * HOUR)
+    out = tl.assign_by_majority(_spans_of(spark, sf, "error", 7200.0), _windows(spark, sf), ["k"])
     return out.select("k", "id", "entry_id", "local_start_s", "local_end_s")
 
 
@@ -274,6 +275,30 @@ def _(spark, sf):
 
 _ENTRIES = f"(SELECT *, CASE WHEN (k + pos) % 3 = 0 THEN 'cut' ELSE 'keep' END AS kind FROM {UTTERANCES} u)"
 
+# Every fifth line lists no words; the others list those that may sound in them and a few more.
+_LISTED_SQL = f"""(SELECT *, CASE WHEN pos % 5 <> 4 THEN list_transform(range(CAST(floor(start_s / 0.4::DOUBLE) AS BIGINT), CAST(floor(end_s / 0.4::DOUBLE) AS BIGINT) + 3),
+    lambda i: printf('w%06d', i)) END AS ids FROM {_ENTRIES} e WHERE kind = 'keep')"""
+
+
+@_q("rebase_words", f"""WITH e AS (SELECT *, end_s - start_s AS d, coalesce(sum(end_s - start_s) OVER (PARTITION BY k ORDER BY start_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_s
+  FROM {_LISTED_SQL} l),
+w AS (SELECT e.k, e.id, e.place, e.offset_s, w.word_id, greatest(0, w.start_s - e.start_s) AS a, least(e.d, greatest(greatest(0, w.start_s - e.start_s) + 0.04::DOUBLE, w.end_s - e.start_s)) AS z
+  FROM (SELECT *, unnest(ids) AS word_id, generate_subscripts(ids, 1) AS place FROM e) e JOIN {WORDS} w ON w.k = e.k AND w.word_id = e.word_id
+  WHERE w.start_s < e.end_s AND e.start_s < w.end_s AND least(w.end_s, e.end_s) - greatest(w.start_s, e.start_s) >= 0.5::DOUBLE * greatest(w.end_s - w.start_s, 1e-6)
+    AND len({TOKENS_SQL.format('w.text')}) > 0),
+s AS (SELECT k, id, offset_s, d, len({TOKENS_SQL.format('text')}) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.k = e.k AND w.id = e.id))
+SELECT k, id, CAST(row_number() OVER (PARTITION BY k, id ORDER BY place) AS INTEGER) AS word_no, word_id AS source_word_id, round(offset_s + a, 6) AS start_s, round(offset_s + z, 6) AS end_s,
+  'source-words' AS timing FROM w
+UNION ALL SELECT k, id, CAST(i + 1 AS INTEGER), NULL, round(offset_s + i * (d / n), 6), round(offset_s + (i + 1) * (d / n), 6), 'even-slices' FROM (SELECT *, unnest(range(n)) AS i FROM s)""")
+def _(spark, sf):
+    entries = entries_of(spark, sf)
+    first, last = (F.floor(F.col(c) / 0.4) for c in ("start_s", "end_s"))
+    ids = F.transform(F.sequence(first, last + 2), lambda i: F.format_string("w%06d", i))
+    listed = entries.withColumn("ids", F.when(F.col("pos") % 5 != 4, ids))
+    out = tl.rebase_words(listed, words(spark, sf), KeyLayout.measure(entries, ["k"], "start_s"), ["start_s", "id"], "ids")
+    return out.select("k", "id", "word_no", "source_word_id", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "timing")
+
+
 
 def entries_of(spark, sf):
     return utterances(spark, sf).withColumn("kind", F.expr("CASE WHEN (k + pos) % 3 = 0 THEN 'cut' ELSE 'keep' END"))
@@ -335,5 +360,5 @@ def _(spark, sf):
     ON w.k = e.k AND e.start_s - 1e-6 <= w.start_s AND w.start_s < e.end_s - 1e-6 GROUP BY e.k, e.id) WHERE lead_s > 3600""")
 def _(spark, sf):
     return tl.lead_in_silence(
-        _spans_of(spark, sf, "click", 60.0), _spans_of(spark, sf, "view", 36000.0), ["k"], 12 * HOUR, HOUR
+        _spans_of(spark, sf, "click", 60.0), _spans_of(spark, sf, "view", 36000.0), ["k"], HOUR
     )

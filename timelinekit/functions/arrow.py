@@ -81,35 +81,64 @@ def _distance(a, b) -> int:
     return distance
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Longest common subsequence of two token arrays (bit-parallel rows)."""
-    return pd.Series([_lcs(a, b) for a, b in zip(left, right)], dtype="int32")
+_COMPARED = T.StructType([T.StructField("edit_distance", T.IntegerType()), T.StructField("lcs", T.IntegerType())])
 
 
-@F.pandas_udf(T.IntegerType())
-def edit_distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Token edit distance of two arrays of any vocabulary (bit-parallel rows)."""
-    return pd.Series([_distance(a, b) for a, b in zip(left, right)], dtype="int32")
+@F.pandas_udf(_COMPARED)
+def token_comparison(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Token edit distance and longest common subsequence of two arrays of any vocabulary.
+
+    Both run over bit rows of whole numbers: a token of the left side costs a few operations on
+    integers as long as the right side, not a loop over it.
+    """
+    found = [(_distance(a, b), _lcs(a, b)) for a, b in zip(left, right)]
+    return pd.DataFrame(found, columns=["edit_distance", "lcs"], dtype="int32")
+
+
+def transcript_comparison(max_lead_s: float):
+    """UDF on one transcript's arrays: ``token_comparison``, the start differences of equal words, and
+    the number of clips whose first word comes more than ``max_lead_s`` after the clip's start.
+
+    Arguments: words and their starts of either side, starts and ends of the clips of the left one.
+    """
+
+    def late(starts, clips_from, clips_to) -> int:
+        ordered, n = sorted(float(s) for s in starts), 0
+        for a, b in zip(clips_from, clips_to):
+            first = bisect_left(ordered, a - 1e-6)
+            n += first < len(ordered) and ordered[first] < b - 1e-6 and ordered[first] - a > max_lead_s
+        return n
+
+    @F.pandas_udf(T.StructType([*_COMPARED.fields, T.StructField("drifts", T.ArrayType(T.DoubleType())), T.StructField("lead_ins", T.IntegerType())]))
+    def compare(
+        left: pd.Series, left_at: pd.Series, right: pd.Series, right_at: pd.Series, clip_from: pd.Series, clip_to: pd.Series
+    ) -> pd.DataFrame:
+        rows = list(zip(left, left_at, right, right_at, clip_from, clip_to))
+        return pd.DataFrame({
+            "edit_distance": [_distance(r[0], r[2]) for r in rows], "lcs": [_lcs(r[0], r[2]) for r in rows],
+            "drifts": [_drifts(*r[:4]) for r in rows], "lead_ins": [late(r[1], r[4], r[5]) for r in rows],
+        })
+
+    return compare
+
+
+def _drifts(words, times, heard, heard_at) -> list[float]:
+    """Start differences of words matched greedily forward by equal token."""
+    where: dict = {}
+    for at, token in enumerate(heard):
+        where.setdefault(token, []).append(at)
+    found, pointer = [], 0
+    for token, time in zip(words, times):
+        places = where.get(token, ())
+        nth = bisect_left(places, pointer)
+        if nth < len(places):
+            pointer = places[nth] + 1
+            found.append(abs(float(heard_at[places[nth]]) - float(time)))
+    return found
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def matched_drifts(
     expected: pd.Series, expected_at: pd.Series, actual: pd.Series, actual_at: pd.Series
 ) -> pd.Series:
-    """Start differences of words matched greedily forward by equal token."""
-
-    def one(words, times, heard, heard_at) -> list[float]:
-        where: dict = {}
-        for at, token in enumerate(heard):
-            where.setdefault(token, []).append(at)
-        drifts, pointer = [], 0
-        for token, time in zip(words, times):
-            places = where.get(token, [])
-            found = bisect_left(places, pointer)
-            if found < len(places):
-                pointer = places[found] + 1
-                drifts.append(abs(float(heard_at[places[found]]) - float(time)))
-        return drifts
-
-    return pd.Series([one(*row) for row in zip(expected, expected_at, actual, actual_at)])
+    return pd.Series([_drifts(*row) for row in zip(expected, expected_at, actual, actual_at)])

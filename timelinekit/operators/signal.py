@@ -22,21 +22,38 @@ def block_envelope(samples: DataFrame, keys: Sequence[str], index: str, value: s
 
 
 def lag_correlation(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], index: str, value: str, max_lag: int, min_overlap: int
+    left: DataFrame, right: DataFrame, keys: Sequence[str], index: str, value: str, max_lag: int, min_overlap: int,
+    windows: str | None = None,
 ) -> DataFrame:
     """Pearson correlation of left[i] and right[i + lag] for every lag with enough overlap.
 
-    Each left sample meets 2 * max_lag + 1 right samples through an equi-join on the shifted
-    index, and ``corr`` is a partial aggregate, so no series is gathered anywhere. A lag whose
-    side is constant scores -1.
+    Both series are dealt in blocks of ``max_lag`` samples; a right sample also goes to the block
+    before and the block after, where left samples may reach it. That is the one shuffle of
+    samples: inside a block the pairs are formed and enter partial sums at once. A lag whose side
+    is constant scores -1.
+
+    ``windows`` names an array column of ``left``: scores are then kept per label (``window``) and
+    a sample counts for each of its labels, so several stretches of a series cost one pass.
     """
-    shifted = left.select(
-        *keys, F.col(value).alias("_a"), F.col(index).alias("_i"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
-    ).withColumn("_j", F.col("_i") + F.col("lag"))
-    pairs = shifted.join(right.select(*keys, F.col(index).alias("_j"), F.col(value).alias("_b")), [*keys, "_j"])
-    scored = pairs.groupBy(*keys, "lag").agg(F.corr("_a", "_b").alias("_r"), F.count(F.lit(1)).alias("overlap"))
+    keys = list(keys)
+    size = max(1, max_lag)
+    block = lambda at: F.floor(at / size).cast("long")
+    at = F.col(index).cast("long")
+    labels = F.array(F.lit(None).cast("string")) if windows is None else F.col(windows)
+    sample = lambda mine, labels: F.struct(F.lit(mine).alias("mine"), at.alias("i"), F.col(value).cast("double").alias("v"), labels.alias("labels"))
+    ours = left.select(*keys, block(at).alias("_b"), sample(True, labels).alias("_s"))
+    reach = F.sequence(block(at - max_lag), block(at + max_lag))
+    theirs = right.select(*keys, F.explode(reach).alias("_b"), sample(False, F.lit(None).cast("array<string>")).alias("_s"))
+    blocks = ours.unionByName(theirs).groupBy(*keys, "_b").agg(F.collect_list("_s").alias("_all"))
+    sides = blocks.select(*keys, F.filter("_all", lambda s: s["mine"]).alias("_l"), F.filter("_all", lambda s: ~s["mine"]).alias("_r"))
+    each = sides.filter((F.size("_l") > 0) & (F.size("_r") > 0)).select(*keys, "_r", F.explode("_l").alias("_a"))
+    pairs = each.select(*keys, "_a", F.explode("_r").alias("_b")).withColumn("lag", (F.col("_b.i") - F.col("_a.i")).cast("int"))
+    near = pairs.filter(F.abs("lag") <= max_lag).select(*keys, "lag", F.col("_a.v").alias("_x"), F.col("_b.v").alias("_y"), F.explode("_a.labels").alias("window"))
+    by = [*keys, "window", "lag"]
+    scored = near.groupBy(*by).agg(F.corr("_x", "_y").alias("_r"), F.count(F.lit(1)).alias("overlap"))
     known = F.when(F.col("_r").isNull() | F.isnan("_r"), F.lit(-1.0)).otherwise(F.col("_r"))
-    return scored.filter(F.col("overlap") >= min_overlap).select(*keys, "lag", "overlap", known.alias("correlation"))
+    shown = [c for c in by if c != "window" or windows is not None]
+    return scored.filter(F.col("overlap") >= min_overlap).select(*shown, "overlap", known.alias("correlation"))
 
 
 def best_lag(scores: DataFrame, keys: Sequence[str], rate: int, exclusion: int) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelinekit.functions.text import normalize_tokens
 from timelinekit.plans.layout import KeyLayout, lookup_join
 from timelinekit.plans.ordered import islands, ordered_scan
 from timelinekit.plans.ranges import merge_spans, overlap_join, point_join
+from timelinekit.session import cut_lineage
 
 # ---- fixed values -------------------------------------------------------------------------
 MIN_HOLD_S = 0.12
@@ -60,7 +62,7 @@ def free_gaps(
 
 
 def interval_subtract(
-    spans: DataFrame, windows: DataFrame, layout: KeyLayout, span_id: str, width: float, min_hold: float = MIN_HOLD_S
+    spans: DataFrame, windows: DataFrame, layout: KeyLayout, span_id: str, min_hold: float = MIN_HOLD_S
 ) -> DataFrame:
     """Parts of each span outside all windows, at least ``min_hold`` long.
 
@@ -82,8 +84,7 @@ def interval_subtract(
                      .select(*keys, F.col("_lo").alias("_fs"), F.col("_hi").alias("_fe")))
         .filter("_fe > _fs")
     )
-    # Both sides are listed per bucket of ``width``: choose it near the usual free interval.
-    touched = overlap_join(spans, free, keys, ("start_s", "end_s"), ("_fs", "_fe"), width)
+    touched = overlap_join(spans, free, keys, ("start_s", "end_s"), ("_fs", "_fe"))
     pieces = touched.select(
         *keys, span_id, F.greatest("start_s", "_fs").alias("start_s"), F.least("end_s", "_fe").alias("end_s")
     )
@@ -91,22 +92,34 @@ def interval_subtract(
 
 
 def assign_by_midpoint(
-    words: DataFrame, entries: DataFrame, keys: Sequence[str], width: float, pad: float = 0.05
+    words: DataFrame, entries: DataFrame, keys: Sequence[str], pad: float = 0.05
 ) -> DataFrame:
     """(word, entry) pairs where the word's middle lies in the padded entry."""
     middle = words.withColumn("_mid", (F.col("start_s") + F.col("end_s")) / 2)
     spans = entries.select(
         *keys, F.col("id").alias("entry_id"), (F.col("start_s") - pad).alias("_from"), (F.col("end_s") + pad).alias("_to")
     )
-    return point_join(middle, spans, keys, "_mid", ("_from", "_to"), width).drop("_mid", "_from", "_to")
+    return point_join(middle, spans, keys, "_mid", ("_from", "_to")).drop("_mid", "_from", "_to")
 
 
 def assign_by_majority(
-    words: DataFrame, entries: DataFrame, keys: Sequence[str], width: float
+    words: DataFrame, entries: DataFrame, keys: Sequence[str], word_ids: str | None = None, word_id: str = "word_id"
 ) -> DataFrame:
-    """Words go to the entry that holds at least half of them; times become local to it."""
-    spans = entries.select(*keys, F.col("id").alias("entry_id"), F.col("start_s").alias("_es"), F.col("end_s").alias("_ee"))
-    pairs = overlap_join(words, spans, keys, ("start_s", "end_s"), ("_es", "_ee"), width)
+    """Words go to the entry that holds at least half of them; times become local to it.
+
+    With ``word_ids``, an array column of the entries, a word only goes to entries that list its
+    ``word_id``, and the two meet by that id: an entry is exploded, never searched. ``place`` is
+    then the word's place in the list, from 0.
+    """
+    spans = entries.select(
+        *keys, F.col("id").alias("entry_id"), F.col("start_s").alias("_es"), F.col("end_s").alias("_ee"),
+        *([] if word_ids is None else [F.col(word_ids).alias("_ids")]),
+    )
+    if word_ids is None:
+        pairs = overlap_join(words, spans, keys, ("start_s", "end_s"), ("_es", "_ee"))
+    else:
+        listed = spans.select("*", F.posexplode("_ids").alias("place", word_id)).drop("_ids")
+        pairs = words.join(listed, [*keys, word_id]).filter((F.col("start_s") < F.col("_ee")) & (F.col("_es") < F.col("end_s")))
     overlap = F.least("end_s", "_ee") - F.greatest("start_s", "_es")
     owned = pairs.filter(overlap >= 0.5 * F.greatest(F.col("end_s") - F.col("start_s"), F.lit(1e-6)))
     local_start = F.greatest(F.lit(0.0), F.col("start_s") - F.col("_es"))
@@ -114,6 +127,44 @@ def assign_by_majority(
     return owned.withColumn("local_start_s", local_start).withColumn("local_end_s", local_end).drop("_es", "_ee")
 
 
+def rebase_words(
+    entries: DataFrame, words: DataFrame, layout: KeyLayout, order: Sequence[str], word_ids: str | None = None, word_id: str = "word_id"
+) -> DataFrame:
+    """Words of the KEEP entries on the new timeline: (keys, id, offset_s, word_no, source_word_id, token, start_s, end_s, timing).
+
+    ``entries`` have id, kind, start_s, end_s, text; ``words`` have ``word_id``, start_s, end_s,
+    text. A word is spoken in the entry that owns the larger part of it, by its first normal token;
+    words without one are silent. An entry that owns no such word is cut into even slices, one per
+    token of its text. ``word_no`` counts the words of an entry from 1.
+    """
+    keys = list(layout.keys)
+    length = F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))
+    kept = rebase_timeline(entries.withColumn("duration_s", length), layout, order).drop("new_end_s")
+    owned = assign_by_majority(words.withColumnRenamed("text", "_said"), kept, keys, word_ids, word_id)
+    placed = ["place"] if word_ids is not None else ["local_start_s", "source_word_id"]
+    spoken = owned.withColumn("token", F.try_element_at(normalize_tokens(F.col("_said")), F.lit(1))).filter("token IS NOT NULL")
+    timed = spoken.select(
+        *keys, F.col("entry_id").alias("id"), F.col(word_id).alias("source_word_id"), "token", "local_start_s", "local_end_s",
+        *[c for c in placed if c == "place"],
+    )
+    # an entry's words lie inside one entry, which is one input row
+    nth = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(*placed))
+    timed = cut_lineage(timed.withColumn("word_no", nth).drop("place"))
+    base = kept.select(*keys, "id", "offset_s", "duration_s", "text")
+    by_source = timed.join(base.drop("text", "duration_s"), [*keys, "id"]).withColumn("timing", F.lit("source-words"))
+    bare = base.join(timed.select(*keys, "id").distinct(), [*keys, "id"], "left_anti")
+    sliced = bare.withColumn("_tokens", normalize_tokens(F.col("text"))).select("*", F.posexplode("_tokens").alias("_i", "token"))
+    step = F.col("duration_s") / F.size("_tokens")
+    even = sliced.select(
+        *keys, "id", F.lit(None).cast(timed.schema["source_word_id"].dataType).alias("source_word_id"), "token", (F.col("_i") * step).alias("local_start_s"),
+        ((F.col("_i") + 1) * step).alias("local_end_s"), (F.col("_i") + 1).alias("word_no"), "offset_s", F.lit("even-slices").alias("timing"),
+    )
+    return by_source.unionByName(even).select(
+        *keys, "id", "offset_s", "word_no", "source_word_id", "token", (F.col("offset_s") + F.col("local_start_s")).alias("start_s"),
+        (F.col("offset_s") + F.col("local_end_s")).alias("end_s"), "timing",
+    )
+
+
 def rebase_timeline(entries: DataFrame, layout: KeyLayout, order: Sequence[str]) -> DataFrame:
     """KEEP entries laid end to end: offset is the duration of all KEEP rows before."""
     kept = entries.filter("kind = 'keep'")
@@ -239,12 +290,12 @@ def overlays_on_timeline(entries: DataFrame, overlays: DataFrame, layout: KeyLay
 
 
 def lead_in_silence(
-    words: DataFrame, entries: DataFrame, keys: Sequence[str], width: float, threshold: float = 0.8
+    words: DataFrame, entries: DataFrame, keys: Sequence[str], threshold: float = 0.8
 ) -> DataFrame:
     """Entries whose first word starts more than ``threshold`` late; entries without words are skipped."""
     spans = entries.select(*keys, F.col("id").alias("entry_id"), (F.col("start_s") - 1e-6).alias("_from"),
                            (F.col("end_s") - 1e-6).alias("_to"), F.col("start_s").alias("_es"))
-    owned = point_join(words, spans, keys, "start_s", ("_from", "_to"), width).filter(F.col("start_s") < F.col("_to"))
+    owned = point_join(words, spans, keys, "start_s", ("_from", "_to")).filter(F.col("start_s") < F.col("_to"))
     firsts = owned.groupBy(*keys, "entry_id").agg((F.min("start_s") - F.min("_es")).alias("_lead"))
     return firsts.filter(F.col("_lead") > threshold).select(*keys, "entry_id", F.bround("_lead", 3).alias("lead_in_s"))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelinekit.functions.arrow import edit_distance, lcs_length, matched_drifts
+from timelinekit.functions.arrow import matched_drifts, token_comparison, transcript_comparison
 from timelinekit.functions.text import bound
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -17,23 +19,34 @@ ECHO_WORDS, ECHO_MIN_CHARS = 2, 8
 OPENERS = ("вместо",)
 OPENER_PAIRS = (("то", "есть"),)
 OPENER_GAP = 6
+LONG_PAUSE_S, LEAD_IN_S = 1.2, 0.8
+REASONS = {
+    "empty": "expected or actual transcript is empty",
+    "wer": "word error rate exceeds threshold",
+    "order": "ordered token coverage below threshold",
+    "gap": "unexpected long silence",
+    "echo": "adjacent phrase echo in expected keep",
+    "opener_expected": "repeated clause opener retake in expected keep",
+    "opener_actual": "repeated clause opener retake in rendered speech",
+    "lead_in": "leading silence inside keep clip",
+    "drift": "speech timing drift exceeds threshold",
+}
 # -------------------------------------------------------------------------------------------
 
 
-def wer_metrics(pairs: DataFrame, expected: str = "expected", actual: str = "actual") -> DataFrame:
-    """Token arrays of both sides to error rate, order ratio and edit distance (one row per
-    transcript; the two dynamic programs run bit-parallel in an Arrow UDF)."""
+def _rates(measured: DataFrame, expected: str, actual: str) -> DataFrame:
+    """wer, order_ratio and empty from edit_distance and lcs; the rates of an empty side are null."""
     n = F.size(expected)
     empty = (n <= 0) | (F.size(actual) <= 0)
-    measured = pairs.withColumn("edit_distance", edit_distance(F.col(expected), F.col(actual))).withColumn(
-        "_lcs", lcs_length(F.col(expected), F.col(actual))
-    )
-    return (
-        measured.withColumn("wer", F.when(~empty, F.bround(F.col("edit_distance") / n, 6)))
-        .withColumn("order_ratio", F.when(~empty, F.bround(F.col("_lcs") / n, 6)))
-        .withColumn("empty", empty)
-        .drop("_lcs")
-    )
+    rate = lambda c: F.when(~empty, F.bround(F.col(c) / n, 6))
+    return measured.withColumns({"wer": rate("edit_distance"), "order_ratio": rate("lcs"), "empty": empty})
+
+
+def wer_metrics(pairs: DataFrame, expected: str = "expected", actual: str = "actual") -> DataFrame:
+    """Token arrays of both sides to error rate, order ratio, edit distance and common length (one
+    row per transcript; the two dynamic programs run bit-parallel in one Arrow UDF)."""
+    compared = pairs.withColumn("_c", token_comparison(F.col(expected), F.col(actual)))
+    return _rates(compared.select(*pairs.columns, "_c.edit_distance", "_c.lcs"), expected, actual)
 
 
 def levenshtein_tokens(left: Column, right: Column) -> Column:
@@ -95,20 +108,81 @@ def repeated_openers(
     )
 
 
+def opener_repeats(
+    tokens: Column, openers: Sequence[str] = OPENERS, pairs: Sequence[tuple[str, str]] = OPENER_PAIRS, max_gap: int = OPENER_GAP
+) -> Column:
+    """How often an opener comes again within ``max_gap`` tokens of an array; the rule of ``repeated_openers``."""
+
+    def hits(words: Column) -> Column:
+        every = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        yes = lambda c: F.coalesce(c, F.lit(False))
+
+        def stands(pair: tuple[str, str], at: Column) -> Column:
+            return yes((F.get(words, at) == pair[0]) & (F.get(words, at + 1) == pair[1]))
+
+        def in_pair(at: Column) -> Column:
+            return reduce(or_, [stands(p, at) | stands(p, at - 1) for p in pairs], F.lit(False))
+
+        def again(found: Column) -> Column:
+            return F.size(F.filter(found, lambda s, n: yes(s["i"] - F.get(found, n - 1)["i"] <= max_gap)))
+
+        def of_pair(pair: tuple[str, str]) -> Column:
+            return F.filter(every, lambda s: stands(pair, s["i"]))
+
+        def of_word(word: str) -> Column:
+            return F.filter(every, lambda s: (s["w"] == word) & ~in_pair(s["i"]))
+
+        return reduce(add, [again(x) for x in [*map(of_pair, pairs), *map(of_word, openers)]], F.lit(0))
+
+    return bound(tokens, hits)
+
+
+def long_pauses(starts: Column, ends: Column, limit: float = LONG_PAUSE_S) -> Column:
+    """How many words begin more than ``limit`` after the end of the word before."""
+    late = F.filter(starts, lambda s, i: F.coalesce(s - F.get(ends, i - 1) > limit, F.lit(False)))
+    return F.size(late)
+
+
+def _drift_columns(found: DataFrame, drifts: str, limit: float) -> DataFrame:
+    n = F.size(drifts)
+    over = F.size(F.filter(drifts, lambda x: x > limit))
+    known = lambda value: F.when(n > 0, value).otherwise(F.lit(0.0))
+    return found.withColumns({
+        "compared": n, "over_threshold": over, "drift_ratio": known(F.bround(over / n, 4)),
+        "max_drift_s": known(F.bround(F.element_at(drifts, -1), 3)),
+        "median_drift_s": known(F.bround(F.element_at(drifts, (F.floor(n / 2) + 1).cast("int")), 3)),
+    }).drop(drifts)
+
+
 def timing_drift(
     pairs: DataFrame, expected: str, expected_at: str, actual: str, actual_at: str, limit: float = DRIFT_S
 ) -> DataFrame:
     """Greedy forward match of equal words, then the spread of their start differences."""
     found = pairs.withColumn("_d", F.array_sort(matched_drifts(F.col(expected), F.col(expected_at), F.col(actual), F.col(actual_at))))
-    n = F.size("_d")
-    over = F.size(F.filter("_d", lambda x: x > limit))
-    return (
-        found.withColumn("compared", n).withColumn("over_threshold", over)
-        .withColumn("drift_ratio", F.when(n > 0, F.bround(over / n, 4)).otherwise(F.lit(0.0)))
-        .withColumn("max_drift_s", F.when(n > 0, F.bround(F.element_at("_d", -1), 3)).otherwise(F.lit(0.0)))
-        .withColumn("median_drift_s", F.when(n > 0, F.bround(F.element_at("_d", (F.floor(n / 2) + 1).cast("int")), 3)).otherwise(F.lit(0.0)))
-        .drop("_d")
-    )
+    return _drift_columns(found, "_d", limit)
+
+
+def verify_transcripts(
+    pairs: DataFrame, max_silence_s: float = LONG_PAUSE_S, max_drift_s: float = DRIFT_S, max_lead_s: float = LEAD_IN_S
+) -> DataFrame:
+    """The whole check of rendered speech against its plan: every measure, the reasons and the verdict.
+
+    ``pairs`` has a row per transcript with arrays: expected, expected_at (planned words and their
+    starts), clip_from, clip_to (the planned clips), actual, actual_at, actual_end (heard words).
+    All comparisons of two arrays run in one Arrow call.
+    """
+    compare = transcript_comparison(max_lead_s)
+    arrays = [F.col(c) for c in ("expected", "expected_at", "actual", "actual_at", "clip_from", "clip_to")]
+    measured = pairs.withColumn("_c", compare(*arrays))
+    measured = measured.select(*pairs.columns, "_c.edit_distance", "_c.lcs", "_c.lead_ins", F.array_sort("_c.drifts").alias("_d"))
+    measured = _rates(_drift_columns(measured, "_d", max_drift_s), "expected", "actual").withColumns({
+        "long_gaps": long_pauses(F.col("actual_at"), F.col("actual_end"), max_silence_s),
+        "echoes": F.size(ngram_echoes(F.col("expected"))),
+        "openers_expected": opener_repeats(F.col("expected")), "openers_actual": opener_repeats(F.col("actual")),
+    })
+    rules = [F.col(c) for c in ("wer", "order_ratio", "empty", "long_gaps", "echoes", "openers_expected", "openers_actual", "lead_ins", "compared", "drift_ratio")]
+    judged = measured.withColumn("reasons", transcript_reasons(*rules))
+    return judged.withColumn("verdict", F.when(F.size("reasons") > 0, F.lit("FAIL")).otherwise(F.lit("PASS")))
 
 
 def transcript_reasons(
@@ -116,19 +190,17 @@ def transcript_reasons(
     openers_actual: Column, lead_ins: Column, compared: Column, drift_ratio: Column,
 ) -> Column:
     """Reasons a transcript fails, in order; counts are numbers of hits."""
-    opener = F.when(openers_expected > 0, F.lit("repeated clause opener retake in expected keep")).when(
-        openers_actual > 0, F.lit("repeated clause opener retake in rendered speech")
-    )
+    opener = F.when(openers_expected > 0, F.lit(REASONS["opener_expected"])).when(openers_actual > 0, F.lit(REASONS["opener_actual"]))
     reasons = F.array_compact(F.array(
-        F.when(wer > WER_MAX, F.lit("word error rate exceeds threshold")),
-        F.when(order_ratio < ORDER_MIN, F.lit("ordered token coverage below threshold")),
-        F.when(long_gaps > 0, F.lit("unexpected long silence")),
-        F.when(echoes > 0, F.lit("adjacent phrase echo in expected keep")),
+        F.when(wer > WER_MAX, F.lit(REASONS["wer"])),
+        F.when(order_ratio < ORDER_MIN, F.lit(REASONS["order"])),
+        F.when(long_gaps > 0, F.lit(REASONS["gap"])),
+        F.when(echoes > 0, F.lit(REASONS["echo"])),
         opener,
-        F.when(lead_ins > 0, F.lit("leading silence inside keep clip")),
-        F.when((compared >= DRIFT_MIN_WORDS) & (drift_ratio > DRIFT_RATIO), F.lit("speech timing drift exceeds threshold")),
+        F.when(lead_ins > 0, F.lit(REASONS["lead_in"])),
+        F.when((compared >= DRIFT_MIN_WORDS) & (drift_ratio > DRIFT_RATIO), F.lit(REASONS["drift"])),
     ))
-    return F.when(empty, F.array(F.lit("expected or actual transcript is empty"))).otherwise(reasons)
+    return F.when(empty, F.array(F.lit(REASONS["empty"]))).otherwise(reasons)
 
 
 def verdict_rollup(components: DataFrame, keys: Sequence[str], verdict: str, reasons: str) -> DataFrame:

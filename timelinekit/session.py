@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +54,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration's state in the reliable checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    root = shared_root(df.sparkSession)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Write an iteration's state once as a table in the shared folder and go on from there.
+
+    Unlike an eager checkpoint, which computes its input once to count it and once to write it,
+    this runs one job, and the table's size is known to the planner.
+    """
+    path = f"{shared_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
