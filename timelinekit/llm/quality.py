@@ -37,6 +37,7 @@ WINDOW_WORDS = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 
+SURFACE = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 BUCKETS = 16_384
 PAIR_FACTOR = 7_919
 LOST = 10  # of a thousand trusted documents, those below the threshold
@@ -44,8 +45,8 @@ LOST = 10  # of a thousand trusted documents, those below the threshold
 
 def repeated_words(found: Column) -> Column:
     """Number of words that stand in a window of five words which occurs twice or more."""
-    starts = F.sequence(F.lit(0), F.size(found) - WINDOW_WORDS)
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(found, i + k) for k in range(WINDOW_WORDS)]))
+    starts = F.sequence(F.lit(1), F.size(found) - (WINDOW_WORDS - 1))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(found, i, WINDOW_WORDS)))
     hashes = F.when(F.size(found) >= WINDOW_WORDS, hashes)
 
     def covered(ordered: Column) -> Column:
@@ -123,15 +124,16 @@ def quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, lost: in
     """Per document the surface counts, base_failed, score (thousandths, null without words) and kept."""
     rows = saved(surface(docs, buckets), "quality-rows")
     ids = saved(trusted_ids(labels), "quality-trusted")
-    trusted = saved(rows.select("doc_id", "places").join(ids, "doc_id", "left_semi"), "quality-target")
     counted = hold_out(0, 2)
-    gains = number_array(bucket_gains(rows, trusted.filter(counted), buckets))
+    # of the word arrays only those of the counted half are moved, by the same plan at every size
+    target = rows.filter(counted).select("doc_id", "places").join(ids.hint("merge"), "doc_id", "left_semi")
+    gains = number_array(bucket_gains(rows, target, buckets))
     n_grams = F.greatest(2 * F.size("places") - 1, F.lit(0))
     score = F.when(F.size("places") > 0, F.floor(summed(grams(F.col("places"), buckets), gains) / n_grams))
+    scored = saved(rows.select(*SURFACE, score.alias("score")), "quality-scores")
+    trusted = scored.select("doc_id", "score").join(ids, "doc_id", "left_semi")
     threshold = None
     if not trusted.filter(counted).isEmpty():
-        threshold = score_threshold(trusted.filter(~counted).select(score.alias("score")).filter("score is not null"), lost)
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    scored = rows.select(*columns, score.alias("score"))
+        threshold = score_threshold(trusted.filter(~counted & F.col("score").isNotNull()), lost)
     reached = F.lit(True) if threshold is None else F.coalesce(F.col("score") >= threshold, F.lit(False))
     return scored.withColumn("kept", ~F.col("base_failed") & reached)
