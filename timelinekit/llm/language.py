@@ -1,18 +1,23 @@
 """Language of every word and document by a linear-chain conditional random field.
 
 States are the languages of the training rows. A word's features are its affixes (up to three
-characters from either end), hashed character n-grams, its letters' scripts and lexicon entries
-(whole words); transitions between neighbouring words are learned. Weights come from maximising
-the conditional likelihood of a bounded sample of rows: gradients by forward-backward over
-sequences of ``SEQUENCE`` words. In code-switched text every word gets its own distribution.
+characters from either end), hashed n-grams of the whole word, its letters' scripts and lexicon
+entries (words of up to 24 letters); transitions between neighbouring words are learned. Weights
+come from maximising the conditional likelihood of a bounded sample of rows: gradients by
+forward-backward over sequences of ``SEQUENCE`` words. Sequences of two languages joined in the
+middle are among them, so that a change of language is seen as well as staying in one. In
+code-switched text every word gets its own distribution.
 
 A document's language is the one with the greatest mean posterior over its words, found by
 forward-backward over the whole text: all texts of a batch form one chain whose links are cut
-between documents; products of transfer matrices inside blocks run for all blocks at once.
+between documents; products of transfer matrices inside blocks run for all blocks at once. Only
+a stretch of the chain, shorter the more languages there are, is unfolded at a time; stretches
+hand on one vector in either direction.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled
 row every text is ``und``; a null or repeated doc_id keeps its row and is predicted like any
-other; other columns are ignored.
+other (for training, the greatest text of an id and language counts); a text of any length is
+read whole, with a few bytes kept per word; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,22 +39,44 @@ SEQUENCE = 24
 SEQUENCES_PER_ROW = 6
 BUCKETS = 1 << 16
 BLOCK = 64
+STRETCH_CELLS = 1 << 22  # transfer matrix cells that are unfolded at a time
 CACHED_WORDS = 400_000
+CACHED_PIECES = 400_000
+JOINED_SHARE = 4  # one in so many sequences is joined from two languages
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class Codes(dict):
+    """Buckets of the features of one kind by their text, computed when first asked for."""
+
+    def __init__(self, kind: str):
+        super().__init__()
+        self.kind = kind
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= CACHED_PIECES:
+            self.clear()
+        code = self[piece] = zlib.crc32(f"{self.kind}:{piece}".encode()) % BUCKETS
+        return code
+
+
+_AFFIXES = [(n, Codes(f"p{n}"), Codes(f"s{n}")) for n in (1, 2, 3)]
+_GRAMS, _LETTERS, _SCRIPTS = Codes("g"), Codes("c"), Codes("b")
+
+
 def word_features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word; the same word always has the same."""
+    """Hashed features of a lower-cased word, each once; the same word always has the same."""
     marked = f"^{word}$"
-    found = [f"w:{word}"] if len(word) <= 24 else []
-    for n in (1, 2, 3):
-        found += [f"p{n}:{word[:n]}", f"s{n}:{word[-n:]}"]
-    for n in (2, 3):
-        found += [f"g:{marked[i : i + n]}" for i in range(min(64, len(marked) - n + 1))]
-    if any(ord(c) > 127 for c in word):
-        found += [f"c:{c}" for c in set(word) if ord(c) > 127]
-        found += [f"b:{ord(c) >> 7}" for c in set(word) if ord(c) > 127]
-    return [zlib.crc32(f.encode()) % BUCKETS for f in dict.fromkeys(found)]
+    found = [zlib.crc32(f"w:{word}".encode()) % BUCKETS] if len(word) <= 24 else []
+    for n, heads, tails in _AFFIXES:
+        found += heads[word[:n]], tails[word[-n:]]
+    found += [_GRAMS[g] for g in {marked[i : i + 2] for i in range(len(marked) - 1)}]
+    found += [_GRAMS[g] for g in {marked[i : i + 3] for i in range(len(marked) - 2)}]
+    if not word.isascii():
+        letters = {c for c in word if ord(c) > 127}
+        found += [_LETTERS[c] for c in letters]
+        found += [_SCRIPTS[str(b)] for b in {ord(c) >> 7 for c in letters}]
+    return found
 
 
 @dataclass
@@ -87,8 +114,24 @@ def expectations(scores: np.ndarray, live: np.ndarray, move: np.ndarray, start:
     return post, pairs, post[:, 0].sum(axis=0), total
 
 
-def train(sequences: list[tuple[list[str], int]], langs: list[str], passes: int = 6, seed: int = 5) -> Chain:
-    """Stochastic gradient (adaptive steps) on the conditional log likelihood with a quadratic penalty."""
+def joined_pairs(sequences: list[tuple[list[str], list[int]]]) -> list[tuple[list[str], list[int]]]:
+    """Sequences that change from one language to another in the middle: one in ``JOINED_SHARE`` is
+    followed by the second half of the next one of another language."""
+    out = []
+    for at in range(0, len(sequences), JOINED_SHARE):
+        words, tags = sequences[at]
+        other = next((s for s in sequences[at + 1 : at + 1 + 4 * JOINED_SHARE] if s[1][0] != tags[0]), None)
+        if other is not None:
+            a, b = -(-len(words) // 2), len(other[0]) // 2
+            out.append((words[:a] + other[0][b:], tags[:a] + other[1][b:]))
+    return out
+
+
+def train(sequences: list[tuple[list[str], list[int]]], langs: list[str], passes: int = 5, seed: int = 5) -> Chain:
+    """Stochastic gradient (adaptive steps) on the conditional log likelihood with a quadratic penalty.
+
+    A sequence is its words and a state for each of them.
+    """
     k = len(langs)
     # a small start for staying in a language; both are learned on
     emit, move, start = np.zeros((BUCKETS, k)), np.eye(k) * 0.5, np.zeros(k)
@@ -100,10 +143,13 @@ def train(sequences: list[tuple[list[str], int]], langs: list[str], passes: int
         for at in range(0, len(order), batch):
             some = [sequences[i] for i in order[at : at + batch]]
             n, t = len(some), max(len(w) for w, _ in some)
-            live = np.zeros((n, t), dtype=bool)
+            live, gold = np.zeros((n, t), dtype=bool), np.zeros((n, t, k))
+            gold_pairs = np.zeros((k, k))
             place, cols = [], []
-            for i, (words, _) in enumerate(some):
+            for i, (words, tags) in enumerate(some):
                 live[i, : len(words)] = True
+                gold[i, np.arange(len(tags)), tags] = 1.0
+                np.add.at(gold_pairs, (tags[:-1], tags[1:]), 1.0)
                 for j, w in enumerate(words):
                     if w not in features:
                         features[w] = word_features(w)
@@ -112,63 +158,102 @@ def train(sequences: list[tuple[list[str], int]], langs: list[str], passes: int
             place_a, cols_a = np.array(place), np.array(cols)
             scores = np.stack([np.bincount(place_a, emit[cols_a, c], n * t) for c in range(k)], axis=1).reshape(n, t, k)
             post, pairs, first, _ = expectations(scores, live, move, start)
-            gold = np.zeros((n, t, k))
-            tags = np.array([tag for _, tag in some])
-            gold[np.arange(n)[:, None], np.arange(t)[None], tags[:, None]] = live
-            gold_pairs = np.diag(np.bincount(tags, [max(0, len(w) - 1) for w, _ in some], k))
             gap = ((post - gold) / n).reshape(n * t, k)
             hot, inverse = np.unique(cols_a, return_inverse=True)
             slope = np.stack([np.bincount(inverse, gap[place_a, c], len(hot)) for c in range(k)], axis=1) + 1e-5 * emit[hot]
             seen[0][hot] += slope**2
             emit[hot] -= 0.3 * slope / np.sqrt(seen[0][hot])
-            for s, array, g in ((1, move, (pairs - gold_pairs) / n + 1e-3 * move), (2, start, (first - np.bincount(tags, minlength=k)) / n)):
+            for s, array, g in ((1, move, (pairs - gold_pairs) / n + 1e-3 * move), (2, start, (first - gold[:, 0].sum(axis=0)) / n)):
                 seen[s] += g**2
                 array -= 0.1 * g / np.sqrt(seen[s])
     return Chain(langs, emit, move, start)
 
 
-def posteriors(scores: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Posterior of each state for every word of many chains laid end to end.
+def _norm(x: np.ndarray, axes) -> np.ndarray:
+    return x / x.sum(axis=axes, keepdims=True)
+
+
+def _transfers(scores: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transfer matrices of the words in blocks of ``BLOCK``, and the product of each block.
 
-    ``first`` marks the words that begin a chain. A word's transfer matrix is exp(move) with its
-    emissions, or, where a chain begins, the start weights in every row. Blocks of ``BLOCK`` words
-    are multiplied side by side; then block ends are passed on, then words inside blocks filled in.
+    A word's matrix is exp(move) with its emissions, or, where a chain begins, the start weights
+    in every row; the last block is filled up with unit matrices.
     """
     n, k = scores.shape
     blocks = -(-n // BLOCK)
-    width = blocks * BLOCK
     shape = np.exp(scores - scores.max(axis=1, keepdims=True))
-    step = np.repeat(np.exp(move)[None], width, axis=0)
+    step = np.repeat(np.exp(move)[None], blocks * BLOCK, axis=0)
     step[:n][first] = np.exp(start)[None, None, :]
     step[:n] *= shape[:, None, :]
     step[n:] = np.eye(k)
     step = step.reshape(blocks, BLOCK, k, k)
-    norm = lambda x, axes: x / x.sum(axis=axes, keepdims=True)
     whole = step[:, 0]
     for i in range(1, BLOCK):
-        whole = norm(whole @ step[:, i], (1, 2))
-    enter, leave = np.empty((blocks, k)), np.empty((blocks, k))
-    v = np.full(k, 1.0 / k)
+        whole = _norm(whole @ step[:, i], (1, 2))
+    return step, whole
+
+
+def _inside(step: np.ndarray, whole: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of the words of a stretch that is entered with one vector and left with the other;
+    also the vector with which the stretch before it is left."""
+    blocks, _, k, _ = step.shape
+    enters, leaves = np.empty((blocks, k)), np.empty((blocks, k))
+    v = enter
     for b in range(blocks):
-        enter[b] = v
-        v = v @ whole[b]
-        v /= v.sum()
-    v = np.ones(k)
+        enters[b] = v
+        v = _norm(v @ whole[b], 0)
+    v = leave
     for b in range(blocks - 1, -1, -1):
-        leave[b] = v
-        v = whole[b] @ v
-        v /= v.sum()
+        leaves[b] = v
+        v = _norm(whole[b] @ v, 0)
+    back = v
     ahead, behind = np.empty((blocks, BLOCK, k)), np.empty((blocks, BLOCK, k))
-    v = enter
+    v = enters
     for i in range(BLOCK):
-        v = norm(np.einsum("bj,bjk->bk", v, step[:, i]), 1)
+        v = _norm(np.einsum("bj,bjk->bk", v, step[:, i]), (1,))
         ahead[:, i] = v
-    v = leave
+    v = leaves
     for i in range(BLOCK - 1, -1, -1):
         behind[:, i] = v
-        v = norm(np.einsum("bjk,bk->bj", step[:, i], v), 1)
-    both = (ahead * behind).reshape(width, k)[:n]
-    return both / both.sum(axis=1, keepdims=True)
+        v = _norm(np.einsum("bjk,bk->bj", step[:, i], v), (1,))
+    return _norm((ahead * behind).reshape(-1, k), (1,)), back
+
+
+def stretches(n: int, k: int) -> list[tuple[int, int]]:
+    width = max(1, STRETCH_CELLS // (k * k * BLOCK)) * BLOCK
+    return [(at, min(n, at + width)) for at in range(0, n, width)]
+
+
+def posteriors_backwards(scores_of, first: np.ndarray, move: np.ndarray, start: np.ndarray):
+    """(from, to, posteriors) of the stretches of many chains laid end to end, the last one first.
+
+    ``first`` marks the words that begin a chain, ``scores_of(from, to)`` gives their emissions. A
+    first pass keeps the vector with which each stretch is entered; matrices are unfolded anew in
+    the second, so memory does not grow with the number of words.
+    """
+    k, parts = len(start), stretches(len(first), len(start))
+    enters = [np.full(k, 1.0 / k)]
+    held = None
+    for a, b in parts:
+        held = _transfers(scores_of(a, b), first[a:b], move, start)
+        v = enters[-1]
+        for whole in held[1]:
+            v = _norm(v @ whole, 0)
+        enters.append(v)
+    leave = np.ones(k)
+    for nth in range(len(parts) - 1, -1, -1):
+        a, b = parts[nth]
+        held = held if nth == len(parts) - 1 else _transfers(scores_of(a, b), first[a:b], move, start)
+        post, leave = _inside(*held, enters[nth], leave)
+        yield a, b, post[: b - a]
+
+
+def posteriors(scores: np.ndarray, first: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Posterior of each state for every word of many chains laid end to end."""
+    out = np.empty(scores.shape)
+    for a, b, post in posteriors_backwards(lambda a, b: scores[a:b], first, move, start):
+        out[a:b] = post
+    return out
 
 
 class Labeller:
@@ -181,37 +266,58 @@ class Labeller:
 
     def __init__(self, chain: Chain):
         self.chain = chain
+        self.weights = chain.emit.astype(np.float32)
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(chain.langs)))
-
-    def _emissions(self, words: list[str]) -> np.ndarray:
-        place = self.place
-        for w in set(words).difference(place):
-            at = len(place)
-            if at == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at] = self.chain.emit[word_features(w)].sum(axis=0)
-            place[w] = at
-        return self.rows[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
-
-    def word_posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(posteriors of all words, number of words of each text)."""
+        self.rows = np.zeros((1024, len(chain.langs)), dtype=np.float32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Emissions of words not met before, all at once."""
+        listed = [word_features(w) for w in words]
+        ends = np.cumsum([len(f) for f in listed])
+        flat = np.fromiter((c for f in listed for c in f), np.int64, int(ends[-1]))
+        at = len(self.place)
+        while at + len(words) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for begin in range(0, len(words), 4096):
+            end = min(len(words), begin + 4096)
+            low = int(ends[begin - 1]) if begin else 0
+            cut = np.concatenate([[0], ends[begin : end - 1] - low]).astype(np.int64)
+            self.rows[at + begin : at + end] = np.add.reduceat(self.weights[flat[low : int(ends[end - 1])]], cut, axis=0)
+        self.place.update(zip(words, range(at, at + len(words))))
+
+    def _places(self, text: str) -> np.ndarray:
+        """Row numbers of the emissions of a text's words."""
+        words = WORD.findall(text.lower())
+        fresh = list(dict.fromkeys(w for w in words if w not in self.place))
+        for at in range(0, len(fresh), 8192):
+            self._learn(fresh[at : at + 8192])
+        return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+
+    def _chains(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of every word, marks of the first words, number of words of each text)."""
         if len(self.place) > CACHED_WORDS:
             self.place = {}
-        split = [WORD.findall((t or "").lower()) for t in texts]
-        counts = np.array([len(s) for s in split], dtype=np.int64)
-        words = [w for s in split for w in s]
-        if not words:
-            return np.zeros((0, len(self.chain.langs))), counts
-        first = np.zeros(len(words), dtype=bool)
+        each = [self._places(t or "") for t in texts]
+        counts = np.array([len(e) for e in each], dtype=np.int64)
+        rows = np.concatenate([np.zeros(0, np.int32), *each])
+        first = np.zeros(len(rows), dtype=bool)
         first[(np.cumsum(counts) - counts)[counts > 0]] = True
-        return posteriors(self._emissions(words), first, self.chain.move, self.chain.start), counts
+        return rows, first, counts
+
+    def word_posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(posteriors of all words, number of words of each text)."""
+        rows, first, counts = self._chains(texts)
+        return posteriors(self.rows[rows].astype(np.float64), first, self.chain.move, self.chain.start), counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        post, counts = self.word_posteriors(texts)
-        ends = np.cumsum(counts)
-        sums = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, axis=0)])
-        mean = (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)[:, None]
+        rows, first, counts = self._chains(texts)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        k = len(self.chain.langs)
+        sums = np.zeros((len(counts), k))
+        for a, b, post in posteriors_backwards(lambda a, b: self.rows[rows[a:b]].astype(np.float64), first, self.chain.move, self.chain.start):
+            for c in range(k):
+                sums[:, c] += np.bincount(owner[a:b], post[:, c], len(counts))
+        mean = sums / np.maximum(counts, 1)[:, None]
         best = mean.argmax(axis=1)
         langs = [self.chain.langs[b] if c else UNKNOWN for b, c in zip(best, counts)]
         return langs, [float(min(1.0, max(0.0, m[b]))) if c else 0.0 for m, b, c in zip(mean, best, counts)]
@@ -230,25 +336,31 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain | None:
     if not langs:
         return None
     each = max(1, sample_rows // len(langs))
-    # the group limit runs before the shuffle, so a frequent language costs no large task
+    # ids alone are drawn: those with the smallest hashes, looked for among about twice as many as are wanted
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
+    few = known.select("doc_id", "lang").join(F.broadcast(by_lang), "lang").filter(draw * F.col("n") < 2 * each).select("doc_id", "lang").distinct()
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= each)
+    chosen = saved(few.withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= each).drop("_n"), "language-ids")
+    # at most sample_rows ids go to every task, and as many texts come back
+    drawn = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.max("text").alias("text"))
 
     def cut(batches):
         for batch in batches:
             out = {"words": [], "lang": []}
             for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
                 words = WORD.findall((text or "").lower())
-                starts = range(0, len(words), SEQUENCE)
-                for s in list(starts)[:: max(1, len(starts) // SEQUENCES_PER_ROW)][:SEQUENCES_PER_ROW]:
-                    out["words"].append(words[s : s + SEQUENCE])
+                n = -(-len(words) // SEQUENCE)
+                # spread evenly over the whole text, its last words included
+                for i in sorted({round(j * (n - 1) / (SEQUENCES_PER_ROW - 1)) for j in range(SEQUENCES_PER_ROW)} if n else ()):
+                    out["words"].append(words[i * SEQUENCE : (i + 1) * SEQUENCE])
                     out["lang"].append(lang)
             yield out
 
     rows = map_batches(drawn.select("text", "lang"), cut, "words array<string>, lang string").collect()
     place = {lang: i for i, lang in enumerate(langs)}
-    sequences = sorted((list(r["words"]), place[r["lang"]]) for r in rows if r["words"])
-    return train(sequences, langs) if sequences else None
+    found = sorted((zlib.crc32(" ".join(r["words"]).encode()), list(r["words"]), place[r["lang"]]) for r in rows)
+    sequences = [(words, [tag] * len(words)) for _, words, tag in found]
+    return train(sequences + joined_pairs(sequences), langs) if sequences else None
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
