@@ -50,7 +50,8 @@ def lag_correlation(
     pairs = each.select(*keys, "_a", F.explode("_r").alias("_b")).withColumn("lag", (F.col("_b.i") - F.col("_a.i")).cast("int"))
     near = pairs.filter(F.abs("lag") <= max_lag).select(*keys, "lag", F.col("_a.v").alias("_x"), F.col("_b.v").alias("_y"), F.explode("_a.labels").alias("window"))
     by = [*keys, "window", "lag"]
-    scored = near.groupBy(*by).agg(F.corr("_x", "_y").alias("_r"), F.count(F.lit(1)).alias("overlap"))
+    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
+    scored = near.groupBy(*by).agg(F.try_divide(F.covar_pop("_x", "_y"), spread).alias("_r"), F.count(F.lit(1)).alias("overlap"))
     known = F.when(F.col("_r").isNull() | F.isnan("_r"), F.lit(-1.0)).otherwise(F.col("_r"))
     shown = [c for c in by if c != "window" or windows is not None]
     return scored.filter(F.col("overlap") >= min_overlap).select(*shown, "overlap", known.alias("correlation"))
