@@ -200,6 +200,73 @@ def _(spark, sf):
     return ed.proposed_cuts(reasoned(spark, sf), proposals, ["k"], MARKER).select("k", "id", "reason", "kind")
 
 
+# With a similarity of one, repeats are equal token lists, which SQL can state.
+_CHAIN = f"""(WITH u AS (SELECT *, array_to_string({TOKENS_SQL.format('text')}, ' ') AS said, lower(regexp_extract(text, '(?i)(?:the\\s|le\\s|en\\s)')) AS hook FROM {_GROUPED} g),
+x AS (SELECT k, 1 AS priority, take_group AS take, id, CASE WHEN start_s = latest THEN 'keep' ELSE 'cut' END AS role FROM (
+  SELECT *, count(*) OVER w AS n, max(start_s) OVER w AS latest FROM u WHERE take_group IS NOT NULL WINDOW w AS (PARTITION BY k, take_group)) WHERE n >= 2),
+c AS (SELECT u.*, count(*) OVER w AS n, max(start_s) OVER w AS latest, bool_and(x.id IS NOT NULL) OVER w AS covered, arg_min(u.id, start_s) OVER w AS a, arg_max(u.id, start_s) OVER w AS z
+  FROM u LEFT JOIN x ON u.k = x.k AND u.id = x.id WHERE said <> '' WINDOW w AS (PARTITION BY u.k, said)),
+r AS (SELECT k, 2 AS priority, a || '-' || z AS take, id, CASE WHEN start_s = latest THEN 'keep' ELSE 'cut' END AS role FROM c WHERE n >= 2 AND NOT covered),
+xr AS (SELECT k, id FROM x UNION SELECT k, id FROM r),
+b AS (SELECT b.*, row_number() OVER (PARTITION BY b.k, block ORDER BY start_s) AS i, xr.id IS NOT NULL AS covered FROM {_BLOCKS} b LEFT JOIN xr ON b.k = xr.k AND b.id = xr.id),
+h AS (SELECT k, block, array_to_string({TOKENS_SQL.format("string_agg(text, ' ' ORDER BY i) FILTER (i <= 3)")}, ' ') AS head, bool_or(covered) AS taken, arg_min(id, i) AS a, arg_max(id, i) AS z FROM b GROUP BY k, block),
+t AS (SELECT *, lead(block) OVER w AS nb, lead(a) OVER w AS na, lead(z) OVER w AS nz, sum(taken::INT) OVER w AS run FROM h WHERE head <> '' WINDOW w AS (PARTITION BY k, head ORDER BY block)),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, head, run ORDER BY block) AS j FROM t WHERE NOT taken) WHERE j % 2 = 1 AND nb IS NOT NULL),
+l AS (SELECT s.k, 3 AS priority, s.a || '-' || s.na AS take, b.id, CASE WHEN b.block = s.block THEN 'cut' WHEN b.id = s.nz THEN 'keep' ELSE 'member' END AS role
+  FROM s JOIN b ON s.k = b.k AND b.block IN (s.block, s.nb)),
+xrl AS (SELECT k, id FROM xr UNION SELECT k, id FROM l),
+p AS (SELECT k, 4 AS priority, a || '-' || z AS take, id, CASE WHEN start_s = latest THEN 'keep' ELSE 'cut' END AS role FROM (
+  SELECT u.*, count(*) OVER w AS n, max(start_s) OVER w AS latest, arg_min(u.id, start_s) OVER w AS a, arg_max(u.id, start_s) OVER w AS z
+  FROM u LEFT JOIN xrl ON u.k = xrl.k AND u.id = xrl.id WHERE hook <> '' AND xrl.id IS NULL WINDOW w AS (PARTITION BY u.k, hook)) WHERE n >= 2)
+SELECT * FROM x UNION ALL SELECT * FROM r UNION ALL SELECT * FROM l UNION ALL SELECT * FROM p)"""
+_TAKE_REASON = "CASE priority WHEN 1 THEN 'latest-explicit-take' WHEN 2 THEN 'latest-repetition-cluster' WHEN 3 THEN 'latest-similar-block' ELSE 'latest-similar-prefix' END"
+
+
+def grouped(spark, sf):
+    group = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("g"), (F.length("text") % 4).cast("string")))
+    return utterances(spark, sf).withColumn("take_group", group)
+
+
+def _chain(spark, sf, similarity: float):
+    rows = grouped(spark, sf)
+    return ed.take_chain(rows, KeyLayout.measure(rows, ["k"], "start_s"), ORDER, "take_group", similarity, 3.5, HOOK)
+
+
+@_q("take_chain", f"SELECT k, priority, {_TAKE_REASON} AS reason, take, id, role FROM {_CHAIN} c")
+def _(spark, sf):
+    return _chain(spark, sf, 1.0)
+
+
+@_q("take_chain_similar")
+def _(spark, sf):
+    return _chain(spark, sf, ed.REPEAT_SIMILARITY)
+
+
+@_q("chain_decisions", f"""WITH f AS (SELECT k, id, arg_min(proposal, priority) AS proposal FROM (
+    SELECT k, id, priority, CASE priority WHEN 1 THEN 'proposed-take' WHEN 2 THEN 'proposed-repetition' WHEN 3 THEN 'proposed-retake-block' ELSE 'proposed-retake-prefix' END AS proposal
+    FROM {_CHAIN} c WHERE role = 'cut' UNION ALL SELECT k, id, 5, 'proposed-repetition' FROM (
+      SELECT *, max(start_s) OVER (PARTITION BY k, array_to_string({TOKENS_SQL.format('text')}, ' ')) AS latest FROM {UTTERANCES} u WHERE len({TOKENS_SQL.format('text')}) > 0) WHERE start_s < latest)
+  GROUP BY k, id),
+j AS (SELECT e.k, e.id, CASE WHEN e.kind = 'cut' THEN e.reason WHEN regexp_matches(e.text, '{MARKER_SQL}') THEN 'retake-marker' ELSE f.proposal END AS reason, e.kind AS was
+  FROM {_REASONED} e LEFT JOIN f ON e.k = f.k AND e.id = f.id)
+SELECT k, id, reason, CASE WHEN was = 'cut' OR reason IS NOT NULL THEN 'cut' ELSE 'keep' END AS kind FROM j""")
+def _(spark, sf):
+    takes = _chain(spark, sf, 1.0)
+    later = ed.repeated_later(utterances(spark, sf), ["k"], "start_s", 1.0)
+    return ed.proposed_cuts(reasoned(spark, sf), ed.take_proposals(takes, later, ["k"]), ["k"], MARKER).select("k", "id", "reason", "kind")
+
+
+@_q("analysis_verdict", f"""SELECT u.k, coalesce(n, 0) AS candidates, CASE WHEN coalesce(n, 0) > 0 THEN 'CANDIDATES_PROPOSED' ELSE 'NO_CANDIDATES' END AS verdict
+FROM (SELECT DISTINCT k FROM {UTTERANCES} u) u LEFT JOIN (SELECT k, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT k, count(DISTINCT (priority, take)) AS n FROM {_CHAIN} c GROUP BY k
+  UNION ALL SELECT k, count(*) FROM (SELECT k, end_s, lead(start_s) OVER (PARTITION BY k ORDER BY start_s, id) AS ns FROM {UTTERANCES} u) WHERE round(ns - end_s, 6) >= 0.8 GROUP BY k)
+GROUP BY k) c ON u.k = c.k""")
+def _(spark, sf):
+    rows = utterances(spark, sf)
+    takes = _chain(spark, sf, 1.0).select("k", "priority", "take").distinct()
+    return ed.analysis_verdict(rows, [takes, pz.utterance_pauses(rows, PER_DOCUMENT, ORDER)], ["k"])
+
+
 @_q("later_matches")
 def _(spark, sf):
     rows = utterances(spark, sf)
@@ -207,8 +274,8 @@ def _(spark, sf):
     return ed.later_matches(ed.repeat_pairs(rows, ["k"], "pos"), texts, ["k"])
 
 
-def _cross(spark, sf):
-    rows = utterances(spark, sf).select(
+def _cross(spark, sf, spoken=None):
+    rows = (utterances(spark, sf) if spoken is None else spoken).select(
         F.col("source").alias("project"), F.col("k").cast("string").alias("segment_id"), "id", F.col("pos").alias("ordinal"), "text"
     )
     return rows, cr.cross_group_matches(rows, ["project"], "segment_id", "ordinal")
@@ -221,7 +288,8 @@ def _(spark, sf):
 
 @_q("keep_continuity")
 def _(spark, sf):
-    rows, groups = _cross(spark, sf)
+    """The check of the film: only what is kept is matched."""
+    rows, groups = _cross(spark, sf, reasoned(spark, sf).filter("kind = 'keep'"))
     return cr.keep_continuity(groups, rows.select("project").distinct(), ["project"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from timelinekit.functions.text import tokens
 from timelinekit.plans.layout import KeyLayout, lookup_join
 from timelinekit.plans.ordered import islands, ordered_scan
 from timelinekit.plans.similarity import distinct_texts, similar_components, similar_pairs
+from timelinekit.session import cut_lineage
 
 # ---- fixed values -------------------------------------------------------------------------
 RETAKE_MARKER = (
@@ -37,6 +39,8 @@ REPEAT_SIMILARITY = 0.88
 BLOCK_PAUSE_S = 5.0
 ORPHAN_WORDS, ORPHAN_GAP_S, INCOMPLETE_GAP_S = 2, 0.5, 0.8
 TAIL_WORDS = 8
+TAKE_REASONS = ("latest-explicit-take", "latest-repetition-cluster", "latest-similar-block", "latest-similar-prefix")
+TAKE_PROPOSALS = ("proposed-take", "proposed-repetition", "proposed-retake-block", "proposed-retake-prefix")
 DEFAULT_CUT_REASON = "внутренние повторы"
 # -------------------------------------------------------------------------------------------
 
@@ -247,7 +251,13 @@ def block_ids(utterances: DataFrame, layout: KeyLayout, order: Sequence[str], pa
 def block_repeats(
     blocks: DataFrame, layout: KeyLayout, order: Sequence[str], threshold: float = REPEAT_SIMILARITY
 ) -> DataFrame:
-    """Pairs of blocks whose first three utterances sound alike; the earlier block is the cut."""
+    """(keys, left_block, right_block): of each block the next one whose first three utterances sound
+    alike; the earlier block is the cut.
+
+    Equal heads follow one another in the order of their text. For two similar texts the blocks of
+    both stand in one order, and each left one looks ahead to the nearest right one. So blocks are
+    listed once per similar text and never paired.
+    """
     keys = list(layout.keys)
     inside = KeyLayout((*layout.keys, "block"), layout.order)
     heads = ordered_scan(blocks, inside, order, number="_n").filter("_n <= 3")
@@ -255,20 +265,124 @@ def block_repeats(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda r: r["text"]), " ").alias("text")
     )
     spoken = texts.withColumn("_tokens", tokens(F.col("text"))).filter(F.size("_tokens") > 0)
-    spoken = spoken.withColumn("text_id", F.md5(F.array_join("_tokens", " ")))
-    # Heads with equal words pair up too, so blocks are joined on their text, not collapsed.
-    distinct = distinct_texts(spoken, keys, "_tokens", "block")
-    pairs = similar_pairs(distinct, keys, threshold)
-    directed = (
-        pairs.select(*keys, F.col("a_id").alias("left_id"), F.col("b_id").alias("right_id"), F.col("ab").alias("score"))
-        .unionByName(pairs.select(*keys, F.col("b_id").alias("left_id"), F.col("a_id").alias("right_id"), F.col("ba").alias("score")))
-        .unionByName(distinct.filter("copies > 1").select(*keys, F.col("text_id").alias("left_id"), F.col("text_id").alias("right_id"), F.lit(1.0).alias("score")))
-        .filter(F.col("score") >= threshold)
+    spoken = cut_lineage(spoken.select(*keys, "block", "_tokens", F.md5(F.array_join("_tokens", " ")).alias("text_id")))
+    places = spoken.select(*keys, "block", "text_id")
+    by_text = [*keys, "text_id"]
+    equal = ordered_scan(places, KeyLayout.measure(places, by_text, "block"), ["block"], nxt={"_right": "block"})
+    found = equal.filter("_right IS NOT NULL").select(*keys, F.col("block").alias("_left"), "_right")
+
+    pairs = similar_pairs(distinct_texts(spoken, keys, "_tokens", "block"), keys, threshold)
+    way = lambda a, b, score: pairs.filter(F.col(score) >= threshold).select(*keys, F.col(a).alias("_l"), F.col(b).alias("_r"))
+    directed = cut_lineage(way("a_id", "b_id", "ab").unionByName(way("b_id", "a_id", "ba")))
+    listed = [
+        directed.withColumn("text_id", F.col(side)).join(places, by_text).select(*keys, "_l", "_r", "block", F.lit(right).alias("_is_right"))
+        for side, right in (("_l", False), ("_r", True))
+    ]
+    both = cut_lineage(listed[0].unionByName(listed[1]))
+    ahead = ordered_scan(both, KeyLayout.measure(both, [*keys, "_l", "_r"], "block"), ["block"], coming={"_right": F.when(F.col("_is_right"), F.col("block"))})
+    similar = ahead.filter("NOT _is_right AND _right IS NOT NULL").select(*keys, F.col("block").alias("_left"), "_right")
+    return found.unionByName(similar).groupBy(*keys, F.col("_left").alias("left_block")).agg(F.min("_right").alias("right_block"))
+
+
+def accepted_blocks(takes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Block takes that stand, in the order of their left blocks; ``takes`` has left_block, right_block, taken.
+
+    A take falls when its left block is taken already: by ``taken``, or as the right block of a take
+    that stands. Only a recording's blocks with a repeat are folded.
+    """
+    row = F.struct("left_block", "right_block", "taken")
+    listed = takes.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_takes"))
+    none = F.array().cast("array<bigint>")
+
+    def step(rights: Column, take: Column) -> Column:
+        falls = take["taken"] | F.array_contains(rights, take["left_block"])
+        return F.when(falls, rights).otherwise(F.array_append(rights, take["right_block"]))
+
+    rights = F.aggregate("_takes", none, step)
+    stands = lambda t: ~t["taken"] & ~F.array_contains(F.col("_rights"), t["left_block"])
+    return listed.withColumn("_rights", rights).select(*keys, F.explode(F.filter("_takes", stands)).alias("_t")).select(*keys, "_t.left_block", "_t.right_block")
+
+
+def take_chain(
+    utterances: DataFrame, layout: KeyLayout, order: Sequence[str], group: str, threshold: float = REPEAT_SIMILARITY,
+    pause: float = BLOCK_PAUSE_S, hook: str = HOOK,
+) -> DataFrame:
+    """All takes of a recording by four producers, each on what those before it left uncovered.
+
+    Rows (keys, priority, reason, take, id, role), where role is cut, keep or, inside a kept block,
+    member. 1: named groups. 2: clusters of repeats with a member not covered yet. 3: blocks like a
+    later block, unless one of their utterances is covered. 4: uncovered utterances with one hook.
+    Ids are unique in a recording; ``order`` starts with a column of distinct values.
+    """
+    keys, at = list(layout.keys), order[0]
+    by_id = [*keys, "id"]
+    role = F.when(F.col("kept"), F.lit("keep")).otherwise(F.lit("cut")).alias("role")
+
+    def rows(df: DataFrame, priority: int, take: Column) -> DataFrame:
+        return cut_lineage(df.select(*keys, F.lit(priority).alias("priority"), F.lit(TAKE_REASONS[priority - 1]).alias("reason"), take.alias("take"), "id", role))
+
+    def without(df: DataFrame, covered: DataFrame) -> DataFrame:
+        return df.join(covered.select(*by_id).distinct().withColumn("_covered", F.lit(True)), by_id, "left").withColumn("_covered", F.coalesce("_covered", F.lit(False)))
+
+    spoken = cut_lineage(utterances.select(*keys, "id", *[c for c in dict.fromkeys([*order, "end_s", "text"]) if c != "id"], F.col(group).alias("_group")))
+    named = rows(explicit_takes(spoken, keys, "_group", at), 1, F.col("_group"))
+
+    clusters = repeat_clusters(spoken, keys, at, threshold)
+    open_ = without(clusters, named).groupBy(*keys, "component").agg(F.bool_and("_covered").alias("_all"), F.min_by("id", at).alias("_first"), F.max_by("id", at).alias("_last"))
+    chosen = lookup_join(clusters, open_.filter("NOT _all"), [*keys, "component"], "inner")
+    repeats = rows(chosen, 2, F.concat_ws("-", "_first", "_last"))
+    covered = named.unionByName(repeats)
+
+    blocks = cut_lineage(block_ids(spoken, layout, order, pause))
+    touched = without(blocks, covered).groupBy(*keys, "block").agg(
+        F.bool_or("_covered").alias("taken"), F.min_by("id", at).alias("_first"), F.max_by("id", at).alias("_last")
     )
-    left = spoken.select(*keys, F.col("block").alias("left_block"), F.col("text_id").alias("left_id"))
-    right = spoken.select(*keys, F.col("block").alias("right_block"), F.col("text_id").alias("right_id"))
-    found = directed.join(left, [*keys, "left_id"]).join(right, [*keys, "right_id"]).filter("left_block < right_block")
-    return found.groupBy(*keys, "left_block").agg(F.min("right_block").alias("right_block"))
+    touched = cut_lineage(touched)
+    takes = block_repeats(blocks, layout, order, threshold).join(touched.select(*keys, F.col("block").alias("left_block"), "taken"), [*keys, "left_block"])
+    stand = cut_lineage(accepted_blocks(takes, keys))
+    name = lambda side: touched.select(*keys, F.col("block").alias(f"{side}_block"), F.col("_first").alias(f"_{side}"), F.col("_last").alias(f"_{side}_last"))
+    stand = stand.join(name("left"), [*keys, "left_block"]).join(name("right"), [*keys, "right_block"])
+    take, place = F.concat_ws("-", "_left", "_right").alias("take"), blocks.select(*keys, "block", "id")
+    cut = stand.select(*keys, F.col("left_block").alias("block"), take, F.lit(None).cast("string").alias("_keep")).join(place, [*keys, "block"])
+    kept = stand.select(*keys, F.col("right_block").alias("block"), take, F.col("_right_last").alias("_keep")).join(place, [*keys, "block"])
+    how = F.when(F.col("_keep").isNull(), F.lit("cut")).when(F.col("_keep") == F.col("id"), F.lit("keep")).otherwise(F.lit("member"))
+    both = cut.unionByName(kept).select(*keys, F.lit(3).alias("priority"), F.lit(TAKE_REASONS[2]).alias("reason"), "take", "id", how.alias("role"))
+    both = cut_lineage(both)
+    covered = covered.unionByName(both)
+
+    hooked = prefix_takes(spoken, keys, at, covered, hook)
+    ends = hooked.groupBy(*keys, "hook").agg(F.min_by("id", at).alias("_first"), F.max_by("id", at).alias("_last"))
+    prefixes = rows(lookup_join(hooked, ends, [*keys, "hook"], "inner"), 4, F.concat_ws("-", "_first", "_last"))
+    return covered.unionByName(prefixes)
+
+
+def take_proposals(takes: DataFrame, repeated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, priority, proposal) for ``proposed_cuts``: what takes cut, then utterances repeated later.
+
+    ``repeated`` has the ids of utterances with a later repeat.
+    """
+    said = F.element_at(F.array(*[F.lit(p) for p in TAKE_PROPOSALS]), F.col("priority"))
+    cuts = takes.filter("role = 'cut'").select(*keys, "id", "priority", said.alias("proposal"))
+    return cuts.unionByName(repeated.select(*keys, "id", F.lit(len(TAKE_PROPOSALS) + 1).alias("priority"), F.lit(TAKE_PROPOSALS[1]).alias("proposal")))
+
+
+def repeated_later(utterances: DataFrame, keys: Sequence[str], order: str, threshold: float = REPEAT_SIMILARITY) -> DataFrame:
+    """(keys, id) of utterances that a later utterance of the recording repeats."""
+    keys = list(keys)
+    texts = repeat_texts(utterances, keys, order)
+    latest = later_matches(repeat_pairs(utterances, keys, order, threshold), texts, keys, threshold)
+    spoken = utterances.withColumn("_tokens", tokens(F.col("text"))).filter(F.size("_tokens") > 0)
+    spoken = spoken.select(*keys, "id", F.col(order).alias("_at"), F.md5(F.array_join("_tokens", " ")).alias("text_id"))
+    return lookup_join(spoken, latest, [*keys, "text_id"], "inner").filter("latest_repeat > _at").select(*keys, "id")
+
+
+def analysis_verdict(recordings: DataFrame, candidates: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """(keys, candidates, verdict) of each recording; ``candidates`` are tables with one row per candidate."""
+    keys = list(keys)
+    every = reduce(DataFrame.unionByName, [c.select(*keys) for c in candidates])
+    counted = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"))
+    out = recordings.select(*keys).distinct().join(counted, keys, "left").withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))
+    return out.withColumn("verdict", F.when(F.col("candidates") > 0, F.lit("CANDIDATES_PROPOSED")).otherwise(F.lit("NO_CANDIDATES")))
 
 
 def candidate_union(pauses: DataFrame, repeats: DataFrame, takes: DataFrame, keys: Sequence[str]) -> DataFrame:
