@@ -26,7 +26,7 @@ def op1_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source")
-    return mixing.mix(docs, block_docs=16).select("doc_id", "source", "block", "round", "slot", "nth")
+    return mixing.mix_to_weights(docs, block_docs=16).select("doc_id", "source", "block", "round", "slot", "nth")
 
 
 def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
