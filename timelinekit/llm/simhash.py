@@ -34,25 +34,65 @@ GROUPS = 8
 SALTS = 16
 # Shingles of one text that are hashed and counted at a time.
 BLOCK = 16_384
+PASSAGE = 12  # shingles of a passage on average
+NEAR_BITS = 18  # fingerprints of texts that may be similar differ by no more
+SIMILAR, SIMILAR_WORDS = 0.8, 5
 
 
-def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> bytes:
-    """Eight bytes, most significant bit first; zero for a text without words."""
+def _hashed(text: str | None, shingle: int, seed: int):
+    """Blocks of the digests of a text's shingles, eight bytes each; nothing for a text without words."""
     import xxhash
 
     joined = b" ".join((text or "").encode().lower().split())
     if not joined:
-        return bytes(8)
+        return
     blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.append(0, blanks + 1), np.append(blanks, len(joined))
     n = max(1, len(starts) - shingle + 1)
     last = ends[shingle - 1 :] if len(ends) >= shingle else ends[-1:]
-    digest, totals = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
+    digest = xxhash.xxh64_digest
     for at in range(0, n, BLOCK):
         spans = zip(starts[at : min(at + BLOCK, n)].tolist(), last[at : at + BLOCK].tolist())
-        hashed = b"".join([digest(joined[a:b], seed) for a, b in spans])
-        totals += np.unpackbits(np.frombuffer(hashed, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(totals * 2 > n).tobytes()
+        yield b"".join([digest(joined[a:b], seed) for a, b in spans])
+
+
+def _majority(blocks) -> tuple[bytes, list[np.ndarray]]:
+    """(fingerprint, the blocks as arrays of unsigned longs)."""
+    totals, n, kept = np.zeros(64, dtype=np.int64), 0, []
+    for block in blocks:
+        totals += np.unpackbits(np.frombuffer(block, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(block) // 8
+        kept.append(np.frombuffer(block, ">u8").astype(np.uint64))
+    return np.packbits(totals * 2 > n).tobytes(), kept
+
+
+def text_fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> bytes:
+    """Eight bytes, most significant bit first; zero for a text without words."""
+    return _majority(_hashed(text, shingle, seed))[0]
+
+
+def text_profile(text: str | None, shingle: int = 4, seed: int = 42) -> tuple[bytes, list[int]]:
+    """The fingerprint, and one number per passage.
+
+    Passages end where the hash of a shingle is divisible by ``PASSAGE``, so the same stretch of
+    text makes the same passages wherever it stands. A passage's number is the sum of its shingles'
+    hashes; those of fewer than three shingles are left out, unless the text has no other.
+    """
+    fp, kept = _majority(_hashed(text, shingle, seed))
+    if not kept:
+        return fp, []
+    hashes = np.concatenate(kept)
+    starts = np.unique(np.append(0, np.flatnonzero(hashes % PASSAGE == 0)))
+    lengths = np.diff(np.append(starts, len(hashes)))
+    sums = np.add.reduceat(hashes, starts)
+    long = sums[lengths >= 3] if (lengths >= 3).any() else sums
+    return fp, np.unique(long).astype(np.int64).tolist()
+
+
+def shingle_set(text: str | None, shingle: int) -> list[int]:
+    """The hashes of a text's distinct shingles."""
+    blocks = [np.frombuffer(b, ">i8").astype(np.int64) for b in _hashed(text, shingle, 0)]
+    return np.unique(np.concatenate(blocks)).tolist() if blocks else []
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, key: Column | None = None) -> DataFrame:
@@ -155,6 +195,77 @@ def representatives(docs: DataFrame, key: Column, distance: int = 4, shingle: in
     return best.select("least.doc_id", "least.key")
 
 
+def passage_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): fingerprints of different texts that share a passage and differ by at most ``NEAR_BITS``.
+
+    ``nodes`` has (fp, passages). In each passage's list a fingerprint meets the least, the
+    greatest and the next one, so the work follows the number of passages however many texts share
+    one; near copies share nearly all of theirs.
+    """
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    pick = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter((F.col("a") != F.col("b")) & (bits <= NEAR_BITS))
+    every = nodes.select("fp", F.explode("passages").alias("cell"))
+    shared = every.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = saved(shared, "simhash-passages")
+    crowded = shared.filter("n > 2").select("cell", "low", "top", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = every.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    members = saved(salted.join(crowded, ["cell", "salt"]), "simhash-sharers")
+    after = members.withColumn("next", F.lead("fp").over(Window.partitionBy("cell", "salt").orderBy("fp"))).filter("next is not null")
+    found = pick(shared, "low", "top").union(pick(members, "fp", "low")).union(pick(members, "fp", "top")).union(pick(after, "fp", "next"))
+    return found.distinct()
+
+
+def similar_links(docs: DataFrame, links: DataFrame, nodes: DataFrame, key: Column) -> DataFrame:
+    """The links whose texts have word shingle sets of a similarity of ``SIMILAR`` or more, exactly.
+
+    ``nodes`` has (fp, least) with the key of the row that stands for a fingerprint. Only texts of
+    linked rows are cut into shingles.
+    """
+    asked = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp"))).distinct()
+    asked = saved(nodes.join(asked, "fp", "left_semi").select("fp", F.col("least.key").alias("key")), "simhash-asked")
+    texts = docs.select(key.alias("key"), "text").join(asked, "key")
+
+    def work(batches):
+        for batch in batches:
+            yield {"fp": batch["fp"], "held": [shingle_set(t, SIMILAR_WORDS) for t in batch["text"].to_pylist()]}
+
+    # rows equal in all columns share a key; one of them is enough
+    sets = map_batches(texts.select("fp", "text"), work, "fp long, held array<long>").groupBy("fp").agg(F.first("held").alias("held"))
+    sets = saved(sets, "simhash-sets")
+    left, right = (sets.select(F.col("fp").alias(c), F.col("held").alias(f"held_{c}")) for c in ("a", "b"))
+    both = links.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("held_a", "held_b")))
+    return both.filter(F.col("common") >= SIMILAR * (F.size("held_a") + F.size("held_b") - F.col("common"))).select("a", "b")
+
+
+def copy_representatives(docs: DataFrame, key: Column, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, key) of one row per group of near copies: the smallest doc_id, null last, then the smallest ``key``.
+
+    Rows are linked when their fingerprints differ in at most ``distance`` bits, and when they share a
+    passage and their sets of five-word shingles have a similarity of 0.8 or more. Fingerprints of
+    such texts may differ in a dozen bits, which no grid of cells can search at scale; shared
+    passages find them, the fingerprints rule most of the rest out, and the sets decide.
+    """
+    def work(batches):
+        for batch in batches:
+            found = [text_profile(t, shingle, seed) for t in batch["text"].to_pylist()]
+            prints = [int.from_bytes(fp, "big", signed=True) for fp, _ in found]
+            yield {"doc_id": batch["doc_id"], "key": batch["key"], "fp": prints, "passages": [p for _, p in found]}
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text")
+    rows = saved(map_batches(keyed, work, "doc_id long, key long, fp long, passages array<long>"), "simhash-profiles")
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    nodes = rows.groupBy("fp").agg(F.min(row).alias("least"), F.min_by("passages", row).alias("passages"))
+    nodes = saved(nodes, "simhash-nodes")
+    label = link_components(nodes.select("fp"), distance)
+    wide = saved(passage_links(nodes), "simhash-wide")
+    close = similar_links(docs, wide, nodes, key)
+    joined = label.select(F.col("fp").alias("a"), F.col("component").alias("b")).union(close)
+    whole = components(joined, "simhash-copies").withColumnRenamed("node", "fp")
+    tagged = nodes.join(whole, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = tagged.groupBy("component").agg(F.min("least").alias("least"))
+    return best.select("least.doc_id", "least.key")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row; component_id is the smallest doc_id reachable.
 
