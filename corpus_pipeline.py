@@ -4,8 +4,9 @@ Every stage takes (spark, docs, sf_dir); its rows are written as Parquet and rea
 next one's input. All but the last return the columns of ``documents``.
 
 1. toxicity: documents scored 0.5 or more go.
-2. near-duplicates: of each SimHash component exactly one row stays, the one with the smallest
-   doc_id; ids may repeat or be null, and rows of other components stay whatever their id.
+2. near-duplicates: of each group of near copies (fingerprints within four bits, or five-word
+   shingles with a similarity of 0.8 or more) exactly one row stays, the one with the smallest
+   doc_id; ids may repeat or be null, and rows of other groups stay whatever their id.
 3. decontamination: documents contaminated by a benchmark item go.
 4. mixing: nothing goes; rows are put in the order of the mix, which the file order carries.
 5. token output: token files in the order of the mix; a row per document with its place in them.
@@ -38,10 +39,14 @@ def row_key(columns: list[str]) -> Column:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = saved(simhash.representatives(docs, row_key(COLUMNS)).select(F.col("key").alias("_key")), "pipeline-kept")
-    found = docs.withColumn("_key", row_key(COLUMNS)).join(kept, "_key", "left_semi")
-    # rows equal in all columns share a key, and one of them stays
-    return found.select(*COLUMNS).dropDuplicates(COLUMNS)
+    key = row_key(COLUMNS)
+    kept = simhash.copy_representatives(docs, key).select(F.col("key").alias("_key"))
+    # rows equal in all columns share a key, and one of them stays; only such rows are compared as a whole
+    rows = docs.select(key.alias("_key")).groupBy("_key").agg((F.count(F.lit(1)) > 1).alias("_many"))
+    kept = saved(kept.join(rows, "_key"), "pipeline-kept")
+    found = docs.withColumn("_key", key).join(kept, "_key")
+    one = found.filter(~F.col("_many")).select(*COLUMNS)
+    return one.unionByName(found.filter("_many").select(*COLUMNS).dropDuplicates(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).orderBy("slot", "nth").select(*COLUMNS)
+    return mixing.mix_to_weights(docs).orderBy("slot", "nth").select(*COLUMNS)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
