@@ -301,6 +301,21 @@ def _(spark, sf):
     return cr.group_ids(rows, ["text_key"], ["k", "id"], "take-")
 
 
+# Members in the order of recording and time; lists longer than a thousand are digested in two steps.
+TREE = """SELECT {key}, CAST(sum(n) AS BIGINT) AS {count}{more}, {shown} FROM (
+  SELECT {key}, c, count(*) AS n, sha256('[' || string_agg(item, ',' ORDER BY i) || ']') AS h{sums} FROM (SELECT *, (i - 1) // 1000 AS c FROM (
+    SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS i FROM {rows} r)) GROUP BY {key}, c) GROUP BY {key}"""
+TREE_DIGEST = """CASE WHEN count(*) = 1 THEN max(h) ELSE sha256('[' || string_agg('"' || h || '"', ',' ORDER BY c) || ']') END"""
+
+
+@_q("member_ids", TREE.format(
+    key="text_key", count="members", more="", sums="", order="k, id", shown=f"'take-' || left({TREE_DIGEST}, 16) AS group_id",
+    rows=f"""(SELECT md5(text) AS text_key, k, id, '{{"k":"' || k || '","utterance":"' || id || '"}}' AS item FROM {UTTERANCES} u)"""))
+def _(spark, sf):
+    rows = utterances(spark, sf).select(F.md5("text").alias("text_key"), "k", F.col("id").alias("utterance"))
+    return cr.member_ids(rows, ["text_key"], ["utterance", "k"], ["k", "utterance"], "take-")
+
+
 @_q("tokens", f"SELECT k, id, array_to_string({TOKENS_SQL.format('text')}, ' ') AS tokens FROM {UTTERANCES} u")
 def _(spark, sf):
     return utterances(spark, sf).select("k", "id", F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))

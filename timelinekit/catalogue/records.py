@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timelinekit.catalogue.editorial import STARTS
+from timelinekit.catalogue.editorial import TREE
+from timelinekit.catalogue.editorial import TREE_DIGEST
 from timelinekit.catalogue.standins import UTTERANCES, table, utterances
 from timelinekit.operators import contracts as ct
 from timelinekit.operators import decisions as dc
@@ -242,6 +244,13 @@ def _(spark, sf):
     return ln.inventory_snapshot(_records(spark, sf), ["kind"])
 
 
+@_q("inventory_digest", TREE.format(
+    key="kind", count="files", more=", CAST(sum(size) AS BIGINT) AS total_bytes", sums=", sum(size_bytes) AS size", order="path, sha256", shown=f"{TREE_DIGEST} AS digest",
+    rows=f"""(SELECT *, '{{"path":"' || path || '","sha256":"' || sha256 || '","size_bytes":' || CAST(size_bytes AS BIGINT) || '}}' AS item FROM {_RECORDS} r)"""))
+def _(spark, sf):
+    return ln.inventory_digest(_records(spark, sf), ["kind"])
+
+
 @_q("snapshot_changes", f"""SELECT path, sha256, 'removed' AS change FROM (SELECT path, sha256 FROM {_RECORDS} r EXCEPT ALL SELECT path, sha256 FROM {_FOUND} f)
 UNION ALL SELECT path, sha256, 'added' FROM (SELECT path, sha256 FROM {_FOUND} f EXCEPT ALL SELECT path, sha256 FROM {_RECORDS} r)""")
 def _(spark, sf):

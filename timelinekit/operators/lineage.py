@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timelinekit.plans.digests import CHUNK, tree_digest
 from timelinekit.plans.layout import lookup_join
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -60,6 +61,15 @@ def inventory_snapshot(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     return folded.select(*keys, "files", "total_bytes", digest.alias("plan_hash"))
 
 
+def inventory_digest(files: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+    """(keys, files, total_bytes, digest): the digest is that of the files' list in the order of paths."""
+    keys = list(keys)
+    item = F.to_json(F.struct("path", "sha256", F.col("size_bytes").cast("long").alias("size_bytes")))
+    digests = tree_digest(files, keys, ["path", "sha256"], item, chunk).withColumnRenamed("members", "files")
+    sizes = files.groupBy(*keys).agg(F.sum("size_bytes").alias("total_bytes"))
+    return digests.join(sizes, keys).select(*keys, "files", "total_bytes", "digest")
+
+
 def snapshot_changes(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows only one snapshot has; equal snapshots give none."""
     gone = before.select(*columns).exceptAll(after.select(*columns)).withColumn("change", F.lit("removed"))
