@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelinekit.plans.layout import lookup_join
@@ -27,7 +27,65 @@ def violations(df: DataFrame, ids: Sequence[str], rules: Sequence[tuple[str, Col
     return df.select(*ids, F.explode(found).alias("rule"))
 
 
-def candidates_contract(flat: DataFrame, details: DataFrame, keys: Sequence[str]) -> DataFrame:
+# Rules as rows: contract, rule, the condition that violates it. Conditions may use the columns the
+# contract builds; rows of a contract apply in this order.
+RULES = (
+    ("candidates", "id listed twice", "_flat > 1"),
+    ("candidates", "id detailed twice", "_detail > 1"),
+    ("candidates", "listed without detail", "_detail IS NULL"),
+    ("candidates", "detail not listed", "_flat IS NULL"),
+    ("candidates", "range and duration differ", "_range"),
+    ("candidates", "range is reversed", "_reversed"),
+    ("groups", "member is not bound", "_ghosts > 0"),
+    ("groups", "two members in one segment", "_in_segment > 1"),
+    ("groups", "exactly one member must be kept", "_status = 'recommended' AND _kept <> 1"),
+    ("groups", "kept member is not the last", "_status = 'recommended' AND _kept_at <> _last"),
+    ("groups", "confidence outside its band",
+     f"CASE WHEN _status = 'recommended' THEN _low < {RECOMMENDED}D ELSE _low < {SIMILAR}D OR _low >= {RECOMMENDED}D END"),
+    ("groups", "uncertain group is actionable", "_status <> 'recommended' AND _actionable > 0"),
+    ("render", "unknown style", "alignment IS NULL"),
+    ("render", "caption size outside the style", "NOT caption_px BETWEEN min_font_px AND max_font_px"),
+    ("render", "caption alignment", "caption_alignment <> alignment"),
+    ("render", "caption colour", "upper(caption_color) <> upper(color)"),
+    ("render", "caption font class", "caption_class <> font_class"),
+    ("render", "caption centre drifts", f"abs(centre_drift) > {CENTRE_DRIFT_MAX}D"),
+    ("render", "title is not larger than captions", "title_px <= caption_px"),
+    ("render", "title is not below the face", "title_top < caption_top"),
+    ("render", "overlay replaces the picture", "overlay_mode <> 'overlay'"),
+    ("render", "director copy on screen", "copy_leaks > 0"),
+    ("technical", "expected exactly one video stream", "video_streams <> 1"),
+    ("technical", "expected exactly one audio stream", "audio_streams <> 1"),
+    ("technical", "resolution mismatch", "width <> want_width OR height <> want_height"),
+    ("technical", "frame rate mismatch", f"abs(fps - want_fps) > {FPS_TOLERANCE}D"),
+    ("technical", "duration mismatch", f"abs(duration_s - want_duration_s) > {DURATION_TOLERANCE_S}D"),
+    ("technical", "audio loudness metrics unavailable", "peak_db IS NULL OR mean_db IS NULL"),
+    ("technical", "audio peak above the policy", f"peak_db > {PEAK_MAX_DB}D"),
+    ("technical", "audio is effectively silent", f"mean_db < {MEAN_MIN_DB}D"),
+)
+RULE_SCHEMA = "contract string, position int, rule string, violated_when string"
+MOST_RULES = 1_000
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The built-in rules as a table (contract, position, rule, violated_when), to be stored and extended."""
+    return spark.createDataFrame([(c, n, rule, when) for n, (c, rule, when) in enumerate(RULES)], RULE_SCHEMA)
+
+
+def rules_of(contract: str, rules: DataFrame | None = None) -> list[tuple[str, Column]]:
+    """A contract's rules in order, parsed once: from a table of rules, else the built-in ones.
+
+    A table has at most ``MOST_RULES`` rows per contract, all of which the driver receives; a rule
+    that does not parse, or names an unknown column, fails when the contract is applied.
+    """
+    if rules is None:
+        return [(rule, F.expr(when)) for c, rule, when in RULES if c == contract]
+    rows = rules.filter(F.col("contract") == contract).orderBy("position", "rule").select("rule", "violated_when").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules for {contract!r}")
+    return [(r["rule"], F.expr(r["violated_when"])) for r in rows]
+
+
+def candidates_contract(flat: DataFrame, details: DataFrame, keys: Sequence[str], rules: DataFrame | None = None) -> DataFrame:
     """Flat list and detail list of candidates must agree, ids be unique, ranges consistent.
 
     ``flat``: key, id; ``details``: key, id, start_s, end_s, duration_s.
@@ -41,14 +99,10 @@ def candidates_contract(flat: DataFrame, details: DataFrame, keys: Sequence[str]
         F.bool_or(F.col("end_s") < F.col("start_s")).alias("_reversed"),
     )
     both = listed.join(full, by, "full_outer")
-    return violations(both, by, [
-        ("id listed twice", F.col("_flat") > 1), ("id detailed twice", F.col("_detail") > 1),
-        ("listed without detail", F.col("_detail").isNull()), ("detail not listed", F.col("_flat").isNull()),
-        ("range and duration differ", F.col("_range")), ("range is reversed", F.col("_reversed")),
-    ])
+    return violations(both, by, rules_of("candidates", rules))
 
 
-def groups_contract(members: DataFrame, bindings: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+def groups_contract(members: DataFrame, bindings: DataFrame, by: Sequence[str], order: str, rules: DataFrame | None = None) -> DataFrame:
     """Groups of takes: known members, one per segment, the last kept, confidence in its band.
 
     ``members``: group key, segment, id, order, kept (null when uncertain), confidence, status;
@@ -69,16 +123,7 @@ def groups_contract(members: DataFrame, bindings: DataFrame, by: Sequence[str],
         F.max("_kept_at").alias("_kept_at"), F.max("_last").alias("_last"), F.min("_low").alias("_low"),
         F.max("_status").alias("_status"), F.sum("_actionable").alias("_actionable"),
     )
-    sure = F.col("_status") == "recommended"
-    return violations(groups, by, [
-        ("member is not bound", F.col("_ghosts") > 0),
-        ("two members in one segment", F.col("_in_segment") > 1),
-        ("exactly one member must be kept", sure & (F.col("_kept") != 1)),
-        ("kept member is not the last", sure & (F.col("_kept_at") != F.col("_last"))),
-        ("confidence outside its band", F.when(sure, F.col("_low") < RECOMMENDED).otherwise(
-            (F.col("_low") < SIMILAR) | (F.col("_low") >= RECOMMENDED))),
-        ("uncertain group is actionable", ~sure & (F.col("_actionable") > 0)),
-    ])
+    return violations(groups, by, rules_of("groups", rules))
 
 
 def report_contract(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -95,39 +140,21 @@ def report_contract(reports: DataFrame, keys: Sequence[str]) -> DataFrame:
     ])
 
 
-def render_policy(renders: DataFrame, styles: DataFrame, keys: Sequence[str], style: str = "style") -> DataFrame:
+def render_policy(
+    renders: DataFrame, styles: DataFrame, keys: Sequence[str], style: str = "style", rules: DataFrame | None = None
+) -> DataFrame:
     """Captions and overlays of a render against its style.
 
     ``styles``: style, alignment, color, font_class, min_font_px, max_font_px; renders carry
     caption_*, centre_drift, title_px, title_top, caption_top, overlay_mode, copy_leaks.
     """
     joined = lookup_join(renders, styles, [style], "left")
-    return violations(joined, keys, [
-        ("unknown style", F.col("alignment").isNull()),
-        ("caption size outside the style", ~F.col("caption_px").between(F.col("min_font_px"), F.col("max_font_px"))),
-        ("caption alignment", F.col("caption_alignment") != F.col("alignment")),
-        ("caption colour", F.upper("caption_color") != F.upper("color")),
-        ("caption font class", F.col("caption_class") != F.col("font_class")),
-        ("caption centre drifts", F.abs("centre_drift") > CENTRE_DRIFT_MAX),
-        ("title is not larger than captions", F.col("title_px") <= F.col("caption_px")),
-        ("title is not below the face", F.col("title_top") < F.col("caption_top")),
-        ("overlay replaces the picture", F.col("overlay_mode") != "overlay"),
-        ("director copy on screen", F.col("copy_leaks") > 0),
-    ])
+    return violations(joined, keys, rules_of("render", rules))
 
 
-def technical_rules(probes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def technical_rules(probes: DataFrame, keys: Sequence[str], rules: DataFrame | None = None) -> DataFrame:
     """Stream counts, size, frame rate, duration and level of a probe table."""
-    return violations(probes, keys, [
-        ("expected exactly one video stream", F.col("video_streams") != 1),
-        ("expected exactly one audio stream", F.col("audio_streams") != 1),
-        ("resolution mismatch", (F.col("width") != F.col("want_width")) | (F.col("height") != F.col("want_height"))),
-        ("frame rate mismatch", F.abs(F.col("fps") - F.col("want_fps")) > FPS_TOLERANCE),
-        ("duration mismatch", F.abs(F.col("duration_s") - F.col("want_duration_s")) > DURATION_TOLERANCE_S),
-        ("audio loudness metrics unavailable", F.col("peak_db").isNull() | F.col("mean_db").isNull()),
-        ("audio peak above the policy", F.col("peak_db") > PEAK_MAX_DB),
-        ("audio is effectively silent", F.col("mean_db") < MEAN_MIN_DB),
-    ])
+    return violations(probes, keys, rules_of("technical", rules))
 
 
 def style_defaults(wanted: DataFrame, styles: DataFrame, fields: Sequence[str], style: str = "style", default: str = "default") -> DataFrame:
