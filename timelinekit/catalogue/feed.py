@@ -222,3 +222,14 @@ def _(spark, sf):
 def _(spark, sf):
     h1 = F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1)
     return table(spark, sf, "pages").select("page_id", tx.clean_html(h1).alias("title"))
+
+
+@_q("strip_aggregator_suffix", r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(title, '\s+-\s+[^-]{2,40}$', '') ELSE title END AS title FROM (
+  SELECT doc_id, split_part(text, chr(10), 1) || CASE WHEN doc_id % 3 = 0 THEN ' - ' || source || ' News' WHEN doc_id % 3 = 1 THEN '  -  a-b' ELSE '' END AS title FROM documents)""")
+def _(spark, sf):
+    """Every document's title; half come through an aggregator, some of them with a source behind."""
+    docs = table(spark, sf, "documents")
+    suffix = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" - "), "source", F.lit(" News"))).when(F.col("doc_id") % 3 == 1, F.lit("  -  a-b")).otherwise(F.lit(""))
+    title = F.concat(F.split_part("text", F.lit("\n"), F.lit(1)), suffix)
+    url = F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit(f"https://{tx.AGGREGATOR_HOST}/rss/")).otherwise(F.lit("https://example.com/")), F.col("doc_id").cast("string"))
+    return docs.select("doc_id", tx.strip_aggregator_suffix(title, url).alias("title"))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from timelinekit.catalogue.editorial import STARTS
-from timelinekit.catalogue.editorial import TREE
-from timelinekit.catalogue.editorial import TREE_DIGEST
-from timelinekit.catalogue.standins import UTTERANCES, table, utterances
+from timelinekit.catalogue.editorial import STARTS, TREE, TREE_DIGEST
+from timelinekit.catalogue.standins import UTTERANCES, WORDS, table, utterances, words
 from timelinekit.operators import contracts as ct
 from timelinekit.operators import decisions as dc
 from timelinekit.operators import editorial as ed
@@ -416,3 +414,35 @@ def _(spark, sf):
         "CASE WHEN p_size % 14 = 0 THEN cast(array() AS array<string>) ELSE array(p_type) END AS situations", "array('x') AS anti_situations", "CASE WHEN p_size % 10 <> 0 THEN p_name END AS look", "'c' AS compositor",
     )
     return ct.recipe_contract(recipes)
+
+
+@_q("recipe_search_text", """SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN p_name ELSE lower(p_name || ' ' || p_type || ' ' || p_brand || ' #' || p_size) END AS search_text FROM part""")
+def _(spark, sf):
+    recipes = table(spark, sf, "part").selectExpr(
+        "p_partkey AS id", "p_name AS title", "p_type AS what_happens", "array(p_brand, concat('#', p_size)) AS tags", "CASE WHEN p_size % 4 = 0 THEN p_name END AS search_text"
+    )
+    return ct.recipe_search_text(recipes, ["title", "what_happens"], ["tags"]).select("id", "search_text")
+
+
+@_q("library_revision", f"""SELECT CAST(7 + CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS INTEGER) AS revision FROM (SELECT md5(p_name || p_type) AS h, {_RIGHTS.format('p_size')} AS rights FROM part)
+WHERE rights <> 'unknown' AND h NOT IN (SELECT md5(p_name || p_type) FROM part WHERE p_brand = 'Brand#2' AND p_size < 10)""")
+def _(spark, sf):
+    part = table(spark, sf, "part")
+    rights = F.element_at(F.array(*[F.lit(r) for r in ("owned", "licensed", "generated", "unknown")]), (F.col("p_size") % 4 + 1).cast("int"))
+    content = F.md5(F.concat("p_name", "p_type")).alias("sha256")
+    new = part.select(content, F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"), rights.alias("rights"))
+    return ln.library_ingest(new, part.filter("p_brand = 'Brand#2' AND p_size < 10").select(content), 7)[1]
+
+
+# "de la" stands in for the brand said as two words; every fiftieth word is rewritten by hand.
+_SPOKEN = f"""(SELECT *, CASE WHEN (k + pos) % 50 = 0 THEN 'Neu ' || text END AS rewrite FROM {WORDS} w)"""
+
+
+@_q("overlay_corrections", f"""SELECT k, word_id, CASE WHEN opens THEN 'DE LA' WHEN rewrite IS NOT NULL THEN rewrite ELSE replace(replace(lower(text), 'ß', 'ss'), 'ё', 'е') END AS caption,
+  start_s, CASE WHEN opens THEN next_end ELSE end_s END AS end_s FROM (
+  SELECT *, fold = 'de' AND coalesce(starts_with(lead(fold) OVER w, 'la'), false) AS opens, starts_with(fold, 'la') AND coalesce(lag(fold) OVER w, '') = 'de' AS closes, lead(end_s) OVER w AS next_end
+  FROM (SELECT *, replace(lower(coalesce(rewrite, text)), 'ё', 'е') AS fold FROM {_SPOKEN} s) WINDOW w AS (PARTITION BY k ORDER BY pos)) WHERE NOT closes""")
+def _(spark, sf):
+    said = words(spark, sf)
+    rewrites = said.filter("(k + pos) % 50 = 0").select("k", "word_id", F.concat(F.lit("Neu "), "text").alias("rewrite"))
+    return dc.overlay_corrections(said, rewrites, KeyLayout.measure(said, ["k"], "pos"), ["pos"], ("de", "la", "DE LA"))
