@@ -8,7 +8,12 @@ Luhn, number of digits, mod-97) and words nearby move the score of the rest. ``e
 Positions come from the text itself: splitting at the matches gives the gaps, so lengths of gaps
 and matches add up to the places, in code points. Patterns start at the left end of a run of
 their first characters or where the last match ended, which changes no match and keeps the time
-linear in the length of a run; repetitions are possessive, which keeps the stack flat.
+linear in the length of a run; repetitions are possessive, which keeps the stack flat. Matches are
+folded in short lists whose results are joined, and what stands around a match is read from pieces
+of ``PIECE`` characters, so time grows with the matches of a text and not with their square.
+
+Context: words that tell of a kind raise the score of a span within ``CONTEXT`` characters, words
+that tell of other numbers or of made-up data lower it. Added spans below ``THRESHOLD`` are dropped.
 
 Defined cases: a null text counts as empty; texts without spans give zeros, empty strings and the
 hash of the empty string; equal rows stay equal rows; a null doc_id keeps its row; other columns
@@ -17,6 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +36,11 @@ CONTEXT = 40
 THRESHOLD = 0.5
 # more than the characters and blanks of any account number
 LONGEST = 80
+# texts are read in pieces of this length around a match; more than LONGEST and CONTEXT
+PIECE = 256
+# matches of a text that are folded together
+LIST = 256
+LOWER_BY = 0.3
 
 
 @dataclass(frozen=True)
@@ -37,8 +48,8 @@ class Kind:
     name: str
     pattern: str
     score: float
-    near: str = ""
-    raise_by: float = 0.0
+    near: str
+    raise_by: float = 0.1
     # where ``pattern`` is the start of a span only: the whole span from there, tried at every start
     whole: str = ""
 
@@ -69,15 +80,18 @@ def _iban() -> str:
     return f"^(?:{known}|(?!{'|'.join(IBAN_LENGTHS)})[A-Z]{{2}}{rest('11,30')})(?![A-Za-z0-9])"
 
 
-# fixed values: shapes, first scores and telling words of each kind
+# fixed values: shapes, first scores and telling words of each kind, in English, German, French and Spanish
+CALL_WORDS = r"(?iu)\b(?:phone|tel|telephone|call|mobile|cell|fax|telefon|handy|anruf|téléphone|appelez|teléfono|llame|móvil)\b"
+OTHER_WORDS = r"(?iu)\b(?:example|sample|dummy|isbn|issn|serial|version|part number|tracking|beispiel|muster|exemple|ejemplo)\b"
 KINDS = (
-    Kind("email", _from_run("[A-Za-z0-9._%+-]") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9),
-    Kind("ip", _from_run("[0-9]") + r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", 0.8),
-    Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", 0.9),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7),
-    Kind("iban", IBAN_START, 0.9, whole=_iban()),
+    Kind("email", _from_run("[A-Za-z0-9._%+-]") + r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9,
+         r"(?iu)\b(?:e-?mail|mail|contact|write to|kontakt|courriel|correo)\b"),
+    Kind("ip", _from_run("[0-9]") + r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", 0.8, r"(?iu)\b(?:ip|address|host|server|login|adresse|dirección)\b"),
+    Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", 0.9, r"(?iu)\b(?:card|credit|debit|visa|mastercard|amex|karte|carte|tarjeta)\b"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, CALL_WORDS),
+    Kind("iban", IBAN_START, 0.9, r"(?iu)\b(?:iban|account|bank|konto|compte|cuenta)\b", whole=_iban()),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"(?i)\b(?:ssn|social security|tax id|id number)\b", 0.4),
-    Kind("local_phone", r"(?<![0-9+)-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])", 0.3, r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax)\b", 0.4),
+    Kind("local_phone", r"(?<![0-9+)-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])", 0.3, CALL_WORDS, 0.4),
 )
 
 
@@ -132,49 +146,104 @@ def valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _completed(kind: Kind, start: Column, text: Column) -> Column:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where a lambda inside refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _gather(items: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """Numbers gathered by a fold from the left: ``step(state, item)`` gives the next state (a number,
+    0 at first), a number and whether it counts.
+
+    A fold copies its state in every step, so lists of ``LIST`` items are folded on their own and
+    their results joined: few copies of short arrays of numbers instead of one of all for each item.
+    """
+    state = lambda at, rows: F.struct(at.alias("at"), rows.alias("rows"))
+    none = F.array().cast("array<int>")
+
+    def one(acc: Column, item: Column) -> Column:
+        after, row, counts = step(acc["at"], item)
+        return state(after, F.when(counts, F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]))
+
+    def some(acc: Column, part: Column) -> Column:
+        return _let(F.aggregate(part, state(acc["at"], none), one), lambda end: state(end["at"], F.concat(acc["rows"], end["rows"])))
+
+    def all_(whole: Column) -> Column:
+        last = F.greatest(F.floor((F.size(whole) - 1) / LIST), F.lit(0)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * LIST + 1, F.lit(LIST)))
+        return F.aggregate(parts, state(F.lit(0), none), some)["rows"]
+
+    return _let(items, all_)
+
+
+def _part(pieces: Column, start: Column, length: Column) -> Column:
+    """Up to ``PIECE`` characters of a text from a place (from 0), found in the two pieces that may hold them."""
+    at = F.floor(start / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+    return F.substring(two, start - at * PIECE + 1, length)
+
+
+def _completed(kind: Kind, start: Column, pieces: Column) -> Column:
     """The span of ``kind.whole`` at a start, with an empty match where there is none."""
-    match = F.regexp_extract(F.substring(text, start + 1, F.lit(LONGEST)), kind.whole, 0)
+    match = F.regexp_extract(_part(pieces, start, F.lit(LONGEST)), kind.whole, 0)
     return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), match.alias("match"))
 
 
 def _apart(spans: Column) -> Column:
     """Spans in order without those that begin inside an earlier one."""
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    clear = lambda kept, s: (F.size(kept) == 0) | (F.element_at(kept, -1)["end"] <= s["start"])
-    return F.aggregate(spans, none, lambda kept, s: F.when(clear(kept, s), F.concat(kept, F.array(s))).otherwise(kept))
+
+    def step(end: Column, span: Column) -> tuple[Column, Column, Column]:
+        clear = end <= span["start"]
+        return F.when(clear, span["end"]).otherwise(end), span["i"], clear
+
+    def chosen(found: Column) -> Column:
+        numbered = F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
+        return F.transform(_gather(numbered, step), lambda i: F.get(found, i))
+
+    return _let(spans, chosen)
+
+
+def _located(kind: Kind, text: Column) -> Column:
+    """Array of (start, end, match) of every match of the kind's pattern."""
+
+    def step(at: Column, pair: Column) -> tuple[Column, Column, Column]:
+        start = at + pair["gap"]
+        return start + pair["match"], start, F.lit(True)
+
+    def placed(matches: Column) -> Column:
+        lengths = F.zip_with(matches, F.split(text, kind.pattern, -1), lambda m, g: F.struct(F.length(m).alias("match"), F.length(g).alias("gap")))
+        starts = _gather(F.filter(lengths, lambda p: p["match"].isNotNull()), step)
+        return F.zip_with(matches, starts, lambda m, at: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("match")))
+
+    return _let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), placed)
 
 
 def spans_of(kind: Kind, order: int, text: Column) -> Column:
     """Array of (start, kind_order, end, kind, score): the confirmed spans of one kind."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-
-    def place(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        row = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(row)).alias("found"))
-
-    pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
-    found = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), begin, place)["found"]
-    if kind.whole:
-        found = F.transform(found, lambda s: _completed(kind, s["start"], text))
-    confirmed = F.filter(found, lambda s: valid(kind.name, s["match"]))
-    if kind.whole:
-        confirmed = _apart(confirmed)
-
-    def scored(s: Column) -> Column:
-        score = F.lit(kind.score)
-        if kind.near:
-            before = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
-            after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-            score = score + F.when(F.concat_ws(" ", before, after).rlike(kind.near), kind.raise_by).otherwise(0.0)
-        return F.struct(s["start"].alias("start"), F.lit(order).alias("kind_order"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
-
-    out = F.transform(confirmed, scored)
-    out = out if kind.name in BASE_KINDS else F.filter(out, lambda s: s["score"] >= THRESHOLD)
+
+    def scored(span: Column, pieces: Column) -> Column:
+        before = _part(pieces, F.greatest(span["start"] - CONTEXT, F.lit(0)), F.least(span["start"], F.lit(CONTEXT)))
+        around = F.concat_ws(" ", before, _part(pieces, span["end"], F.lit(CONTEXT)))
+
+        def score(near: Column) -> Column:
+            up = F.when(near.rlike(kind.near), kind.raise_by).otherwise(0.0)
+            down = F.when(near.rlike(OTHER_WORDS), LOWER_BY).otherwise(0.0)
+            return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.score) + up - down))
+
+        return F.struct(
+            span["start"].alias("start"), F.lit(order).alias("kind_order"), span["end"].alias("end"),
+            F.lit(kind.name).alias("kind"), _let(around, score).alias("score"),
+        )
+
+    def confirmed(pieces: Column) -> Column:
+        found = _located(kind, text)
+        if kind.whole:
+            found = F.transform(found, lambda s: _completed(kind, s["start"], pieces))
+        right = F.filter(found, lambda s: valid(kind.name, s["match"]))
+        out = F.transform(_apart(right) if kind.whole else right, lambda s: scored(s, pieces))
+        return out if kind.name in BASE_KINDS else F.filter(out, lambda s: s["score"] >= THRESHOLD)
+
+    out = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), confirmed)
     empty = F.array().cast("array<struct<start:int,kind_order:int,end:int,kind:string,score:double>>")
     # most texts hold no match, and need none of the above
     return F.when(text.rlike(kind.pattern), out).otherwise(empty)
