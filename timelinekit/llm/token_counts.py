@@ -7,17 +7,21 @@ with a common prefix share it: distinct pre-tokens are inserted in a trie, each
 forward score once, and the node where a pre-token ends stores its number of tokens.
 
 A task holds the trie of its own partition: texts are read once, nothing is shuffled, and a trie
-that reaches ``MAX_NODES`` is begun anew, which bounds memory and changes no count.
+that reaches ``MAX_NODES`` is begun anew, also inside a text, which bounds memory and changes no
+count. A pre-token of more than ``LONG_WORD`` characters (a text without blanks) shares its first
+``LONG_WORD`` places with others; behind them the same recurrence keeps the scores of as many places
+as the longest piece has, whatever the length.
 
 Scores follow from the vocabulary's order: the piece of rank r has log probability -ln(r + 2)
 up to a constant (Zipf's rule); a character no piece covers costs one token per UTF-8 byte.
-Defined cases: null and blank texts have zero tokens; a null or repeated doc_id keeps its row; an
+Defined cases: null and blank texts have zero tokens; very long texts and pre-tokens are counted whole; a null or repeated doc_id keeps its row; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -28,6 +32,7 @@ from timelinekit.llm.common import map_batches
 
 WORD_START = "▁"
 MAX_NODES = 1_500_000
+LONG_WORD = 4_096
 BYTE_PENALTY = 4.0
 
 
@@ -43,8 +48,8 @@ def piece_scores(model_path: str) -> dict[str, float]:
 class Trie:
     """Distinct pre-tokens; a node is an index into flat lists."""
 
-    def __init__(self, scores: dict[str, float]):
-        self.scores = scores
+    def __init__(self, scores: dict[str, float], max_nodes: int = MAX_NODES, long_word: int = LONG_WORD):
+        self.scores, self.max_nodes, self.long_word = scores, max_nodes, long_word
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - BYTE_PENALTY
         # suffixes worth trying end with the node's character; most characters end only short pieces
@@ -66,23 +71,16 @@ class Trie:
         return self.insert(word) if known is None else known
 
     def insert(self, word: str) -> int:
+        if len(self.best) > self.max_nodes:
+            self.reset()
         text = WORD_START + word
         path, node = [0], 0
-        children, best, tokens, scores = self.children, self.best, self.tokens, self.scores
-        for end, char in enumerate(text, 1):
+        children, best, tokens = self.children, self.best, self.tokens
+        for end, char in enumerate(text[: self.long_word], 1):
             child = children[node].get(char)
             if child is None:
                 back = path[-1]
-                top, used = best[back] + self.unknown * len(char.encode()), tokens[back] + len(char.encode())
-                for n in self.lengths.get(char, ()):
-                    if n > end:
-                        break
-                    score = scores.get(text[end - n : end])
-                    if score is not None:
-                        at = path[end - n]
-                        total = best[at] + score
-                        if total > top or total == top and tokens[at] + 1 < used:
-                            top, used = total, tokens[at] + 1
+                top, used = self._step(text, end, best[back], tokens[back], lambda n: (best[path[end - n]], tokens[path[end - n]]))
                 child = len(best)
                 children[node][char] = child
                 children.append({})
@@ -90,9 +88,33 @@ class Trie:
                 tokens.append(used)
             path.append(child)
             node = child
+        if len(text) > self.long_word:
+            return self._run_on(text, [(best[n], tokens[n]) for n in path[-self.longest :]])
         self.terminal[word] = tokens[node]
         return tokens[node]
 
+    def _step(self, text: str, end: int, before: float, used_before: int, at: Callable[[int], tuple[float, int]]) -> tuple[float, int]:
+        """Best score and tokens of the first ``end`` characters; ``at(n)`` are those ``n`` characters earlier."""
+        size = len(text[end - 1].encode())
+        top, used = before + self.unknown * size, used_before + size
+        for n in self.lengths.get(text[end - 1], ()):
+            if n > end:
+                break
+            score = self.scores.get(text[end - n : end])
+            if score is not None:
+                earlier, count = at(n)
+                total = earlier + score
+                if total > top or total == top and count + 1 < used:
+                    top, used = total, count + 1
+        return top, used
+
+    def _run_on(self, text: str, recent: list[tuple[float, int]]) -> int:
+        """Tokens of a long pre-token from the scores at its last places in the trie, which are not kept."""
+        places = deque(recent, maxlen=self.longest)
+        for end in range(self.long_word + 1, len(text) + 1):
+            places.append(self._step(text, end, *places[-1], lambda n: places[-n]))
+        return places[-1][1]
+
 
 def _count(batches, scores):
     trie = Trie(scores.value)
@@ -100,8 +122,6 @@ def _count(batches, scores):
         totals, pretokens = [], []
         for text in batch["text"].to_pylist():
             words = Counter((text or "").split())
-            if len(trie.best) > MAX_NODES:
-                trie.reset()
             totals.append(sum(n * trie.count(w) for w, n in words.items()))
             pretokens.append(sum(words.values()))
         yield {"doc_id": batch["doc_id"], "n_pretokens": pretokens, "n_tokens": totals}
