@@ -181,6 +181,41 @@ def _(spark, sf):
     return ms.stable_runs(rows, _layout(rows), ["t", "id"], "y", 15.0, HOUR)
 
 
+@_q("insert_profile", f"""WITH v AS (SELECT k, id, t, CASE WHEN event_type <> 'error' THEN value END AS y FROM {SERIES} s),
+f AS (SELECT *, sum(CASE WHEN abs(y - p) <= 15 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY t, id) AS run
+  FROM (SELECT *, lag(y) OVER (PARTITION BY k ORDER BY t, id) AS p FROM v)),
+r AS (SELECT k, max(t) - min(t) AS len, quantile_cont(y, 0.5) AS level FROM f WHERE y IS NOT NULL GROUP BY k, run HAVING count(*) >= 2 AND max(t) - min(t) >= 3600),
+p AS (SELECT k, count(*) AS inserts, sum(len) AS covered, quantile_cont(len, 0.5) AS m, quantile_cont(level, 0.5) AS l FROM r GROUP BY k)
+SELECT e.k, coalesce(inserts, 0) AS inserts, round_even(coalesce(covered, 0) / last, 4) AS share, round_even(m, 4) AS length_s, round_even(l, 4) AS level
+FROM (SELECT k, max(t) AS last FROM {SERIES} s GROUP BY k) e LEFT JOIN p ON e.k = p.k""")
+def _(spark, sf):
+    rows = series(spark, sf).withColumn("y", F.when(F.col("event_type") != "error", F.col("value")))
+    return ms.insert_profile(rows, _layout(rows), ["t", "id"], "y", 15.0, HOUR)
+
+
+@_q("shot_summary", f"""SELECT k, count(*) AS shots, round_even(quantile_cont(length_s, 0.5), 4) AS median_s, round_even(avg(CAST(length_s < 90000 AS DOUBLE)), 4) AS short_share,
+  round_even(max(end_s) / greatest(1, count(*) - 1), 4) AS cut_every_s FROM {_SHOT_LENGTHS} s GROUP BY k""")
+def _(spark, sf):
+    rows = series(spark, sf)
+    layout = _layout(rows)
+    ends = rows.groupBy("k").agg(F.max("t").alias("end_s"))
+    return ms.shot_summary(ms.shot_lengths(_cuts(spark, sf, rows, layout), ends, layout, "t"), ["k"], 25 * HOUR)
+
+
+@_q("step_summary", f"""WITH c AS (SELECT *, CASE WHEN abs(change_pct) > 8 THEN 'step' WHEN abs(change_pct) > 0.8 THEN 'smooth' END AS kind FROM (
+    SELECT *, (value - was) / was * 100 AS change_pct FROM (SELECT *, lag(value) OVER (PARTITION BY k ORDER BY t, id) AS was FROM {SERIES} s))),
+i AS (SELECT *, t - lag(t) OVER (PARTITION BY k, kind ORDER BY t, id) AS gap FROM c WHERE kind IS NOT NULL)
+SELECT k, count(*) FILTER (kind = 'step') AS steps, count(*) FILTER (kind = 'step' AND change_pct > 0) AS ups, count(*) FILTER (kind = 'step' AND change_pct < 0) AS downs,
+  count(*) FILTER (kind = 'smooth') AS smooth, round_even(quantile_cont(gap, 0.5) FILTER (kind = 'step'), 4) AS interval_s,
+  round_even(quantile_cont(change_pct, 0.5) FILTER (kind = 'step' AND change_pct > 0), 4) AS up_pct, round_even(quantile_cont(change_pct, 0.5) FILTER (kind = 'step' AND change_pct < 0), 4) AS down_pct,
+  round_even(quantile_cont(abs(change_pct), 0.5) FILTER (kind = 'step'), 4) AS size_pct, round_even(quantile_cont(abs(change_pct), 0.5) FILTER (kind = 'smooth'), 4) AS smooth_pct
+FROM i GROUP BY k""")
+def _(spark, sf):
+    rows = series(spark, sf)
+    layout = _layout(rows)
+    return ms.step_summary(ms.scale_steps(rows, layout, ["t", "id"], "value"), layout, ["t", "id"])
+
+
 @_q("row_clusters", """WITH h AS (SELECT source AS k, n_chars // 40 AS row_no, count(*) AS hits FROM documents GROUP BY ALL),
 f AS (SELECT *, sum(CASE WHEN p IS NULL OR row_no - p > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY row_no) AS run
   FROM (SELECT *, lag(row_no) OVER (PARTITION BY k ORDER BY row_no) AS p FROM h WHERE hits >= 1))

@@ -104,6 +104,44 @@ def _(spark, sf):
     return cm.proportional_split(parts, KeyLayout(("k",), "pos"), "pos").drop("text")
 
 
+# Splits at the first blank of a line; some lose a character, name a bad suffix or none, or an entry that is not there.
+_SPLITS = f"""(SELECT k, CASE WHEN pos % 17 = 16 THEN 'lost' || pos ELSE id END AS id, no AS part_no, CASE WHEN no = 1 AND b > 0 THEN left(text, b - 1) WHEN no = 1 THEN text
+    WHEN k % 5 = 0 THEN left(substr(text, b + 1), length(text) - b - 1) ELSE substr(text, b + 1) END AS text, CASE WHEN k % 7 = 0 THEN 'bad-' || no WHEN k % 3 = 0 THEN '' ELSE substr('ab', no, 1) END AS suffix
+  FROM (SELECT *, instr(text, ' ') AS b FROM {UTTERANCES} u), (VALUES (1), (2)) n(no) WHERE no = 1 OR b > 0)"""
+_BLANKS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
+_SPLIT_FAULTS = f"""(SELECT a.k, a.id, CASE WHEN u.id IS NULL THEN 'unknown entry' WHEN n < 2 THEN 'fewer than two parts' WHEN blank THEN 'empty part' WHEN bad THEN 'bad suffix'
+    WHEN joined <> regexp_replace(u.text, '{_BLANKS}', '', 'g') THEN 'parts differ from the text' END AS fault
+  FROM (SELECT k, id, count(*) AS n, bool_or(bare = '') AS blank, bool_or(k % 7 = 0) AS bad, string_agg(bare, '' ORDER BY part_no) AS joined
+    FROM (SELECT *, regexp_replace(text, '{_BLANKS}', '', 'g') AS bare FROM {_SPLITS} s) GROUP BY k, id) a LEFT JOIN {UTTERANCES} u ON a.k = u.k AND a.id = u.id)"""
+
+
+def _splits(spark, sf):
+    lines = utterances(spark, sf).withColumn("b", F.instr("text", " "))
+    parts = lines.withColumn("part_no", F.explode(F.when(F.col("b") > 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    text = F.expr("""CASE WHEN part_no = 1 AND b > 0 THEN left(text, b - 1) WHEN part_no = 1 THEN text
+        WHEN k % 5 = 0 THEN substr(text, b + 1, length(text) - b - 1) ELSE substr(text, b + 1) END""")
+    suffix = F.expr("CASE WHEN k % 7 = 0 THEN 'bad-' || part_no WHEN k % 3 = 0 THEN '' ELSE substr('ab', part_no, 1) END")
+    return parts.select("k", F.expr("CASE WHEN pos % 17 = 16 THEN 'lost' || pos ELSE id END").alias("id"), "part_no", text.alias("text"), suffix.alias("suffix"))
+
+
+@_q("split_faults", f"SELECT k, id, fault FROM {_SPLIT_FAULTS} f")
+def _(spark, sf):
+    return cm.split_faults(utterances(spark, sf), _splits(spark, sf), ["k"])
+
+
+@_q("apply_splits", f"""WITH ok AS (SELECT k, id FROM {_SPLIT_FAULTS} f WHERE fault IS NULL),
+p AS (SELECT s.k, s.id, part_no, suffix, u.start_s, u.end_s, regexp_replace(s.text, '^{_BLANKS}|{_BLANKS}$', '', 'g') AS text
+  FROM {_SPLITS} s JOIN ok ON s.k = ok.k AND s.id = ok.id JOIN {UTTERANCES} u ON s.k = u.k AND s.id = u.id),
+w AS (SELECT *, length(text) AS n, sum(length(text)) OVER (PARTITION BY k, id) AS tot FROM p)
+SELECT k, id || CASE WHEN suffix = '' THEN 'p' || part_no ELSE suffix END AS id, 'keep' AS kind, round_even(CASE part_no WHEN 1 THEN start_s ELSE start_s + (end_s - start_s) * (tot - n) / tot END, 6) AS start_s,
+  round_even(CASE part_no WHEN 2 THEN end_s ELSE start_s + (end_s - start_s) * n / tot END, 6) AS end_s, CASE part_no WHEN 1 THEN id ELSE '' END AS word_ids, text FROM w
+UNION ALL SELECT k, id, 'keep', start_s, end_s, id, text FROM {UTTERANCES} u WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.k = u.k AND ok.id = u.id)""")
+def _(spark, sf):
+    lines = utterances(spark, sf).withColumn("kind", F.lit("keep")).withColumn("word_ids", F.array("id")).withColumn("reason", F.lit(None).cast("string"))
+    out = cm.apply_splits(lines, _splits(spark, sf), ["k"])
+    return out.withColumn("word_ids", F.array_join("word_ids", " ")).drop("reason")
+
+
 _ANCHORED = f"(SELECT k, id, start_s AS a, end_s AS b, CASE WHEN pos % 3 = 0 THEN start_s + 1.5 END AS s0 FROM {UTTERANCES} u)"
 
 

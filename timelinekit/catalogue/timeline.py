@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timelinekit.catalogue.editorial import TOKENS_SQL
-from timelinekit.catalogue.standins import SERIES, SHOTS, UTTERANCES, WORDS, series, shots, utterances, words
+from timelinekit.catalogue.standins import SERIES, SHOTS, UTTERANCES, WORDS, series, shots, utterances, words, table
 from timelinekit.operators import pauses as pz
 from timelinekit.operators import timeline as tl
 from timelinekit.plans.layout import KeyLayout
@@ -322,6 +322,34 @@ def _(spark, sf):
     return tl.flag_spans(words(spark, sf), KeyLayout(("k",), "pos"), ["pos"], F.length("text") % 5 != 0)
 
 
+# Entries of twenty words: all stay, all go, or some go, in turn; and one entry per document that no word belongs to.
+_EDIT_WORDS = f"""(SELECT *, 'e' || (pos // 20) AS id, CASE WHEN pos % 11 > 0 THEN word_id END AS wid,
+  CASE (pos // 20) % 3 WHEN 0 THEN TRUE WHEN 1 THEN length(text) % 5 <> 0 ELSE FALSE END AS keep FROM {WORDS} w)"""
+
+
+@_q("edited_entries", f"""WITH r AS (SELECT *, sum(CASE WHEN pq IS NULL OR pq <> keep THEN 1 ELSE 0 END) OVER (PARTITION BY k, id ORDER BY pos) AS part
+  FROM (SELECT *, lag(keep) OVER (PARTITION BY k, id ORDER BY pos) AS pq FROM {_EDIT_WORDS} w)),
+p AS (SELECT k, id, part, bool_and(keep) AS keep, arg_min(start_s, pos) AS start_s, arg_max(end_s, pos) AS end_s, coalesce(string_agg(wid, ' ' ORDER BY pos), '') AS word_ids,
+  string_agg(text, ' ' ORDER BY pos) AS text, max(part) OVER (PARTITION BY k, id) AS parts FROM r GROUP BY k, id, part)
+SELECT k, id || 'x' || CAST(part AS BIGINT) AS id, CASE WHEN keep THEN 'keep' ELSE 'cut' END AS kind, start_s, end_s, word_ids, text, CASE WHEN NOT keep THEN 'edit' END AS reason FROM p WHERE parts > 1
+UNION ALL SELECT p.k, p.id, CASE WHEN keep THEN 'keep' ELSE 'cut' END, e.s, e.e, e.w, e.x, CASE WHEN NOT keep THEN 'edit' END
+  FROM p JOIN (SELECT k, id, min(start_s) AS s, max(end_s) + 0.5 AS e, min(word_id) AS w, max(text) AS x FROM {_EDIT_WORDS} w GROUP BY k, id) e ON p.k = e.k AND p.id = e.id WHERE parts = 1
+UNION ALL SELECT doc_id, 'none', 'cut', 0, 1, '', lang, 'old' FROM documents""")
+def _(spark, sf):
+    rows = words(spark, sf).withColumn("id", F.expr("'e' || (pos div 20)")).withColumn("wid", F.expr("CASE WHEN pos % 11 > 0 THEN word_id END"))
+    owned = rows.groupBy("k", "id").agg(
+        F.lit("keep").alias("kind"), F.min("start_s").alias("start_s"), (F.max("end_s") + 0.5).alias("end_s"),
+        F.array(F.min("word_id")).alias("word_ids"), F.max("text").alias("text"), F.lit("old").alias("reason"),
+    )
+    bare = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("k"), F.lit("none").alias("id"), F.lit("cut").alias("kind"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"),
+        F.array().cast("array<string>").alias("word_ids"), F.col("lang").alias("text"), F.lit("old").alias("reason"),
+    )
+    keep = F.expr("CASE (pos div 20) % 3 WHEN 0 THEN TRUE WHEN 1 THEN length(text) % 5 <> 0 ELSE FALSE END")
+    out = tl.edited_entries(owned.unionByName(bare), rows, KeyLayout(("k", "id"), "pos"), ["pos"], keep, "wid")
+    return out.withColumn("word_ids", F.array_join("word_ids", " "))
+
+
 @_q("sentences", f"""WITH s AS (SELECT *, coalesce(sum(CAST(regexp_matches(text, '[.!?…]+[\"»)]*$') AS INT)) OVER (PARTITION BY k ORDER BY pos
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS sentence FROM {WORDS} w)
 SELECT k, CAST(sentence AS BIGINT) AS sentence, min(pos) AS from_word, max(pos) AS to_word, min(start_s) AS start_s FROM s GROUP BY k, sentence""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timelinekit.functions.text import hash_uniform
@@ -13,6 +13,7 @@ from timelinekit.plans.layout import KeyLayout
 from timelinekit.plans.ordered import ordered_scan
 from timelinekit.plans.quantiles import upper_median
 from timelinekit.plans.thinning import thin
+from timelinekit.session import cut_lineage
 
 # ---- fixed values -------------------------------------------------------------------------
 ZOOM_SHARE, ZOOM_IN_SHARE = 0.70, 0.80
@@ -20,6 +21,8 @@ ZOOM_RATE_PCT_S, ZOOM_MAX_PCT = 2.5, 12.0
 STEP_PCT, STEP_MIN_PCT, STEP_MAX_PCT = 15.0, 9.0, 25.0
 CLOSER_SHARE = 0.35
 CADENCE_S, MAX_PER_SEGMENT = 30.0, 6
+PART_SUFFIX = "^[A-Za-z0-9]{1,8}$"
+BLANKS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 # -------------------------------------------------------------------------------------------
 
 
@@ -142,3 +145,48 @@ def proportional_split(parts: DataFrame, layout: KeyLayout, order: str, text: st
         *keys, order, text, F.bround(start, 6).alias("part_start_s"),
         F.bround(F.when(F.col("_after").isNull(), F.col("end_s")).otherwise(end), 6).alias("part_end_s"),
     )
+
+
+def split_faults(entries: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First fault of every asked split: (keys, id, fault), null where the parts may be used.
+
+    ``parts`` have id, part_no, text and suffix (null or empty: ``p`` and the number). Blanks aside, the parts
+    put together must be the entry's text. Parts of an entry are put together, an entry is one row.
+    """
+    compact = lambda text: F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
+    suffix = part_suffix()
+    asked = parts.groupBy(*keys, "id").agg(
+        F.count(F.lit(1)).alias("_n"), F.bool_or(compact(F.col("text")) == "").alias("_blank"), F.bool_or(~suffix.rlike(PART_SUFFIX)).alias("_suffix"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part_no", compact(F.col("text")).alias("t")))), lambda r: r["t"]), "").alias("_joined"),
+    )
+    known = entries.select(*keys, "id", compact(F.col("text")).alias("_text"), F.lit(True).alias("_known"))
+    fault = (
+        F.when(F.col("_known").isNull(), "unknown entry").when(F.col("_n") < 2, "fewer than two parts").when(F.col("_blank"), "empty part")
+        .when(F.col("_suffix"), "bad suffix").when(F.col("_joined") != F.col("_text"), "parts differ from the text")
+    )
+    return asked.join(known, [*keys, "id"], "left").select(*keys, "id", fault.alias("fault"))
+
+
+def part_suffix() -> Column:
+    given = F.trim(F.coalesce("suffix", F.lit("")))
+    return F.when(given == "", F.concat(F.lit("p"), F.col("part_no").cast("string"))).otherwise(given)
+
+
+def apply_splits(entries: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Entries with the asked splits applied; an entry whose split has a fault stays whole (see ``split_faults``).
+
+    Parts share the time by the length of their texts and are named by their suffix; word ids stay with the first.
+    """
+    ids = [*keys, "id"]
+    usable = cut_lineage(split_faults(entries, parts, keys).filter("fault IS NULL").select(*ids))
+    chosen = parts.join(usable, ids).withColumn("suffix", part_suffix()).withColumn("text", F.regexp_replace("text", f"^{BLANKS}|{BLANKS}$", ""))
+    spans = chosen.join(entries.select(*ids, "start_s", "end_s"), ids)
+    timed = proportional_split(spans, KeyLayout(tuple(ids), "part_no"), "part_no")
+    named = timed.drop("text").join(chosen.select(*ids, "part_no", "suffix", "text"), [*ids, "part_no"])
+    first = F.row_number().over(Window.partitionBy(*ids).orderBy("part_no")) == 1
+    cut = named.withColumn("_first", first).join(entries.select(*ids, "kind", "word_ids", "reason"), ids).select(
+        *keys, F.concat("id", "suffix").alias("id"), "kind", F.col("part_start_s").alias("start_s"), F.col("part_end_s").alias("end_s"),
+        F.when(F.col("_first"), F.col("word_ids")).otherwise(F.array().cast("array<string>")).alias("word_ids"), "text", "reason",
+    )
+    rest = entries.join(usable, ids, "left_anti")
+    return rest.select(*cut.columns).unionByName(cut)

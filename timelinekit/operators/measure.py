@@ -11,10 +11,12 @@ from timelinekit.plans.layout import KeyLayout, lookup_join
 from timelinekit.plans.ordered import islands, ordered_scan
 from timelinekit.plans.quantiles import exact_percentiles
 from timelinekit.plans.thinning import thin
+from timelinekit.session import cut_lineage
 
 # ---- fixed values -------------------------------------------------------------------------
 FRAMEDIFF_FLOOR, FRAMEDIFF_QUANTILE = 12.0, 0.97
 CUT_MERGE_S = 0.25
+SHORT_SHOT_S = 1.0
 CHANGE_IOU, CHANGE_MERGE_S = 0.35, 0.12
 STEP_PCT, SMOOTH_PCT = 8.0, 0.8
 RUN_TOLERANCE, RUN_MIN_S = 2.0, 1.5
@@ -129,6 +131,19 @@ def shot_lengths(cuts: DataFrame, ends: DataFrame, layout: KeyLayout, t: str) ->
     )
 
 
+def shot_summary(lengths: DataFrame, keys: Sequence[str], short: float = SHORT_SHOT_S) -> DataFrame:
+    """Per key: shots, their median length, the share of shots under ``short``, and seconds per cut."""
+    sums = lengths.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("shots"), F.avg((F.col("length_s") < short).cast("double")).alias("_short"),
+        F.max("end_s").alias("_end"),
+    )
+    middle = exact_percentiles(lengths, keys, "length_s", {"_m": 0.5}).drop("n")
+    return sums.join(middle, list(keys)).select(
+        *keys, "shots", F.bround("_m", 4).alias("median_s"), F.bround("_short", 4).alias("short_share"),
+        F.bround(F.col("_end") / F.greatest(F.lit(1), F.col("shots") - 1), 4).alias("cut_every_s"),
+    )
+
+
 def shot_zoom(
     samples: DataFrame, cuts: DataFrame, layout: KeyLayout, order: Sequence[str], scale: str, inliers: str,
     min_s: float = ZOOM_MIN_S,
@@ -167,6 +182,28 @@ def scale_steps(samples: DataFrame, layout: KeyLayout, order: Sequence[str], siz
     return moved.withColumn("kind", kind).filter("kind IS NOT NULL").drop("_was")
 
 
+def step_summary(steps: DataFrame, layout: KeyLayout, order: Sequence[str]) -> DataFrame:
+    """Per key with a step or smooth change: steps, ups and downs, medians of the interval between steps,
+    of the size of ups, downs and all steps, and the smooth changes with their median size."""
+    keys, t = list(layout.keys), order[0]
+    jumps = cut_lineage(ordered_scan(steps.filter("kind = 'step'"), layout, order, prev={"_was": t}).select(
+        *keys, "change_pct", (F.col(t) - F.col("_was")).alias("interval_s"), F.abs("change_pct").alias("size_pct"),
+    ))
+    counts = steps.groupBy(*keys).agg(
+        F.count_if(F.col("kind") == "step").alias("steps"), F.count_if((F.col("kind") == "step") & (F.col("change_pct") > 0)).alias("ups"),
+        F.count_if((F.col("kind") == "step") & (F.col("change_pct") < 0)).alias("downs"), F.count_if(F.col("kind") == "smooth").alias("smooth"),
+    )
+    smooth = steps.filter("kind = 'smooth'").select(*keys, F.abs("change_pct").alias("smooth_pct"))
+    medians = {
+        "interval_s": jumps.filter("interval_s IS NOT NULL"), "up_pct": jumps.filter("change_pct > 0").withColumnRenamed("change_pct", "up_pct"),
+        "down_pct": jumps.filter("change_pct < 0").withColumnRenamed("change_pct", "down_pct"), "size_pct": jumps, "smooth_pct": smooth,
+    }
+    for name, rows in medians.items():
+        middle = exact_percentiles(rows.select(*keys, name), keys, name, {"_m": 0.5})
+        counts = counts.join(middle.select(*keys, F.bround("_m", 4).alias(name)), keys, "left")
+    return counts
+
+
 def change_events(
     samples: DataFrame, layout: KeyLayout, order: Sequence[str], iou: str, area: str, merge_gap: float = CHANGE_MERGE_S
 ) -> DataFrame:
@@ -178,19 +215,52 @@ def change_events(
     ).drop("_next")
 
 
+def _level_runs(samples: DataFrame, layout: KeyLayout, order: Sequence[str], value: str, tolerance: float) -> DataFrame:
+    """Known values with the number of their run; a run ends where the value leaves the previous one's surroundings."""
+    near = F.abs(F.col(value) - F.col("_was")) <= tolerance
+    runs = islands(samples, layout, order, ~F.coalesce(near, F.lit(False)), prev={"_was": value}, out="_run")
+    return runs.filter(F.col(value).isNotNull())
+
+
+def _long_runs(known: DataFrame, layout: KeyLayout, t: str, value: str, minimum: float) -> DataFrame:
+    spans = known.groupBy(*layout.keys, "_run").agg(
+        F.min(t).alias("start_s"), F.max(t).alias("end_s"), F.count(F.lit(1)).alias("samples"),
+        F.min(value).alias("low"), F.max(value).alias("high"),
+    )
+    return spans.filter((F.col("samples") >= 2) & (F.col("end_s") - F.col("start_s") >= minimum))
+
+
 def stable_runs(
     samples: DataFrame, layout: KeyLayout, order: Sequence[str], value: str, tolerance: float = RUN_TOLERANCE,
     minimum: float = RUN_MIN_S,
 ) -> DataFrame:
     """Runs of known values that stay near the previous one; at least two samples and long enough."""
-    near = F.abs(F.col(value) - F.col("_was")) <= tolerance
-    runs = islands(samples, layout, order, ~F.coalesce(near, F.lit(False)), prev={"_was": value}, out="_run")
-    known = runs.filter(F.col(value).isNotNull())
-    spans = known.groupBy(*layout.keys, "_run").agg(
-        F.min(order[0]).alias("start_s"), F.max(order[0]).alias("end_s"), F.count(F.lit(1)).alias("samples"),
-        F.min(value).alias("low"), F.max(value).alias("high"),
+    return _long_runs(_level_runs(samples, layout, order, value, tolerance), layout, order[0], value, minimum).drop("_run")
+
+
+def insert_profile(
+    samples: DataFrame, layout: KeyLayout, order: Sequence[str], value: str, tolerance: float = RUN_TOLERANCE,
+    minimum: float = RUN_MIN_S,
+) -> DataFrame:
+    """Per key: number of stable runs, their share of the running time (up to the last sample), the
+    median of their lengths and of their median levels. Keys without a run have share 0 and null medians."""
+    keys, t = list(layout.keys), order[0]
+    known = cut_lineage(_level_runs(samples, layout, order, value, tolerance).select(*keys, "_run", t, value))
+    runs = cut_lineage(_long_runs(known, layout, t, value, minimum).withColumn("length_s", F.col("end_s") - F.col("start_s")))
+    inside = known.join(runs.select(*keys, "_run"), [*keys, "_run"], "left_semi")
+    levels = exact_percentiles(inside, [*keys, "_run"], value, {"level": 0.5})
+    per_key = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("inserts"), F.sum("length_s").alias("_covered"))
+    ends = samples.groupBy(*keys).agg(F.max(t).alias("_end"))
+    return (
+        ends.join(per_key, keys, "left")
+        .join(exact_percentiles(runs, keys, "length_s", {"_length": 0.5}).drop("n"), keys, "left")
+        .join(exact_percentiles(levels, keys, "level", {"_level": 0.5}).drop("n"), keys, "left")
+        .select(
+            *keys, F.coalesce("inserts", F.lit(0)).alias("inserts"),
+            F.bround(F.try_divide(F.coalesce("_covered", F.lit(0.0)), F.col("_end")), 4).alias("share"),
+            F.bround("_length", 4).alias("length_s"), F.bround("_level", 4).alias("level"),
+        )
     )
-    return spans.filter((F.col("samples") >= 2) & (F.col("end_s") - F.col("start_s") >= minimum)).drop("_run")
 
 
 def row_clusters(

@@ -19,6 +19,7 @@ MIN_GAP_S = 0.45
 MAX_GAPS = 4
 FRAME_GUARD_S = 0.05
 KEEP_JOIN_GAP_S = 1.5
+EDIT_REASON = "edit"
 SENTENCE_END = r"[.!?…]+[\"»)]*$"
 OVERLAY_MIN_S, OVERLAY_DEFAULT_S, OVERLAY_MAX_S = 1.8, 3.0, 4.5
 # -------------------------------------------------------------------------------------------
@@ -216,6 +217,41 @@ def flag_spans(
     return layout.join_per_key(spans, totals)
 
 
+def edited_entries(
+    entries: DataFrame, words: DataFrame, layout: KeyLayout, order: Sequence[str], keep: Column, word_id: str, reason: str = EDIT_REASON
+) -> DataFrame:
+    """Entries after words were struck out (``keep`` false); ``layout`` is keyed by collection and ``id``.
+
+    An entry without words stays as it is; one whose words all stay becomes a whole KEEP, one that
+    lost them all a whole CUT, each with its own times and text. Any other is cut where the flag
+    changes into parts ``x1``, ``x2``... with times, text and ``word_ids`` of their own words (words
+    without an id give none). Words of an entry are put together per run; an entry is one input row.
+    """
+    keys = list(layout.keys)
+    runs = islands(words.withColumn("_keep", keep), layout, order, F.col("_was") != F.col("_keep"), prev={"_was": "_keep"}, out="part")
+    place = F.struct(*order)
+    rows = F.sort_array(F.collect_list(F.struct(*order, F.col("text").alias("_said"), F.col(word_id).cast("string").alias("_wid"))))
+    spans = cut_lineage(runs.groupBy(*keys, "part").agg(
+        F.bool_and("_keep").alias("_keep"), F.min_by("start_s", place).alias("_from"), F.max_by("end_s", place).alias("_to"), rows.alias("_rows"),
+    ))
+    totals = spans.groupBy(*keys).agg(F.max("part").alias("_parts"), F.bool_and("_keep").alias("_all"))
+    judged = entries.join(totals, keys, "left")
+    kind = lambda kept: F.when(kept, "keep").otherwise("cut")
+    why = lambda kept: F.when(~kept, F.lit(reason))
+    touched = F.col("_parts").isNotNull()
+    whole = judged.filter(F.coalesce(F.col("_parts"), F.lit(1)) == 1).select(
+        *keys, F.when(touched, kind(F.col("_all"))).otherwise(F.col("kind")).alias("kind"), "start_s", "end_s", "word_ids", "text",
+        F.when(touched, why(F.col("_all"))).otherwise(F.col("reason")).alias("reason"),
+    )
+    parts = spans.join(judged.filter("_parts > 1").select(*keys), keys).select(
+        *[k for k in keys if k != "id"], F.concat("id", F.lit("x"), "part").alias("id"), kind(F.col("_keep")).alias("kind"),
+        F.col("_from").alias("start_s"), F.col("_to").alias("end_s"),
+        F.filter(F.transform("_rows", lambda r: r["_wid"]), lambda w: F.coalesce(w != "", F.lit(False))).alias("word_ids"),
+        F.array_join(F.transform("_rows", lambda r: r["_said"]), " ").alias("text"), why(F.col("_keep")).alias("reason"),
+    )
+    return whole.unionByName(parts)
+
+
 def sentences(words: DataFrame, layout: KeyLayout, order: Sequence[str], index: str) -> DataFrame:
     """Sentences end at terminal punctuation or at the last word."""
     marked = ordered_scan(
